@@ -53,24 +53,31 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_r
 
 
 def repeat_words(words: Column, width: int = WINDOW) -> Column:
-    """Words of an array inside windows of ``width`` words that occur twice or more in it.
+    """Words of an array inside windows of ``width`` words (a power of two) that occur twice or more in it.
 
     Windows are compared by their 64-bit hashes.  Most texts have no repeats and stop at the count
     of distinct ones; else hashes are sorted with their places and neighbours compared.
     """
     zero = F.lit(0).cast("long")
 
+    def joined(hashes, step):
+        return let(hashes, lambda h: F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + step))))
+
     def hashes(w):
-        return F.transform(F.sequence(F.lit(1), F.size(w) - width + 1), lambda i: F.xxhash64(F.slice(w, i, width)))
+        # Hashes of 2, 4, ... words, each of two halves: a window costs log2(width) hashes of two values.
+        done = w
+        for b in range(width.bit_length() - 1):
+            done = joined(done, 1 << b)
+        return let(done, lambda h: F.slice(h, 1, F.size(h) - width + 1))
 
     def places(h):
-        tagged = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        tagged = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
 
         def twins(t):
             # A place repeats if a neighbour in the sorted order has the same hash.
-            same = lambda k, d: F.coalesce(F.try_element_at(t["h"], k + 1 + d) == F.try_element_at(t["h"], k + 1), F.lit(False))
-            marked = F.transform(t, lambda x, k: F.struct(x["i"].alias("i"), (F.when(k > 0, same(k, -1)).otherwise(F.lit(False)) | same(k, 1)).alias("twin")))
-            return F.array_sort(F.transform(F.filter(marked, lambda x: x["twin"]), lambda x: x["i"]))
+            same = lambda x, k: F.coalesce(F.get(t, k)["h"] == x["h"], F.lit(False))
+            marked = F.transform(t, lambda x, k: F.struct(x["i"].alias("i"), (same(x, k - 1) | same(x, k + 1)).alias("twin")))
+            return F.sort_array(F.transform(F.filter(marked, lambda x: x["twin"]), lambda x: x["i"]))
 
         return let(tagged, twins)
 
