@@ -8,7 +8,7 @@ shard, the offset and the length.  A lookup hashes the key once a level, reads o
 fingerprint, and reads the ids by one byte range: constant time, whatever the corpus holds.
 
 Encoding: the tokenizer splits text before a single space between two non-spaces, so such pieces are
-encoded once a task and looked up afterwards; texts with other runs of white space or with special
+encoded once and looked up afterwards; texts with other runs of white space or with special
 tokens are encoded whole.  Either way the ids are those of the tokenizer on the whole text.
 
 Null text is empty and has the end id only.  Null doc_ids come first.  Rows with equal doc_ids are
@@ -17,6 +17,7 @@ told apart by their ordinal (in the order of the text's hash), which is part of
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import uuid
@@ -53,6 +54,8 @@ class Encoder:
         self.kind = np.dtype("<u4" if wide else "<u2")
         self.cache: dict[str, bytes] = {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.spaced[[i for x, i in self.tokenizer.get_vocab().items() if x.startswith("\u0120")]] = True
         self.pieces = "ByteLevel" in str(self.tokenizer.pre_tokenizer) and self.tokenizer.normalizer is None and "add_prefix_space=True" not in str(self.tokenizer.pre_tokenizer)
 
     @classmethod
@@ -62,37 +65,46 @@ class Encoder:
         return cls.loaded[path, wide]
 
     def _direct(self, texts: list[str]) -> list[bytes]:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, self.kind).tobytes() for x in got]
 
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece behind a space, encoded in one text: a piece starts where an id starts with the space."""
+        out: list[bytes] = []
+        texts = [" " + " ".join(pieces[at : at + 400]) for at in range(0, len(pieces), 400)]
+        item = self.kind.itemsize
+        for ids in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            found = np.array(ids.ids, self.kind)
+            cuts = (np.flatnonzero(self.spaced[found]) * item).tolist()
+            data = found.tobytes()
+            out += [data[i:j] for i, j in zip(cuts, [*cuts[1:], len(data)], strict=True)]
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | list[str]] = []
-        whole, missing = [], {}
+        out: list[bytes] = [b""] * len(texts)
+        whole, split, seen = [], [], set()
         for i, text in enumerate(texts):
             if not self.pieces or text[:1] == " " or text[-1:] == " " or RUNS.search(text) or any(s in text for s in self.special):
-                whole.append(i)
-                out.append(b"")
+                whole.append((i, text))
                 continue
             head, *rest = text.split(" ")
-            rest = [" " + x for x in rest]
-            parts = [head, *rest]
-            out.append(parts)
-            missing.update(dict.fromkeys(x for x in parts if x not in self.cache))
-        if len(self.cache) + len(missing) > CACHE:
+            whole.append((i, head))
+            split.append((i, rest))
+            seen.update(rest)
+        new = list(seen.difference(self.cache))
+        if len(self.cache) + len(new) > CACHE:
             # What the texts at hand need stays.
-            own = {x for parts in out if isinstance(parts, list) for x in parts}
-            self.cache = {k: v for k, v in self.cache.items() if k in own}
-        new = list(missing)
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            self.cache.update(zip(part, self._direct(part), strict=True))
-        for i, ids in zip(whole, self._direct([texts[i] for i in whole]), strict=True):
+            self.cache = {k: self.cache[k] for k in seen.intersection(self.cache)}
+        for at in range(0, len(new), 40_000):
+            part = new[at : at + 40_000]
+            self.cache.update(zip(part, self._pieces(part), strict=True))
+        for (i, _), ids in zip(whole, self._direct([x for _, x in whole]), strict=True):
             out[i] = ids
         find = self.cache.__getitem__
-        return [x if isinstance(x, bytes) else b"".join(map(find, x)) for x in out]
+        for i, rest in split:
+            out[i] += b"".join(map(find, rest))
+        return out
 
 
 def _write_shards(root: str, tokenizer: str, wide: bool, end: int):
