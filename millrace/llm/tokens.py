@@ -25,6 +25,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -83,29 +84,54 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
-        whole, split, seen = [], [], set()
+        whole, split = [], []
         for i, text in enumerate(texts):
             if not self.pieces or text[:1] == " " or text[-1:] == " " or RUNS.search(text) or any(s in text for s in self.special):
                 whole.append((i, text))
-                continue
-            head, *rest = text.split(" ")
-            whole.append((i, head))
-            split.append((i, rest))
-            seen.update(rest)
-        new = list(seen.difference(self.cache))
-        if len(self.cache) + len(new) > CACHE:
-            # What the texts at hand need stays.
-            self.cache = {k: self.cache[k] for k in seen.intersection(self.cache)}
-        for at in range(0, len(new), 40_000):
-            part = new[at : at + 40_000]
-            self.cache.update(zip(part, self._pieces(part), strict=True))
+            else:
+                split.append(i)
+                whole.append((i, text.partition(" ")[0]))
         for (i, _), ids in zip(whole, self._direct([x for _, x in whole]), strict=True):
             out[i] = ids
-        find = self.cache.__getitem__
-        for i, rest in split:
-            out[i] += b"".join(map(find, rest))
+        if split:
+            rest = pc.split_pattern(pa.array([texts[i].partition(" ")[2] for i in split], pa.large_string()), " ")
+            ends = np.diff(rest.offsets.to_numpy())
+            # A text of one piece has no rest, which the split shows as one empty piece.
+            alone = np.array([" " not in texts[i] for i in split])
+            ids, lengths = self._joined(rest.flatten())
+            lengths[np.repeat(alone, ends)] = 0
+            sums = np.add.reduceat(lengths, np.cumsum(ends) - ends) * self.kind.itemsize
+            at = 0
+            for i, n in zip(split, sums.tolist(), strict=True):
+                out[i] += ids[at : at + n]
+                at += n
         return out
 
+    def _joined(self, pieces: pa.Array) -> tuple[bytes, np.ndarray]:
+        """Ids of all pieces in order, and the number of ids of each: distinct ones are encoded, the rest is gathered."""
+        coded = pieces.dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        missing = [x for x in names if x not in self.cache and x]
+        if len(self.cache) + len(missing) > CACHE:
+            # What the texts at hand need stays.
+            self.cache = {x: self.cache[x] for x in names if x in self.cache}
+        self.cache[""] = b""
+        for at in range(0, len(missing), 40_000):
+            part = missing[at : at + 40_000]
+            self.cache.update(zip(part, self._pieces(part), strict=True))
+        blobs = list(map(self.cache.__getitem__, names))
+        size = np.fromiter(map(len, blobs), np.int64, len(blobs)) // self.kind.itemsize
+        start = np.cumsum(size) - size
+        flat, which = np.frombuffer(b"".join(blobs), self.kind), coded.indices.to_numpy()
+        out = []
+        for at in range(0, len(which), 1_000_000):
+            part = which[at : at + 1_000_000]
+            n = size[part]
+            place = np.repeat(start[part] - (np.cumsum(n) - n), n)
+            place += np.arange(len(place))
+            out.append(flat[place].tobytes())
+        return b"".join(out), size[which]
+
 
 def _write_shards(root: str, tokenizer: str, wide: bool, end: int):
     def run(rows):
@@ -114,18 +140,22 @@ def _write_shards(root: str, tokenizer: str, wide: bool, end: int):
         files.create_dir(path, recursive=True)
         name, at, stream = f"shard-{uuid.uuid4().hex}.bin", 0, None
         tail = np.array([end], encoder.kind).tobytes()
+        last, times = object(), 0
         try:
-            for batch in batches(rows, 2_000, 4 << 20):
+            for batch in batches(rows, 8_000, 10 << 20):
                 texts = [x or "" for x in batch.column("text").to_pylist()]
                 ids = encoder.encode(texts)
-                starts, lengths = [], []
+                starts, lengths, ordinals = [], [], []
                 stream = stream or files.open_output_stream(f"{path}/{name}", compression=None)
-                for x in ids:
+                for doc, x in zip(batch.column("doc_id").to_pylist(), ids, strict=True):
+                    times = times + 1 if doc == last else 0
+                    last = doc
+                    ordinals.append(times)
                     stream.write(x + tail)
                     starts.append(at)
                     lengths.append(len(x) // item + 1)
                     at += lengths[-1]
-                yield pa.record_batch([batch.column("part"), batch.column("doc_id"), batch.column("ordinal"), pa.array([name] * len(ids)), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64())], names=["part", "doc_id", "ordinal", "file", "at", "n_tokens"])
+                yield pa.record_batch([batch.column("part"), batch.column("doc_id"), pa.array(ordinals, pa.int32()), pa.array([name] * len(ids)), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64())], names=["part", "doc_id", "ordinal", "file", "at", "n_tokens"])
         finally:
             if stream:
                 stream.close()
@@ -138,18 +168,7 @@ def write_shards(docs: DataFrame, root: str, tokenizer: str, end: int = END, wid
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("__t", F.xxhash64(F.coalesce("text", F.lit(""))))
     ranged = ids.repartitionByRange(F.col("doc_id").asc_nulls_first()).withColumn("part", F.spark_partition_id()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "__t")
     # Equal ids share a range, so they are neighbours in one sorted task and are numbered on the way.
-    return written(ranged.select("part", "doc_id", "text").mapInArrow(_numbered, "part int, doc_id long, text string, ordinal int").mapInArrow(_write_shards(root, tokenizer, wide, end), "part int, doc_id long, ordinal int, file string, at long, n_tokens long"), "shards")
-
-
-def _numbered(rows):
-    last, n = object(), 0
-    for batch in rows:
-        out = []
-        for x in batch.column(1).to_pylist():
-            n = n + 1 if x == last else 0
-            last = x
-            out.append(n)
-        yield pa.record_batch([*batch.columns, pa.array(out, pa.int32())], names=[*batch.schema.names, "ordinal"])
+    return written(ranged.select("part", "doc_id", "text").mapInArrow(_write_shards(root, tokenizer, wide, end), "part int, doc_id long, ordinal int, file string, at long, n_tokens long"), "shards")
 
 
 def _mix(x: np.ndarray, seed: int) -> np.ndarray:
@@ -273,15 +292,19 @@ def _write_buckets(root: str):
             return pa.record_batch([pa.array([now], pa.int32()), pa.array([name]), pa.array([len(held["at"])], pa.int64())], names=["bucket", "name", "keys"])
 
         for batch in rows:
-            for i, b in enumerate(batch.column("bucket").to_pylist()):
-                if b != now:
+            bucket = batch.column("bucket").to_numpy()
+            cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if bucket[a] != now:
                     if now is not None:
                         yield out()
                         for x in held.values():
                             x.clear()
-                    now = b
+                    now = int(bucket[a])
                 for k, x in held.items():
-                    x.append(batch.column(k)[i].as_py())
+                    x += batch.column(k).slice(a, b - a).to_pylist()
         if now is not None:
             yield out()
 
