@@ -1,9 +1,325 @@
-"""Registered queries of the engine."""
+"""Registered queries of the engine, each with equivalent SQL where SQL can express it."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from millrace.functions import text as T
+from millrace.functions.dates import parsed_date
+from millrace.functions.urls import PARTS, TRACKING, normalized_url
+from millrace.operators import dedup, health, merge, rules, search, store
+from millrace.plans.shared import written
+from millrace.schema import documents_as_entries, pages_as_entries
+from millrace.sources import opml
+
+BM25 = {"bm25_terms": ("the shonre onthsh", 50), "bm25_required_excluded": ("tion +est -zue", 50), "bm25_phrase": ('"in est" tion', 50), "saved_search_feed": ("ciónñ +que", 20)}
+RULES = """
+# German, or a long word in the title, but nothing from source 3 or shouting
+include category =~ /^DE$/i
+include title ~ [a-z]{12,}
+exclude source ~ ^src3\\b
+exclude title =~ /^[A-Z ]+$/
+"""
+#: Seconds after which stored entries go, in the retention query.
+RETENTION = "2024-01-29 20:00:00"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark, sf_dir):
+    return documents_as_entries(table(spark, sf_dir, "documents"))
+
+
+def index(spark, sf_dir):
+    return search.indexed(documents(spark, sf_dir), markup=False)
+
+
+def tokenize_terms(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", T.tokens(F.coalesce("text", F.lit(""))).alias("t")).select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_terms"))
+
+
+def index_stats(spark, sf_dir):
+    return search.index_stats(index(spark, sf_dir)).select("n_docs", "n_terms", F.round("avg_len", 6).alias("avg_len"))
+
+
+def postings_topdf(spark, sf_dir):
+    found = search.postings(index(spark, sf_dir)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    return found.orderBy(F.col("df").desc(), "term").limit(100)
+
+
+def bm25(name):
+    def run(spark, sf_dir):
+        query, limit = BM25[name]
+        out = search.search(index(spark, sf_dir), query, limit)
+        return out.select("id", F.round("score", 6).alias("score"), F.array_join("matched", "|").alias("matched"))
+
+    run.__name__ = name
+    return run
+
+
+def normalize_url(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", normalized_url(F.col("url")).alias("url"))
+
+
+def dedup_by_url(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", normalized_url(F.col("url")).alias("url"))
+    return pages.groupBy("url").agg(F.min("page_id").alias("page_id"), F.count("*").alias("n"))
+
+
+def titles(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return pages.select("page_id", T.normalized_title(F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)).alias("title"))
+
+
+def _pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """One row per row: its class of equal sets and the similar classes; no pairs of copies are formed."""
+    rows = written(dedup.classes(sets), "classes")
+    reps = rows.where("id = class_id").select("id", "items")
+    found = dedup.similar_pairs(reps, threshold)
+    ends = found.select(F.col("a").alias("class_id"), F.col("b").alias("other"), "similarity").union(found.select("b", "a", "similarity"))
+    per = ends.groupBy("class_id").agg(F.count("*").alias("n_similar"), F.min("other").alias("first_similar"), F.round(F.max("similarity"), 6).alias("best"))
+    return rows.join(per, "class_id", "left").select("id", "class_id", F.coalesce("n_similar", F.lit(0)).cast("long").alias("n_similar"), "first_similar", "best")
+
+
+def title_pairs(spark, sf_dir):
+    words = titles(spark, sf_dir).select(F.col("page_id").alias("id"), F.array_distinct(F.filter(F.split("title", " "), lambda x: x != "")).alias("items"))
+    return _pairs(written(words.where(F.size("items") > 0), "titles"), 0.8)
+
+
+def shingle_pairs(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(f"({T.TOKEN})"), F.lit(1))
+    toks = written(docs.select(F.col("doc_id").alias("id"), words.alias("w")), "words")
+    sets = written(toks.select("id", dedup.shingles(F.col("w")).alias("items")).where(F.size("items") > 0), "shingles")
+    return _pairs(sets, 0.8)
+
+
+def dedup_exact_text(spark, sf_dir):
+    out = dedup.exact(documents(spark, sf_dir), "content")
+    return out.select("id", "title", "source_title", "seq")
+
+
+def dedup_full(spark, sf_dir):
+    out = dedup.deduplicated(pages_as_entries(table(spark, sf_dir, "pages")), dedup.DedupOptions(0.9, 259_200, 0.8))
+    return out.select("id", "link", "title", "seq")
+
+
+def dedup_documents(spark, sf_dir):
+    out = dedup.deduplicated(documents(spark, sf_dir), dedup.DedupOptions(0.9, 259_200, 0.8), markup=False)
+    return out.select("id", "title", "source_title", "seq")
+
+
+def filter_rules(spark, sf_dir):
+    return rules.filtered(documents(spark, sf_dir), RULES).select("id", "title", "source_title")
+
+
+def merge_sorted_topn(spark, sf_dir):
+    both = merge.merged(documents(spark, sf_dir), pages_as_entries(table(spark, sf_dir, "pages")), names=["", "crawl"])
+    return merge.sorted_by_date(both, 200).select("id", "title", "source_title", F.unix_timestamp("published").alias("published_s"))
+
+
+def plain_text(spark, sf_dir):
+    out = T.plain_text(F.col("html"))
+    return table(spark, sf_dir, "pages").select("page_id", out.alias("text")).select("page_id", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("sha256"))
+
+
+def summaries(spark, sf_dir):
+    entries = pages_as_entries(table(spark, sf_dir, "pages"))
+    return entries.select("id", T.extracted(F.col("content"), F.col("summary")).alias("x")).select("id", "x.summary", F.col("x.words").alias("words"), "x.reading_minutes")
+
+
+def snippets(spark, sf_dir):
+    return search.hits(documents(spark, sf_dir), "shonre +est", 20, markup=False).select("id", F.round("score", 6).alias("score"), "snippet")
+
+
+def word_reading_stats(spark, sf_dir):
+    words = T.count_words(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", words.alias("words"), T.reading_minutes(words).alias("minutes"))
+
+
+def fetch_log(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    ok, same = F.col("event_type") != "error", F.col("event_type") == "view"
+    return e.select(
+        F.concat(F.lit("user-"), F.col("user_id")).alias("url"), F.concat(F.lit("user "), F.col("user_id")).alias("name"), ok.alias("ok"), same.alias("not_modified"), F.when(~ok, 502).when(same, 304).otherwise(200).alias("status"),
+        F.when(ok, F.length("event_type")).otherwise(0).alias("entries"), F.when(ok, "").otherwise("HTTP 502").alias("error"), F.floor("value").cast("long").alias("duration_ms"), "ts", F.col("event_id").alias("pos"),
+    )
+
+
+def source_health(spark, sf_dir):
+    h = health.source_health(fetch_log(spark, sf_dir))
+    return h.select(*[c for c in h.columns if not c.startswith("last_success") and not c.startswith("last_failure")], F.unix_timestamp("last_success").alias("last_success_s"), F.unix_timestamp("last_failure").alias("last_failure_s"))
+
+
+def degraded_sources(spark, sf_dir):
+    return health.degraded(health.source_health(fetch_log(spark, sf_dir)))
+
+
+def event_log(spark, sf_dir):
+    return table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("id"), (F.col("event_type") == "error").alias("del"), F.col("event_type").alias("title"), F.col("ts").alias("stored_at"), F.col("event_id").alias("pos"))
+
+
+def store_replay(spark, sf_dir):
+    return store.live(event_log(spark, sf_dir)).select("id", "title", F.unix_timestamp("stored_at").alias("stored_s"), "pos")
+
+
+def store_retention(spark, sf_dir):
+    return store.purged(event_log(spark, sf_dir), F.lit(RETENTION).cast("timestamp")).select("id", "v", "del")
+
+
+def store_put(spark, sf_dir):
+    new = documents(spark, sf_dir)
+    return store.absent(event_log(spark, sf_dir), new, F.lit(RETENTION).cast("timestamp")).select("id", "title", "seq")
+
+
+def store_stats(spark, sf_dir):
+    return store.stats(event_log(spark, sf_dir))
+
+
+def entry_ids(spark, sf_dir):
+    d = documents(spark, sf_dir)
+    raw = F.col("seq").cast("string")
+    key = T.entry_id(F.when(F.col("seq") % 3 == 0, F.col("id")).otherwise(""), F.when(F.col("seq") % 3 == 1, F.concat(F.lit("https://d.example/"), "id")).otherwise(""), F.coalesce("title", F.lit("")), raw)
+    return d.select("seq", key.alias("entry_id"))
+
+
+DATES = (
+    ("Mon, 02 Jan 2006 15:04:05 -0700", "2006-01-02 22:04:05"), ("Tue, 04 Jul 2017 09:30:00 PDT", "2017-07-04 16:30:00"), ("Wed, 01 Jun 2022 12:00:00 CEST", "2022-06-01 10:00:00"), ("02 Jan 06 15:04 MST", "2006-01-02 22:04:00"),
+    ("2006-01-02T15:04:05+02:00", "2006-01-02 13:04:05"), ("2021-11-03T08:15:30.123456Z", "2021-11-03 08:15:30"), ("Mon, 2 Jan 2006 15:04:05", "2006-01-02 15:04:05"), ("Tue, 15 Mar 2022 08:00:00 -0400 (EDT)", "2022-03-15 12:00:00"),
+    ("2006-01-02", "2006-01-02 00:00:00"), ("01/02/2006 15:04:05", "2006-01-02 15:04:05"), ("January 2, 2006", "2006-01-02 00:00:00"), ("Mon Jan 2 15:04:05 2006", "2006-01-02 15:04:05"), ("2006-01-02T15:04:05 Z", "2006-01-02 15:04:05"), ("yesterday", None), ("2006-13-45T99:99:99Z", None),
+)
+
+
+def date_parse(spark, sf_dir):
+    rows = spark.createDataFrame([(d,) for d, _ in DATES], "raw string")
+    return rows.select("raw", F.date_format(parsed_date(F.col("raw")), "yyyy-MM-dd HH:mm:ss").alias("utc"))
+
+
+def folder_rollup(spark, sf_dir):
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    feeds = n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).select(F.col("r_name").alias("folder"), F.col("n_name").alias("name"), F.concat(F.lit("https://feeds.example/"), F.col("n_nationkey")).alias("url"), F.lit("").alias("site_url"), F.col("n_nationkey").cast("long").alias("pos"))
+    return opml.folders(feeds).select("folder", F.size("feeds").cast("long").alias("n_feeds"), F.array_join(F.transform("feeds", lambda x: x["name"]), ",").alias("names"))
+
+
+def flagship(spark, sf_dir):
+    return bm25("bm25_terms")(spark, sf_dir)
+
+
+PLAIN = (tokenize_terms, index_stats, postings_topdf, *(bm25(n) for n in BM25), normalize_url, dedup_by_url, title_pairs, shingle_pairs, dedup_exact_text, dedup_full, dedup_documents, filter_rules, merge_sorted_topn, plain_text, summaries, snippets, word_reading_stats, source_health, degraded_sources, store_replay, store_retention, store_put, store_stats, entry_ids, date_parse, folder_rollup)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in PLAIN} | {"normalize_title": titles}
+
+
+STOP = "(" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + ")"
+TOKENS = lambda c: rf"list_filter(regexp_extract_all(lower({c}), '[\p{{L}}\p{{Nd}}]+'), lambda x: x NOT IN {STOP})"
+INDEX = rf"""
+WITH e AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10))[1] AS title, coalesce(text, '') AS body, coalesce(source, '') AS source, coalesce(lang, '') AS lang FROM documents),
+f AS (SELECT doc_id, {TOKENS("title")} AS title, {TOKENS("body")} AS body, {TOKENS("source")} AS source, {TOKENS("lang")} AS lang FROM e),
+o AS (SELECT doc_id, unnest(title) AS term, 3.0::DOUBLE AS w FROM f UNION ALL SELECT doc_id, unnest(lang), 2.0 FROM f UNION ALL SELECT doc_id, unnest(source), 1.0 FROM f UNION ALL SELECT doc_id, unnest(body), 1.0 FROM f),
+p AS (SELECT doc_id, term, sum(w) AS tf FROM o GROUP BY 1, 2),
+l AS (SELECT f.doc_id, coalesce(sum(p.tf), 0) AS len FROM f LEFT JOIN p USING (doc_id) GROUP BY 1),
+s AS (SELECT count(*) AS n, CASE WHEN avg(len) = 0 THEN 1 ELSE avg(len) END AS avg_len FROM l)
+"""
+
+
+def _bm25_sql(name: str) -> str:
+    text, limit = BM25[name]
+    q = search.parse_query(text)
+    terms = ", ".join(f"({i}, '{t.text}')" for i, t in enumerate(q.terms) if not t.negated)
+    has = lambda t: f"EXISTS (SELECT 1 FROM p WHERE p.doc_id = f.doc_id AND p.term = '{t}')"
+    phrase = lambda p: f"contains(' ' || array_to_string(list_concat(f.title, f.body), ' ') || ' ', ' {p.text} ')"
+    conds = [has(t.text) for t in q.terms if t.required] + [f"NOT {has(t.text)}" for t in q.terms if t.negated] + [("NOT " if p.negated else "") + phrase(p) for p in q.phrases]
+    wanted = [p for p in q.phrases if not p.negated]
+    bonus = "".join(f" UNION ALL SELECT f.doc_id, '{p.text}', {len(p.terms)}::DOUBLE FROM f WHERE {phrase(p)}" for p in wanted)
+    return f"""{INDEX},
+q(i, term) AS (VALUES {terms}), df AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+h AS (SELECT p.doc_id, p.term, ln(1 + (s.n - df.df + 0.5) / (df.df + 0.5)) * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * l.len / s.avg_len)) AS v
+  FROM q JOIN p USING (term) JOIN df USING (term) JOIN l USING (doc_id), s{bonus}),
+r AS (SELECT h.doc_id, sum(v) AS score, array_to_string(list_sort(list_distinct(list(term))), '|') AS matched FROM h GROUP BY 1)
+SELECT CAST(r.doc_id AS VARCHAR) AS id, round(score, 6) AS score, matched FROM r JOIN f USING (doc_id) WHERE {" AND ".join(conds or ["true"])}
+ORDER BY r.score DESC, r.doc_id DESC, id LIMIT {limit}"""
+
+
+NORMAL_URL = rf"""
+SELECT page_id, raw, regexp_extract(raw, '{PARTS}', ['scheme', 'user', 'host', 'path', 'query']) AS m FROM (SELECT page_id, trim(coalesce(url, '')) AS raw FROM pages)
+"""
+URLS = rf"""
+u AS ({NORMAL_URL}),
+v AS (SELECT page_id, raw, regexp_replace(lower(m.scheme), '^http$', 'https') AS scheme, m.user AS usr, regexp_replace(lower(m.host), '^www\.', '') AS h, regexp_replace(m.path, '/$', '') AS path,
+  array_to_string(list_transform(list_sort(list_transform(list_filter(string_split(m.query, '&'), lambda p: p <> '' AND NOT contains(p, ';') AND lower(string_split(p, '=')[1]) NOT IN ({", ".join(f"'{t}'" for t in TRACKING)})),
+    lambda p, i: {{'k': string_split(p, '=')[1], 'i': i, 'p': CASE WHEN contains(p, '=') THEN p ELSE p || '=' END}})), lambda s: s.p), '&') AS query FROM u),
+n AS (SELECT page_id, CASE WHEN NOT regexp_matches(raw, '{PARTS}') THEN lower(raw) ELSE scheme || '://' || CASE WHEN path = '' AND query = '' THEN '' WHEN usr <> '' THEN usr || '@' ELSE '' END
+  || CASE WHEN scheme = 'https' THEN regexp_replace(h, ':(443|80)$', '') ELSE h END || path || CASE WHEN query <> '' THEN '?' || replace(query, '%20', '+') ELSE '' END END AS url FROM v)
+"""
+TITLES = r"""
+t AS (SELECT page_id, trim(regexp_replace(lower(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '<[^>]*>', ' ', 'g'),
+  '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&amp;', '&')), '[^\p{L}\p{Nd}]+', ' ', 'g')) AS title FROM pages)
+"""
+
+
+def _pairs_sql(sets: str, threshold: float) -> str:
+    """All pairs of distinct sets that share an item."""
+    return f"""{sets},
+c AS (SELECT id, items, min(id) OVER (PARTITION BY list_sort(items)) AS class_id FROM sets WHERE len(items) > 0),
+x AS (SELECT id, len(items) AS n, unnest(items) AS item FROM c WHERE id = class_id),
+k AS (SELECT a.id AS a, b.id AS b, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS k FROM x a JOIN x b ON a.item = b.item AND a.id <> b.id GROUP BY 1, 2),
+s AS (SELECT a, b, k / (n + m - k) AS similarity FROM k WHERE k / (n + m - k) >= {threshold}),
+g AS (SELECT a, count(*) AS n_similar, min(b) AS first_similar, round(max(similarity), 6) AS best FROM s GROUP BY 1)
+SELECT id, class_id, CAST(coalesce(n_similar, 0) AS BIGINT) AS n_similar, first_similar, best FROM c LEFT JOIN g ON c.class_id = g.a"""
+
+
+LOG = """
+WITH log AS (SELECT 'user-' || user_id AS url, 'user ' || user_id AS name, event_type <> 'error' AS ok, event_type = 'view' AS same, CASE event_type WHEN 'error' THEN 502 WHEN 'view' THEN 304 ELSE 200 END AS status,
+  CASE WHEN event_type <> 'error' THEN length(event_type) ELSE 0 END AS entries, CAST(floor(value) AS BIGINT) AS ms, ts, event_id AS pos FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY ts, pos) AS rn FROM log),
+o AS (SELECT url, max(rn) FILTER (ok) AS last_ok FROM r GROUP BY 1),
+h AS (SELECT url, arg_max(name, rn) AS name, count(*) AS fetches, count(*) FILTER (ok) AS successes, count(*) FILTER (NOT ok) AS failures, count(*) FILTER (same) AS not_modified,
+  count(*) FILTER (NOT ok AND (last_ok IS NULL OR rn > last_ok)) AS consecutive_failures, arg_max(status, rn) AS last_status, arg_max(ms, rn) AS last_duration_ms, CAST(sum(ms) // count(*) AS BIGINT) AS avg_duration_ms,
+  floor(count(*) FILTER (ok) / count(*) * 10000 + 0.5) / 10000 AS success_rate, CAST(coalesce(arg_max(entries, rn) FILTER (ok), 0) AS INTEGER) AS entries, CASE WHEN arg_max(ok, rn) THEN '' ELSE 'HTTP 502' END AS last_error,
+  CAST(floor(epoch(max(ts) FILTER (ok))) AS BIGINT) AS last_success_s, CAST(floor(epoch(max(ts) FILTER (NOT ok))) AS BIGINT) AS last_failure_s FROM r JOIN o USING (url) GROUP BY 1)
+"""
+STORE = """
+WITH log AS (SELECT CAST(user_id AS VARCHAR) AS id, event_type = 'error' AS gone, event_type AS title, ts, event_id AS pos FROM events),
+last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos DESC) AS rn FROM log) WHERE rn = 1)
+"""
+
+
+def oracle_sql() -> dict[str, str]:
+    docs = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
+    title = "string_split(text, chr(10))[1]"
+    return {
+        "tokenize_terms": f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, CAST(len(list_distinct(t)) AS BIGINT) AS n_terms FROM (SELECT doc_id, {TOKENS('text')} AS t FROM ({docs}))",
+        "index_stats": f"{INDEX} SELECT n AS n_docs, (SELECT count(DISTINCT term) FROM p) AS n_terms, round(avg_len, 6) AS avg_len FROM s",
+        "postings_topdf": f"{INDEX} SELECT term, count(*) AS df, sum(tf) AS tf FROM p GROUP BY 1 ORDER BY df DESC, term LIMIT 100",
+        **{n: _bm25_sql(n) for n in BM25},
+        "normalize_url": f"WITH {URLS} SELECT page_id, url FROM n",
+        "dedup_by_url": f"WITH {URLS} SELECT url, min(page_id) AS page_id, count(*) AS n FROM n GROUP BY 1",
+        "normalize_title": f"WITH {TITLES} SELECT page_id, title FROM t",
+        "title_pairs": _pairs_sql(f"WITH {TITLES}, sets AS (SELECT page_id AS id, list_distinct(list_filter(string_split(title, ' '), lambda x: x <> '')) AS items FROM t)", 0.8),
+        "shingle_pairs": _pairs_sql(
+            rf"WITH w AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{Nd}}]+') AS w FROM documents), "
+            "sets AS (SELECT id, list_distinct(list_transform(range(1, greatest(2, CAST(len(w) AS BIGINT) - 2)), lambda i: array_to_string(list_slice(w, i, i + 3), ' '))) AS items FROM w WHERE len(w) > 0)",
+            0.8,
+        ),
+        "dedup_exact_text": f"SELECT CAST(doc_id AS VARCHAR) AS id, {title} AS title, source AS source_title, doc_id AS seq FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1",
+        "filter_rules": f"SELECT CAST(doc_id AS VARCHAR) AS id, title, source AS source_title FROM (SELECT *, {title} AS title FROM documents) WHERE (regexp_matches(lang, '(?i)^DE$') OR regexp_matches(title, '[a-z]{{12,}}')) AND NOT regexp_matches(source || ' ', '^src3\\b') AND NOT regexp_matches(title, '^[A-Z ]+$')",
+        "merge_sorted_topn": f"SELECT id, title, source_title, published_s FROM (SELECT CAST(doc_id AS VARCHAR) AS id, {title} AS title, source AS source_title, 1704067200 + 60 * doc_id AS published_s, 0 AS s, doc_id AS seq FROM documents UNION ALL SELECT 'page-' || page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1), 'crawl', NULL, 1, page_id FROM pages) ORDER BY published_s DESC NULLS LAST, s, seq LIMIT 200",
+        "word_reading_stats": rf"SELECT doc_id, CAST(len(regexp_extract_all(text, '\S+')) AS BIGINT) AS words, CAST(ceil(len(regexp_extract_all(text, '\S+')) / 200) AS BIGINT) AS minutes FROM ({docs})",
+        "source_health": f"{LOG} SELECT * FROM h",
+        "degraded_sources": f"{LOG} SELECT count(*) FILTER (consecutive_failures > 0) AS degraded, count(*) AS sources FROM h",
+        "store_replay": f"{STORE} SELECT id, title, CAST(floor(epoch(ts)) AS BIGINT) AS stored_s, pos FROM last WHERE NOT gone",
+        "store_retention": f"{STORE} SELECT id, 1 AS v, true AS del FROM last WHERE NOT gone AND ts < TIMESTAMP '{RETENTION}'",
+        "store_put": f"{STORE} SELECT CAST(doc_id AS VARCHAR) AS id, {title} AS title, doc_id AS seq FROM documents WHERE CAST(doc_id AS VARCHAR) NOT IN (SELECT id FROM last WHERE NOT gone)",
+        "store_stats": f"{STORE} SELECT (SELECT count(*) FROM last WHERE NOT gone) AS live, count(*) AS records, count(*) - (SELECT count(*) FROM last WHERE NOT gone) AS garbage FROM log",
+        "entry_ids": f"SELECT doc_id AS seq, CASE doc_id % 3 WHEN 0 THEN CAST(doc_id AS VARCHAR) WHEN 1 THEN 'https://d.example/' || doc_id ELSE 'urn:entry:' || substr(sha256({title} || chr(0) || doc_id), 1, 32) END AS entry_id FROM ({docs})",
+        "date_parse": "SELECT * FROM (VALUES " + ", ".join(f"('{a}', {'NULL' if b is None else repr(b)})" for a, b in DATES) + ") t(raw, utc)",
+        "folder_rollup": "SELECT r_name AS folder, count(*) AS n_feeds, string_agg(n_name, ',' ORDER BY n_nationkey) AS names FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1",
+    }
