@@ -7,15 +7,16 @@ machine only.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.operators.components import Forest
+from millrace.plans.shared import dropped, shared_path, shared_root, written
+
+__all__ = ["Forest", "dropped", "shared_path", "shared_root", "written"]
+
 #: Words are runs of anything but space and the ASCII controls 9 to 13.
 SPACES = r"[\x20\x09-\x0D]+"
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -27,42 +28,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one is set only where none is configured."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    root = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
-    spark.sparkContext.setCheckpointDir(root)
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again; ``path_of`` gives its place."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._millrace_path = path
-    return out
-
-
-def dropped(spark: SparkSession, *frames: DataFrame | str | None) -> None:
-    """Deletes tables that ``written`` made (or folders by path) once nothing reads them any more."""
-    for x in frames:
-        path = x if isinstance(x, str) else getattr(x, "_millrace_path", None)
-        if path:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once a row, also where lambdas in ``body`` use it."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -112,32 +77,3 @@ def groups(rows, key: str):
         rest.append(batch.slice(cut))
     if rest:
         yield pa.Table.from_batches(rest)
-
-
-class Forest:
-    """Union-find over integers; the root of a set is its smallest member."""
-
-    def __init__(self) -> None:
-        self.parent: dict[int, int] = {}
-
-    def root(self, x: int) -> int:
-        parent = self.parent
-        r = x
-        while (p := parent.get(r, r)) != r:
-            r = p
-        while (p := parent.get(x, x)) != r:
-            parent[x] = r
-            x = p
-        return r
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.root(a), self.root(b)
-        if a == b:
-            return False
-        self.parent[max(a, b)] = min(a, b)
-        self.parent.setdefault(min(a, b), min(a, b))
-        return True
-
-
-def choose(n: int, r: int) -> list[tuple[int, ...]]:
-    return list(combinations(range(n), r))

@@ -146,8 +146,10 @@ def read_records(index: DataFrame, root: str) -> DataFrame:
     Reads are dealt by file and 8 MB of offset, so that a task holds neighbours and no file waits
     for one task.
     """
+    # By the archives' bytes: the index rows alone are so small that they would all go to one task.
+    tasks = max(1, -(-(index.agg(F.sum("length")).first()[0] or 0) // READ_MOST))
     block = F.floor(F.col("offset") / READ_MOST)
-    dealt = index.select("file", "offset", "length").repartition("file", block).sortWithinPartitions("file", "offset")
+    dealt = index.select("file", "offset", "length").repartition(tasks, "file", block).sortWithinPartitions("file", "offset")
     return dealt.mapInArrow(_read(root, _records), "page_id long, type string, url string, digest string, size long, refers_to long, payload binary")
 
 
