@@ -7,6 +7,9 @@ machine only.
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,6 +55,20 @@ def batches(rows, limit_rows: int, limit_bytes: int):
             yield batch.slice(at, step)
 
 
+def freed(run):
+    """``run`` over Arrow batches; its worker, which later tasks reuse, gives memory back at the end."""
+
+    def wrapped(rows):
+        yield from run(rows)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return wrapped
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column, null as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import as_bytes, batches
+from ._common import as_bytes, batches, freed
 
 WINDOW = 13
 #: (window, item) pairs of one broadcast pack.
@@ -97,7 +97,7 @@ def _scan(pack):
 
     def run(rows):
         searches = compiled(pack.value)
-        for batch in batches(rows, 2_000, 8 << 20):
+        for batch in batches(rows, 2_000, 4 << 20):
             at = batch.schema.names.index("__text")
             spans, items = batch.column(at + 1).to_pylist(), batch.column(at + 2).to_pylist()
             for i, text in enumerate(as_bytes(batch.column(at))):
@@ -113,7 +113,7 @@ def _scan(pack):
 
 
 def _digest(rows):
-    for batch in batches(rows, 2_000, 8 << 20):
+    for batch in batches(rows, 2_000, 4 << 20):
         at = batch.schema.names.index("__text")
         out = {"n_words": [], "n_hit": [], "n_items": [], "items_sha256": [], "contaminated": [], "spans": []}
         for text, spans, items in zip(as_bytes(batch.column(at)), batch.column(at + 1).to_pylist(), batch.column(at + 2).to_pylist(), strict=True):
@@ -167,7 +167,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, *keep: str, width: int = WINDOW,
     state = docs.select(*keep, F.col("text").alias("__text"), F.lit(None).cast("array<int>").alias("__spans"), F.lit(None).cast("array<string>").alias("__items"))
     schema = state.schema
     for one in pattern_packs(benchmark, width, pack):
-        state = state.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(one)), schema)
+        state = state.mapInArrow(freed(_scan(docs.sparkSession.sparkContext.broadcast(one))), schema)
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in schema.fields[:-3])
     return state.mapInArrow(_digest, f"{fields}n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<int>")
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LOWER, Forest, as_bytes, batches, groups, written
+from ._common import LOWER, Forest, as_bytes, batches, freed, groups, written
 from millrace.operators.components import connected_components
 
 SEED, SHINGLE = 42, 4
@@ -57,7 +57,7 @@ def fingerprint(text: bytes, width: int = SHINGLE) -> int:
 
 
 def _fingerprints(rows):
-    for batch in batches(rows, 2_000, 8 << 20):
+    for batch in batches(rows, 2_000, 4 << 20):
         prints = [fingerprint(x) for x in as_bytes(batch.column(batch.num_columns - 1))]
         yield pa.record_batch([*batch.columns[:-1], pa.array(prints, pa.int64())], names=[*batch.schema.names[:-1], "fp"])
 
@@ -66,7 +66,7 @@ def with_fingerprints(docs: DataFrame, *keep: str, text: str = "text") -> DataFr
     """The columns ``keep`` of ``docs`` and ``fp``, the signed fingerprint of ``text``."""
     kept = docs.select(*keep, F.col(text).alias("__text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    return kept.mapInArrow(_fingerprints, f"{fields}, fp long" if fields else "fp long")
+    return kept.mapInArrow(freed(_fingerprints), f"{fields}, fp long" if fields else "fp long")
 
 
 def position_sets(k: int) -> list[tuple[int, ...]]:

@@ -31,12 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from ._common import as_bytes, batches, groups, written
+from ._common import as_bytes, batches, freed, groups, written
 
 LENGTH, ANCHOR = 200, 32
 BASE = 0x9E3779B97F4A7C15
 #: Window suffixes sorted at once in one task.
-BATCH_SUFFIXES = 1_500_000
+BATCH_SUFFIXES = 1_000_000
 CONTEXT = {"d": pa.int64(), "t": pa.int64(), "at": pa.int32(), "h": pa.int64(), "c": pa.int64(), "off": pa.int32(), "body": pa.binary()}
 
 
@@ -106,7 +106,7 @@ def _anchor_rows(length: int, k: int, contexts: bool):
     """Per anchor its hash and either the hash of its context, or its place, packed in one number."""
 
     def run(rows):
-        for batch in batches(rows, 4_000, 16 << 20):
+        for batch in batches(rows, 4_000, 8 << 20):
             d, t = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             hashes, what, owner = [], [], []
             for i, text in enumerate(as_bytes(batch.column(2))):
@@ -135,7 +135,7 @@ def _contexts(length: int):
     """Of (d, t, text, anchor hashes and places): each context with its hash, its owner and its place."""
 
     def run(rows):
-        for batch in batches(rows, 4_000, 16 << 20):
+        for batch in batches(rows, 4_000, 8 << 20):
             out = {"d": [], "t": [], "at": [], "h": [], "c": [], "off": [], "body": []}
             for d, t, text, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2)), batch.column(3).to_pylist(), strict=True):
                 for x in found:
@@ -255,7 +255,7 @@ def repeated_windows(contexts: list[tuple[int, bytes, int]], length: int = LENGT
     _, group = np.unique(group, return_inverse=True)
     suffixes = Suffixes(bodies, length)
     # Only windows equally far from the anchor can be equal, so a large group is done in bands of that distance.
-    bands = max(1, -(-int(counts.sum()) // (2 * BATCH_SUFFIXES)))
+    bands = max(1, -(-int(counts.sum()) // BATCH_SUFFIXES))
     hits = []
     for band in range(bands):
         first = (offset - band) % bands
@@ -329,7 +329,7 @@ def _cut(text: bytes, spans: list[dict]) -> tuple[list[tuple[int, int]], bytes]:
 
 def _cut_rows(rows):
     kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-    for batch in batches(rows, 4_000, 16 << 20):
+    for batch in batches(rows, 4_000, 8 << 20):
         runs, kept = [], []
         for text, spans in zip(as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
             r, k = _cut(text, [x for part in spans or () for x in part])
@@ -356,7 +356,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> Da
     bodies = texts.join(per_row, ["d", "t"]).select("d", "t", "text", "found").mapInArrow(_contexts(length), "d long, t long, at int, h long, c long, off int, body binary")
     bodies = written(bodies, "contexts")
     distinct = bodies.groupBy("h", "c").agg(F.count("*").alias("n"), F.first("off").alias("off"), F.first("body").alias("body"))
-    solved = distinct.repartition("h").sortWithinPartitions("h", "c").mapInArrow(_resolved(length), "h long, c long, spans array<struct<a: int, b: int>>")
+    solved = distinct.repartition("h").sortWithinPartitions("h", "c").mapInArrow(freed(_resolved(length)), "h long, c long, spans array<struct<a: int, b: int>>")
     moved = bodies.select("d", "t", "at", "h", "c").join(solved, ["h", "c"]).select("d", "t", F.expr("transform(spans, x -> named_struct('a', at + x.a, 'b', at + x.b))").alias("spans"))
     first, last = "shiftright(place, 24) - (shiftright(place, 12) & 4095)", f"shiftright(place, 24) - (place & 4095) + {length}"
     whole = shared.where("not mixed").select("d", "t", F.expr(f"array(named_struct('a', cast({first} as int), 'b', cast({last} as int)))").alias("spans"))

@@ -30,12 +30,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import batches, shared_path, written
+from ._common import batches, freed, shared_path, written
 from .files import coalesced, file_uri, opened
 
 END = 2
 #: Pieces remembered by a Python worker, cleared when full; rows of an index bucket; bytes read at once.
-CACHE, BUCKET_ROWS, READ_MOST = 400_000, 1_000_000, 8 << 20
+CACHE, BUCKET_ROWS, READ_MOST = 200_000, 1_000_000, 8 << 20
 LOW = -(1 << 63)
 #: Two characters that regular expressions may take for white space, side by side.
 RUNS = re.compile("[\\s\u180e\u200b\ufeff]{2}")
@@ -116,16 +116,16 @@ class Encoder:
             # What the texts at hand need stays.
             self.cache = {x: self.cache[x] for x in names if x in self.cache}
         self.cache[""] = b""
-        for at in range(0, len(missing), 40_000):
-            part = missing[at : at + 40_000]
+        for at in range(0, len(missing), 20_000):
+            part = missing[at : at + 20_000]
             self.cache.update(zip(part, self._pieces(part), strict=True))
         blobs = list(map(self.cache.__getitem__, names))
         size = np.fromiter(map(len, blobs), np.int64, len(blobs)) // self.kind.itemsize
         start = np.cumsum(size) - size
         flat, which = np.frombuffer(b"".join(blobs), self.kind), coded.indices.to_numpy()
         out = []
-        for at in range(0, len(which), 1_000_000):
-            part = which[at : at + 1_000_000]
+        for at in range(0, len(which), 250_000):
+            part = which[at : at + 250_000]
             n = size[part]
             place = np.repeat(start[part] - (np.cumsum(n) - n), n)
             place += np.arange(len(place))
@@ -142,7 +142,7 @@ def _write_shards(root: str, tokenizer: str, wide: bool, end: int):
         tail = np.array([end], encoder.kind).tobytes()
         last, times = object(), 0
         try:
-            for batch in batches(rows, 8_000, 10 << 20):
+            for batch in batches(rows, 8_000, 6 << 20):
                 texts = [x or "" for x in batch.column("text").to_pylist()]
                 ids = encoder.encode(texts)
                 starts, lengths, ordinals = [], [], []
@@ -168,7 +168,7 @@ def write_shards(docs: DataFrame, root: str, tokenizer: str, end: int = END, wid
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("__t", F.xxhash64(F.coalesce("text", F.lit(""))))
     ranged = ids.repartitionByRange(F.col("doc_id").asc_nulls_first()).withColumn("part", F.spark_partition_id()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "__t")
     # Equal ids share a range, so they are neighbours in one sorted task and are numbered on the way.
-    return written(ranged.select("part", "doc_id", "text").mapInArrow(_write_shards(root, tokenizer, wide, end), "part int, doc_id long, ordinal int, file string, at long, n_tokens long"), "shards")
+    return written(ranged.select("part", "doc_id", "text").mapInArrow(freed(_write_shards(root, tokenizer, wide, end)), "part int, doc_id long, ordinal int, file string, at long, n_tokens long"), "shards")
 
 
 def _mix(x: np.ndarray, seed: int) -> np.ndarray:
@@ -392,7 +392,7 @@ def read_ids(places: DataFrame, root: str, wide: bool = False) -> DataFrame:
 
 def read_digests(places: DataFrame, root: str, wide: bool = False) -> DataFrame:
     """doc_id, ordinal, file, at, n_tokens and ids_crc32 of the places, read from the shards."""
-    return _dealt(places, wide).mapInArrow(_read(root, wide, _digests), "doc_id long, ordinal int, file string, at long, n_tokens long, ids_crc32 long")
+    return _dealt(places, wide).mapInArrow(freed(_read(root, wide, _digests)), "doc_id long, ordinal int, file string, at long, n_tokens long, ids_crc32 long")
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end: int = END, wide: bool = False) -> DataFrame:
