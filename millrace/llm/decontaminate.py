@@ -166,10 +166,20 @@ def hits(docs: DataFrame, benchmark: DataFrame, *keep: str, width: int = WINDOW,
     """
     state = docs.select(*keep, F.col("text").alias("__text"), F.lit(None).cast("array<int>").alias("__spans"), F.lit(None).cast("array<string>").alias("__items"))
     schema = state.schema
-    for one in pattern_packs(benchmark, width, pack):
-        state = state.mapInArrow(freed(_scan(docs.sparkSession.sparkContext.broadcast(one))), schema)
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in schema.fields[:-3])
-    return state.mapInArrow(_digest, f"{fields}n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<int>")
+    result = f"{fields}n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<int>"
+    # The last pack's pass gives the result too, so that with one pack a task has one Python worker.
+    last = None
+    for one in pattern_packs(benchmark, width, pack):
+        if last is not None:
+            state = state.mapInArrow(freed(_scan(last)), schema)
+        last = docs.sparkSession.sparkContext.broadcast(one)
+    return state.mapInArrow(freed(_scanned_digest(last)) if last is not None else _digest, result)
+
+
+def _scanned_digest(pack):
+    scan = _scan(pack)
+    return lambda rows: _digest(scan(rows))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
