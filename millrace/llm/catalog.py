@@ -109,6 +109,20 @@ f AS (SELECT *, CASE WHEN n_words < 20 THEN 1 ELSE 0 END + CASE WHEN 100 * n_rep
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (bits & 3) <> 0 AS base_failed, bits = 0 AS kept, CAST(bits AS BIGINT) AS failed_bits FROM f
 """
 
+OP10 = r"""
+WITH d AS (SELECT doc_id, @words AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, @words AS w FROM benchmark),
+p AS (SELECT DISTINCT item, least(13, len(w)) AS m, array_to_string(list_slice(w, i, i + 12), ' ') AS g
+  FROM (SELECT item, w, unnest(range(1, CAST(greatest(2, len(w) - 11) AS BIGINT))) AS i FROM b WHERE len(w) > 0)),
+s AS (SELECT doc_id, w, m, unnest(range(1, CAST(len(w) - m + 2 AS BIGINT))) AS i FROM d, (SELECT DISTINCT m FROM p) WHERE len(w) >= m),
+h AS (SELECT doc_id, i, s.m, item FROM (SELECT doc_id, m, i, array_to_string(list_slice(w, i, i + m - 1), ' ') AS g FROM s) s JOIN p USING (m, g)),
+n AS (SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM (SELECT DISTINCT doc_id, i, m FROM h), range(0, 13) t(k) WHERE k < m GROUP BY doc_id),
+o AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h WHERE item IS NOT NULL) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN o USING (doc_id)
+""".replace("@words", r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc": OP5, "op9_quality_rules": OP9}
+    return {"op5_warc": OP5, "op9_quality_rules": OP9, "op10_decontamination": OP10}

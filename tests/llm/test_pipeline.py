@@ -43,7 +43,7 @@ def test_stages_take_awkward_rows(spark, sf_dir):
 def test_oracles(spark, sf_dir, name):
     got = catalog.queries()[name](spark, sf_dir)
     with duckdb.connect() as con:
-        for t in ("documents", "pages"):
+        for t in ("documents", "pages", "benchmark"):
             con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
         want = con.sql(catalog.oracle_sql()[name])
         assert sorted(got.columns) == sorted(want.columns)
