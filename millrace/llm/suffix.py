@@ -15,7 +15,10 @@ context is the text of all windows that elected it.
 3. The windows found are merged to byte runs per text and cut out, all judged on the input.
 
 Nothing depends on how many copies there are: contexts are counted before they are gathered, so a
-group of copies arrives as one context and a count.  Null is an empty text; texts under 200 bytes
+group of copies arrives as one context and a count.  The suffixes of an anchor with very many
+places, such as the edge of a passage that a third of all documents share, are not sorted in one
+task: they are dealt over all tasks by their distance from the anchor and the polynomial hash of
+their 200 bytes, which puts equal ones together, and a second, independent hash verifies them.  Null is an empty text; texts under 200 bytes
 lose nothing; repeated rows are copies of each other; null doc_ids are kept apart by text only.
 """
 
@@ -37,7 +40,9 @@ LENGTH, ANCHOR = 200, 32
 BASE = 0x9E3779B97F4A7C15
 #: Window suffixes sorted at once in one task.
 BATCH_SUFFIXES = 1_000_000
-CONTEXT = {"d": pa.int64(), "t": pa.int64(), "at": pa.int32(), "h": pa.int64(), "c": pa.int64(), "off": pa.int32(), "body": pa.binary()}
+#: Places of an anchor beyond which its suffixes are dealt over all tasks.
+HOT = 20_000
+CONTEXT = {"d": pa.int64(), "t": pa.int64(), "at": pa.int32(), "h": pa.int64(), "c": pa.int64(), "off": pa.int32(), "hot": pa.bool_(), "body": pa.binary()}
 
 
 class Powers:
@@ -136,12 +141,12 @@ def _contexts(length: int):
 
     def run(rows):
         for batch in batches(rows, 4_000, 8 << 20):
-            out = {"d": [], "t": [], "at": [], "h": [], "c": [], "off": [], "body": []}
+            out = {name: [] for name in CONTEXT}
             for d, t, text, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2)), batch.column(3).to_pylist(), strict=True):
                 for x in found:
                     at, first, last = _unpacked(x["place"])
                     c = _signed(context_hash(text, at, first, last, length))
-                    for name, v in zip(out, (d, t, at, x["h"], c, at - first, text[first : last + length]), strict=True):
+                    for name, v in zip(out, (d, t, at, x["h"], c, at - first, x["hot"], text[first : last + length]), strict=True):
                         out[name].append(v)
             yield pa.RecordBatch.from_pydict({name: pa.array(v, CONTEXT[name]) for name, v in out.items()})
 
@@ -313,6 +318,39 @@ def _resolved(length: int):
     return run
 
 
+def _dealt(length: int):
+    """Of distinct contexts: each window suffix with its distance from the anchor and two hashes of its bytes."""
+
+    def run(rows):
+        for batch in batches(rows, 4_000, 2 << 20):
+            bodies = as_bytes(batch.column(batch.schema.names.index("body")))
+            suffixes = Suffixes(bodies, length)
+            base = np.cumsum([0, *map(len, bodies)])[:-1]
+            many = np.array([len(b) - length + 1 for b in bodies], np.int64)
+            owner = np.repeat(np.arange(len(bodies)), many)
+            local = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+            at = base[owner] + local
+            poly = (suffixes.prefix[at + length] - suffixes.prefix[at]) * suffixes.down[at]
+            check = [_signed(xxhash.xxh3_64_intdigest(bodies[o][i : i + length])) for o, i in zip(owner.tolist(), local.tolist(), strict=True)]
+            off = np.asarray(batch.column(batch.schema.names.index("off")))[owner]
+            own = [batch.column(batch.schema.names.index(x)).take(pa.array(owner)) for x in ("h", "c", "n")]
+            yield pa.record_batch([*own, pa.array((off - local).astype(np.int32)), pa.array(poly.view(np.int64)), pa.array(check, pa.int64())], names=["h", "c", "n", "far", "poly", "check"])
+
+    return run
+
+
+def _resolved_hot(distinct: DataFrame, length: int) -> DataFrame:
+    """As ``_resolved``, for contexts of anchors with very many places."""
+    key = ["h", "far", "poly", "check"]
+    suffixes = written(distinct.mapInArrow(freed(_dealt(length)), "h long, c long, n long, far int, poly long, check long"), "hot-suffixes")
+    twice = written(suffixes.groupBy(*key).agg(F.sum("n").alias("times")).where("times > 1").select(*key), "hot-repeats")
+    hit = suffixes.join(twice, key).groupBy("h", "c").agg(F.array_sort(F.collect_set("far")).alias("far"))
+    # The ends of each run of consecutive distances are those without a neighbour.
+    end = lambda step: F.filter("far", lambda x: ~F.array_contains("far", x + step))
+    runs = F.arrays_zip(end(1).alias("high"), end(-1).alias("low"))
+    return hit.select("h", "c", runs.alias("runs")).select("h", "c", F.expr(f"transform(runs, x -> named_struct('a', -x.high, 'b', {length} - x.low))").alias("spans"))
+
+
 def _cut(text: bytes, spans: list[dict]) -> tuple[list[tuple[int, int]], bytes]:
     runs: list[tuple[int, int]] = []
     for a, b in sorted((x["a"], x["b"]) for x in spans):
@@ -349,14 +387,17 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> Da
     """(d, t, spans): for each row key of ``docs`` the byte spans of repeated strings, unmerged."""
     texts = _keyed(docs).select("d", "t", "text")
     seen = texts.mapInArrow(_anchor_rows(length, k, True), "h long, c long").groupBy("h").agg(F.count("*").alias("n"), (F.min("c") != F.max("c")).alias("mixed"))
+    # Both sides of a join on anchors are written tables, so that the parts of a frequent anchor are dealt anew.
+    seen = written(seen.where("n > 1").select("h", "mixed", (F.col("mixed") & (F.col("n") > HOT)).alias("hot")), "repeated-anchors")
     found = texts.mapInArrow(_anchor_rows(length, k, False), "h long, place long, d long, t long")
-    shared = written(found.join(seen.where("n > 1"), "h").select("d", "t", "h", "place", "mixed"), "anchors")
+    shared = written(found.join(seen, "h").select("d", "t", "h", "place", "mixed", "hot"), "anchors")
     # Repeated rows share a key, so each anchor of theirs is gathered once.
-    per_row = shared.where("mixed").groupBy("d", "t").agg(F.collect_set(F.struct("h", "place")).alias("found"))
-    bodies = texts.join(per_row, ["d", "t"]).select("d", "t", "text", "found").mapInArrow(_contexts(length), "d long, t long, at int, h long, c long, off int, body binary")
+    per_row = shared.where("mixed").groupBy("d", "t").agg(F.collect_set(F.struct("h", "place", "hot")).alias("found"))
+    bodies = texts.join(per_row, ["d", "t"]).select("d", "t", "text", "found").mapInArrow(_contexts(length), "d long, t long, at int, h long, c long, off int, hot boolean, body binary")
     bodies = written(bodies, "contexts")
-    distinct = bodies.groupBy("h", "c").agg(F.count("*").alias("n"), F.first("off").alias("off"), F.first("body").alias("body"))
-    solved = distinct.repartition("h").sortWithinPartitions("h", "c").mapInArrow(freed(_resolved(length)), "h long, c long, spans array<struct<a: int, b: int>>")
+    distinct = lambda rows: rows.groupBy("h", "c").agg(F.count("*").alias("n"), F.first("off").alias("off"), F.first("body").alias("body"))
+    solved = distinct(bodies.where("not hot")).repartition("h").sortWithinPartitions("h", "c").mapInArrow(freed(_resolved(length)), "h long, c long, spans array<struct<a: int, b: int>>")
+    solved = written(solved.unionByName(_resolved_hot(distinct(bodies.where("hot")), length)), "solved")
     moved = bodies.select("d", "t", "at", "h", "c").join(solved, ["h", "c"]).select("d", "t", F.expr("transform(spans, x -> named_struct('a', at + x.a, 'b', at + x.b))").alias("spans"))
     first, last = "shiftright(place, 24) - (shiftright(place, 12) & 4095)", f"shiftright(place, 24) - (place & 4095) + {length}"
     whole = shared.where("not mixed").select("d", "t", F.expr(f"array(named_struct('a', cast({first} as int), 'b', cast({last} as int)))").alias("spans"))

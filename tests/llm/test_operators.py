@@ -152,6 +152,21 @@ def test_suffix_dedup_of_dense_repeats(spark, length, k):
     assert [got[i] for i, _ in rows] == suffix.brute_force([t.encode() for _, t in rows], length)
 
 
+@pytest.mark.parametrize("hot", [0, 20])
+def test_suffixes_of_frequent_anchors_are_dealt(spark, monkeypatch, hot):
+    import random
+
+    monkeypatch.setattr(suffix, "HOT", hot)
+    rng = random.Random(hot)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, other = word(90), word(70)
+    rows = [(i, word(rng.randint(0, 60)) + passage[rng.choice([0, 0, 3]) :] + word(rng.randint(0, 60)) + (other if i % 3 else "")) for i in range(120)]
+    rows += [(i + 120, t) for i, t in rows[:30]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: (r["n_bytes"] - len(r["kept"]), len(r["runs"]), hashlib.sha256(r["kept"]).hexdigest()) for r in suffix.without_repeats(df, 40, 8).collect()}
+    assert [got[i] for i, _ in rows] == suffix.brute_force([t.encode() for _, t in rows], 40)
+
+
 def test_mergesort_and_bands(monkeypatch):
     import random
 
