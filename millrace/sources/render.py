@@ -80,9 +80,9 @@ def digest(*texts: str) -> str:
 
 
 def etag_matches(header: str, etag: str) -> bool:
-    """Whether an If-None-Match header names ``etag``, weakly or by *."""
-    bare = lambda x: x.strip().removeprefix("W/")
-    return any(x.strip() == "*" or bare(x) == bare(etag) for x in header.split(","))
+    """Whether an If-None-Match header names ``etag``, weakly, in any case or by *; an empty tag matches nothing."""
+    bare = lambda x: x.strip().removeprefix("W/").lower()
+    return bool(etag) and any(x.strip() == "*" or bare(x) == bare(etag) for x in header.split(","))
 
 
 def not_modified(etag: str, modified: datetime | None, if_none_match: str = "", if_modified_since: datetime | None = None) -> bool:
