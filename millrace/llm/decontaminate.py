@@ -6,9 +6,10 @@ a text shows that block at the end of the search window; unknown blocks, nearly
 m-1 words at once.  Where the shift is zero, the bucket of that suffix block, split by the pattern's
 first words, selects test strings, which are compared word by word.
 
-Patterns are cut into packs of bounded size that are broadcast one after another; each pack is one
-more pass over the texts inside the same tasks, so neither the benchmark's size nor a text's length
-is limited and nothing is shuffled.
+Distinct windows are dealt into pack files of bounded size below the shared folder.  A task reads its
+texts in chunks of bounded size and, for each chunk, loads one pack after another: its memory is one
+pack and one chunk, whatever the benchmark holds, in one Python worker and one stage; nothing is
+shuffled but the windows themselves.  A single text longer than a chunk is a chunk of its own.
 
 A-Z are lower-cased, words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``.  Null and wordless texts have no
 words and are never hit; wordless items are no patterns.  Items with equal windows are all reported;
@@ -18,17 +19,22 @@ repeated benchmark rows with one id count once; null item ids take part in hits
 from __future__ import annotations
 
 import hashlib
+import pickle
+import uuid
 from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import as_bytes, batches, freed
+from ._common import as_bytes, batches, freed, dropped, shared_path, written
+from .files import file_uri, opened
 
 WINDOW = 13
-#: (window, item) pairs of one broadcast pack.
+#: (window, item) pairs of one pack file, on average.
 PACK = 200_000
+#: Bytes of text that are scanned with every pack before the next texts are read.
+CHUNK = 32 << 20
 #: Keeps a-z, 0-9 and all bytes from 0x80, lower-cases A-Z, blanks the rest.
 WORDS = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 
@@ -91,43 +97,75 @@ def compiled(patterns: dict[tuple[bytes, ...], list]) -> list[WuManber]:
     return [WuManber(x) for _, x in sorted(by_length.items())]
 
 
-def _scan(pack):
-    """Adds to each row's hits those of one pack: word spans, and items."""
-    kind = {"spans": pa.list_(pa.int32()), "items": pa.list_(pa.string())}
+class Packs:
+    """The pack files of a run, one compiled at a time; the last one stays for the next chunk."""
 
-    def run(rows):
-        searches = compiled(pack.value)
-        for batch in batches(rows, 2_000, 4 << 20):
-            at = batch.schema.names.index("__text")
-            spans, items = batch.column(at + 1).to_pylist(), batch.column(at + 2).to_pylist()
-            for i, text in enumerate(as_bytes(batch.column(at))):
-                words, found, ids = words_of(text), spans[i] or [], set(items[i] or ())
-                for s in searches:
-                    for start, owners in s.search(words):
-                        found += (start, start + s.length)
-                        ids.update(owners)
-                spans[i], items[i] = found, sorted(ids)
-            yield pa.record_batch([*batch.columns[: at + 1], pa.array(spans, kind["spans"]), pa.array(items, kind["items"])], names=batch.schema.names)
+    def __init__(self, root: str, names: list[str]) -> None:
+        self.root, self.names, self.held = root, names, (None, [])
 
-    return run
+    def searches(self):
+        # The one at hand goes first, so that a single pack is compiled once a task.
+        for name in sorted(self.names, key=lambda x: x != self.held[0]):
+            if name != self.held[0]:
+                self.held = (None, [])
+                files, path = opened(self.root)
+                with files.open_input_file(f"{path}/{name}") as f:
+                    self.held = (name, compiled(pickle.loads(f.read())))
+            yield self.held[1]
 
 
-def _digest(rows):
+def _chunks(rows, most: int):
+    """Lists of batches that hold ``most`` bytes of text together, or a little more."""
+    held, size = [], 0
     for batch in batches(rows, 2_000, 4 << 20):
-        at = batch.schema.names.index("__text")
-        out = {"n_words": [], "n_hit": [], "n_items": [], "items_sha256": [], "contaminated": [], "spans": []}
-        for text, spans, items in zip(as_bytes(batch.column(at)), batch.column(at + 1).to_pylist(), batch.column(at + 2).to_pylist(), strict=True):
-            n, runs = len(words_of(text)), []
-            for a, b in sorted(zip(spans[::2], spans[1::2], strict=True)) if spans else ():
-                if runs and a <= runs[-1][1]:
-                    runs[-1][1] = max(b, runs[-1][1])
-                else:
-                    runs.append([a, b])
-            hit = sum(b - a for a, b in runs)
-            for name, v in zip(out, (n, hit, len(items or ()), hashlib.sha256(",".join(items or ()).encode()).hexdigest(), hit > 0 and 20 * hit >= n, [x for r in runs for x in r]), strict=True):
-                out[name].append(v)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.int32()))
-        yield pa.record_batch([*batch.columns[:at], *(pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True))], names=[*batch.schema.names[:at], *out])
+        held.append(batch)
+        size += batch.column(batch.num_columns - 1).nbytes
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
+    runs: list[list[int]] = []
+    for a, b in sorted(spans):
+        if runs and a <= runs[-1][1]:
+            runs[-1][1] = max(b, runs[-1][1])
+        else:
+            runs.append([a, b])
+    return runs
+
+
+def _scanned(root: str, names: list[str]):
+    """Of rows with the text last: the other columns and what the packs find in it."""
+    kinds = {"n_words": pa.int64(), "n_hit": pa.int64(), "n_items": pa.int64(), "items_sha256": pa.string(), "contaminated": pa.bool_(), "spans": pa.list_(pa.int32())}
+
+    def run(rows):
+        packs = Packs(root, names)
+        # With one pack there is nothing to come back to, so texts stream through.
+        for chunk in _chunks(rows, CHUNK if len(names) > 1 else 1):
+            texts = [as_bytes(b.column(b.num_columns - 1)) for b in chunk]
+            found = [[([], set()) for _ in x] for x in texts]
+            for searches in packs.searches():
+                for own, out in zip(texts, found, strict=True):
+                    for text, (spans, ids) in zip(own, out, strict=True):
+                        words = words_of(text)
+                        for s in searches:
+                            for start, owners in s.search(words):
+                                spans.append((start, start + s.length))
+                                ids.update(owners)
+            for batch, own, out in zip(chunk, texts, found, strict=True):
+                cols: dict[str, list] = {k: [] for k in kinds}
+                for text, (spans, ids) in zip(own, out, strict=True):
+                    n, runs, items = len(words_of(text)), _merged(spans), sorted(ids)
+                    hit = sum(b - a for a, b in runs)
+                    digest = hashlib.sha256(",".join(items).encode()).hexdigest()
+                    for k, v in zip(cols, (n, hit, len(items), digest, hit > 0 and 20 * hit >= n, [x for r in runs for x in r]), strict=True):
+                        cols[k].append(v)
+                yield pa.record_batch([*batch.columns[:-1], *(pa.array(v, kinds[k]) for k, v in cols.items())], names=[*batch.schema.names[:-1], *cols])
+
+    return run
 
 
 def _patterns(width: int):
@@ -145,18 +183,49 @@ def _patterns(width: int):
     return run
 
 
-def pattern_packs(benchmark: DataFrame, width: int = WINDOW, pack: int = PACK):
-    """Yields dicts of bounded size that map a window, a tuple of words, to its item ids."""
-    rows = benchmark.select(F.col("item_id").cast("string"), "text").mapInArrow(_patterns(width), "words binary, item string, part long").distinct()
+def _packed(root: str):
+    """Of (pack, words, item) sorted by pack: one file a pack, named in the rows that come back."""
+
+    def run(rows):
+        files, path = opened(root)
+        files.create_dir(path, recursive=True)
+        now, held = None, {}
+
+        def out():
+            name = f"pack-{uuid.uuid4().hex}.bin"
+            with files.open_output_stream(f"{path}/{name}", compression=None) as f:
+                f.write(pickle.dumps(held))
+            return pa.record_batch([pa.array([name])], names=["name"])
+
+        for batch in rows:
+            for pack, words, item in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if pack != now:
+                    if now is not None:
+                        yield out()
+                    now, held = pack, {}
+                own = held.setdefault(tuple(words.split(b" ")), [])
+                if item is not None:
+                    own.append(item)
+        if now is not None:
+            yield out()
+
+    return run
+
+
+def pattern_packs(benchmark: DataFrame, width: int = WINDOW, pack: int = PACK) -> tuple[str, list[str]]:
+    """Writes the windows of ``benchmark(item_id, text)`` as pack files: their folder and their names.
+
+    The benchmark is read once; the driver receives one name a pack.
+    """
+    spark = benchmark.sparkSession
+    rows = benchmark.select(F.col("item_id").cast("string"), "text").mapInArrow(_patterns(width), "words binary, item string, part long")
+    rows = written(rows.distinct(), "windows")
     packs = max(1, -(-rows.count() // pack))
-    for i in range(packs):
-        out: dict[tuple[bytes, ...], list] = {}
-        for words, item, _ in rows.where(F.pmod("part", F.lit(packs)) == i).toLocalIterator():
-            own = out.setdefault(tuple(bytes(words).split(b" ")), [])
-            if item is not None:
-                own.append(item)
-        if out:
-            yield out
+    root = file_uri(shared_path(spark, "packs"))
+    dealt = rows.select(F.pmod("part", F.lit(packs)).alias("pack"), "words", "item").repartition(packs, "pack").sortWithinPartitions("pack")
+    names = [r["name"] for r in written(dealt.mapInArrow(_packed(root), "name string"), "pack-names").collect()]
+    dropped(spark, rows)
+    return root, sorted(names)
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, *keep: str, width: int = WINDOW, pack: int = PACK) -> DataFrame:
@@ -164,25 +233,19 @@ def hits(docs: DataFrame, benchmark: DataFrame, *keep: str, width: int = WINDOW,
 
     spans lists the hit word runs as from, to, from, to; columns of these names in ``keep`` are not allowed.
     """
-    state = docs.select(*keep, F.col("text").alias("__text"), F.lit(None).cast("array<int>").alias("__spans"), F.lit(None).cast("array<string>").alias("__items"))
-    schema = state.schema
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in schema.fields[:-3])
+    state = docs.select(*keep, F.col("text").alias("__text"))
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in state.schema.fields[:-1])
     result = f"{fields}n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<int>"
-    # The last pack's pass gives the result too, so that with one pack a task has one Python worker.
-    last = None
-    for one in pattern_packs(benchmark, width, pack):
-        if last is not None:
-            state = state.mapInArrow(freed(_scan(last)), schema)
-        last = docs.sparkSession.sparkContext.broadcast(one)
-    return state.mapInArrow(freed(_scanned_digest(last)) if last is not None else _digest, result)
+    return state.mapInArrow(freed(_scanned(*pattern_packs(benchmark, width, pack))), result)
 
 
-def _scanned_digest(pack):
-    scan = _scan(pack)
-    return lambda rows: _digest(scan(rows))
+def decontaminated(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.0) -> DataFrame:
+    """The rows of ``docs`` without benchmark windows, all columns kept.
 
-
-def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, all columns kept."""
+    One window (13 consecutive words of an item, or a whole shorter item) is a leak in a text of any
+    length, so a row with a hit word goes.  With ``least_share`` above 0 rows stay whose hit words
+    are a smaller share of their words than that.
+    """
     row = docs.select(F.struct(*docs.columns).alias("__row"), "text")
-    return hits(row, benchmark, "__row").where("not contaminated").select("__row.*")
+    hit = F.col("n_hit") >= F.greatest(F.lit(1.0), F.col("n_words") * F.lit(float(least_share)))
+    return hits(row, benchmark, "__row").where(~hit).select("__row.*")

@@ -567,13 +567,24 @@ def test_decontamination_matches_every_window(spark, docs, pack):
     assert sets(got, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == brute_hits(texts_of(df), items)
 
 
+def test_packs_are_files_that_one_stage_loads_in_turn(spark, docs, monkeypatch):
+    monkeypatch.setattr(decontaminate, "CHUNK", 2_000)
+    bench = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(20))) for i in range(50)], "item_id long, text string")
+    root, names = decontaminate.pattern_packs(bench, pack=8)
+    assert len(names) > 20
+    rows = [(i, f"before w{i}x3 " + " ".join(f"w{i}x{j}" for j in range(4, 17)) + " after") for i in range(50)]
+    got = decontaminate.hits(docs.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string")), bench, "doc_id", pack=8)
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert got.where("n_hit = 14 and contaminated").count() == 50
+
+
 def test_decontamination_of_the_tables(spark, real, sf_dir):
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     got = decontaminate.hits(real, bench, "doc_id")
     want = brute_hits(texts_of(real), [tuple(r) for r in bench.select("item_id", "text").collect()])
     assert sets(got, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == want
     kept = decontaminate.decontaminated(clashing(real), bench)
-    assert kept.count() == sum(n for x, n in want.items() if not x[5]) and kept.columns == clashing(real).columns
+    assert kept.count() == sum(n for x, n in want.items() if not x[2]) and kept.columns == clashing(real).columns
 
 
 # Empty tables
