@@ -24,7 +24,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by benchmark passages."""
+    """Documents without any benchmark passage, however long they are themselves."""
     return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
