@@ -2,9 +2,10 @@
 
 Edges first contract inside each partition (a union-find with bounded memory), which leaves at most
 one edge a node and partition.  Large-star and small-star rounds (Kiveris and others, 2014) then
-take O(log^2 n) rounds in practice, each a minimum per node and a join back, so a node with very
-many links is split by the skew join and pre-aggregated before any shuffle.  No links or labels
-reach the driver, only a count and a checksum a round.
+take O(log^2 n) rounds in practice, each a minimum per node and a join back.  The links of a node
+are dealt over up to ``PARTS`` parts, so one with very many links is no single task's.  No links or
+labels reach the driver, only a count and a checksum a round; each round's table is deleted once
+the next one is written.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from millrace.plans.shared import dropped, written
 
+
 class Forest:
     """Union-find over integers; the root of a set is its smallest member."""
 
@@ -43,6 +45,8 @@ class Forest:
 EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 #: Nodes that one partition's union-find holds before it is emptied.
 HELD_NODES = 2_000_000
+#: Parts over which the links of one node are dealt.
+PARTS = 64
 
 
 def _contract(rows):
@@ -64,16 +68,29 @@ def _contract(rows):
     yield from out()
 
 
+def _with_least(rows: DataFrame, key: str, other: str) -> DataFrame:
+    """``rows(key, other)`` with m, the least ``other`` of each key, and no task that holds all rows of a key.
+
+    Rows of a key are dealt by the other node too; minima are taken in two steps, and go back to
+    those parts of a key that hold rows, so a key costs a row a part and never more than its rows.
+    """
+    part = F.pmod(F.xxhash64(other), F.lit(PARTS)).cast("int").alias("part")
+    dealt = rows.select(key, other, part)
+    halves = dealt.groupBy(key, "part").agg(F.min(other).alias("m"))
+    whole = halves.groupBy(key).agg(F.min("m").alias("m"), F.collect_list("part").alias("parts"))
+    return dealt.join(whole.select(key, "m", F.explode("parts").alias("part")), [key, "part"]).drop("part")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select(F.col("u").alias("a"), F.col("v").alias("b")).union(edges.select("v", "u"))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("u"), F.col("m").alias("v")).distinct()
+    found = _with_least(both, "a", "b").where("b > a")
+    return found.select(F.col("b").alias("u"), F.least("a", "m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
+    found = _with_least(edges, "u", "v")
+    moved = found.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.union(found.where("v = m").select("u", "v")).distinct()
 
 
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
