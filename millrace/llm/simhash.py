@@ -8,9 +8,11 @@ list is 2^24 times shorter than the table.  Within a list the shared positional
 tallied, pairs below the guaranteed minimum go, and the rest are verified bit by bit.
 
 Only distinct fingerprints are indexed, each list yields a spanning forest of its verified links
-(never all pairs of a group), and components are found by star contraction.  Long lists are not
-compared pairwise at all: links of at most 4 bits are found by meeting in the middle, at strings
-two flips from both ends, which grows linearly with the list.
+(never all pairs of a group), and components are found by star contraction.  A list of over ``LONG``
+fingerprints, as the variants of one boilerplate text make, is not compared in one task but dealt
+again: the bits that vary in it are cut into k+1 blocks, of which a true pair leaves one unchanged,
+so each member posts k+1 longer agreements, until every list is short (varying bits shrink each
+time, and v of them make 2^v fingerprints at most).  All lists are tallied and verified alike.
 
 Text rules: A-Z are lower-cased, words are ``[^\\x20\\x09-\\x0D]+``, features are 4-word shingles
 with repeats (a shorter text is one shingle), hashed by XXH64 with seed 42.  Null and wordless
@@ -32,8 +34,8 @@ from ._common import LOWER, Forest, as_bytes, batches, freed, groups, written
 from millrace.operators.components import connected_components
 
 SEED, SHINGLE = 42, 4
-#: Lists up to this length compare every member with a growing frontier; longer ones meet in the middle.
-FRONTIER = 8_192
+#: Fingerprints of a posting list beyond which it is dealt again by longer agreements.
+LONG = 4_096
 #: Hashes tallied at once, which bounds memory for a very long text.
 CHUNK = 65_536
 
@@ -111,33 +113,6 @@ def _frontier_links(fp: np.ndarray, k: int):
             left = left[~near]
 
 
-def _middle_links(fp: np.ndarray, k: int):
-    """Links of one long list: members within 2h and k bits meet at a string h flips from both."""
-    half, rest = k // 2, k - k // 2
-    varying = int(np.bitwise_or.reduce(fp ^ fp[0]))
-    free = [b for b in range(64) if varying >> b & 1]
-    masks = np.array([sum(1 << b for b in bits) for r in range(rest + 1) for bits in combinations(free, r)], np.uint64)
-    weight = np.bitwise_count(masks)
-    parts = max(1, len(fp) * len(masks) // 4_000_000)
-    for part in range(parts):
-        at, who, far = [], [], []
-        for m, w in zip(masks, weight, strict=True):
-            x = fp ^ m
-            mine = np.flatnonzero((x * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(parts) == part)
-            at.append(x[mine])
-            who.append(mine)
-            far.append(np.full(len(mine), w, np.int8))
-        at, who, far = np.concatenate(at), np.concatenate(who), np.concatenate(far)
-        order = np.lexsort((far, at))
-        at, who, far = at[order], who[order], far[order]
-        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        # The nearest member of a meeting point links to all others there; for odd k their distance is checked too.
-        head = np.repeat(first, np.diff(np.append(first, len(at))))
-        a, b = fp[who[head]], fp[who]
-        ok = (a != b) & (np.bitwise_count(a ^ b) <= k) if half != rest else a != b
-        yield from zip(a[ok].tolist(), b[ok].tolist(), strict=True)
-
-
 def _links(k: int):
     def run(rows):
         forest = Forest()
@@ -163,7 +138,7 @@ def _links(k: int):
                 found += zip(fp[both].tolist(), fp[both + step].tolist(), strict=True)
             for at, n in zip(starts[size > 32].tolist(), size[size > 32].tolist(), strict=True):
                 own = np.unique(fp[at : at + n])
-                found += (_frontier_links if n <= FRONTIER else _middle_links)(own, k)
+                found += _frontier_links(own, k)
             found = [p for p in found if forest.join(*p)]
             if found:
                 yield out(found)
@@ -173,22 +148,60 @@ def _links(k: int):
     return run
 
 
-def hamming_components(prints: DataFrame, k: int = 4) -> DataFrame:
+def _blocks(k: int):
+    """Of (key, varying): k+1 masks a list, each of some of its varying bits."""
+
+    def run(rows):
+        for batch in rows:
+            keys, masks = [], []
+            for key, varying in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
+                free = [b for b in range(64) if varying >> b & 1]
+                for part in range(k + 1):
+                    mask = sum(1 << b for b in free[part :: k + 1])
+                    keys.append(key)
+                    masks.append(mask - (mask >> 63 << 64))
+            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(masks, pa.int64())], names=["key", "mask"])
+
+    return run
+
+
+def posting_lists(prints: DataFrame, k: int, long: int = LONG):
+    """Yields (key, fp) tables of posting lists of at most ``long`` members in which all true pairs meet.
+
+    ``prints`` has distinct ``fp``.  The driver only learns whether there are long lists.
+    """
+    rows = prints.select(F.explode(index_keys(F.col("fp"), k)).alias("key"), "fp")
+    while True:
+        varying = F.expr("bit_or(fp) & ~bit_and(fp)").alias("varying")
+        large = rows.groupBy("key").agg(F.count("*").alias("n"), varying).where(F.col("n") > long).select("key", "varying")
+        large = written(large, "long-lists")
+        if large.isEmpty():
+            yield rows
+            return
+        yield rows.join(large, "key", "left_anti")
+        masks = written(large.mapInArrow(_blocks(k), "key long, mask long"), "list-blocks")
+        # A new key is a hash of the old one and of the further bits agreed on; what a collision brings together is verified.
+        rows = written(rows.join(masks, "key").select(F.xxhash64("key", "mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "fp"), "postings")
+
+
+def hamming_components(prints: DataFrame, k: int = 4, long: int = LONG) -> DataFrame:
     """(fp, component) for those distinct ``fp`` of ``prints`` that link to another one.
 
     Fingerprints link at ``k`` or fewer differing bits; ``component`` is the smallest fingerprint
     reachable, as a signed number.  Fingerprints without links have no row.
     """
-    index = prints.select("fp").distinct().select("fp", F.explode(index_keys(F.col("fp"), k)).alias("key"))
-    lists = index.repartition("key").sortWithinPartitions("key", "fp")
-    links = lists.mapInArrow(_links(k), "u long, v long")
+    links = None
+    for lists in posting_lists(prints.select("fp").distinct(), k, long):
+        found = lists.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_links(k), "u long, v long")
+        links = found if links is None else links.union(found)
     return connected_components(links, "simhash").withColumnRenamed("node", "fp")
 
 
 def _classed(prints: DataFrame, k: int) -> DataFrame:
     """(fp, component) for every distinct ``fp``."""
-    linked = hamming_components(prints, k)
-    return prints.select("fp").distinct().join(linked, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"))
+    distinct = written(prints.select("fp").distinct(), "distinct-prints")
+    linked = hamming_components(distinct, k)
+    return distinct.join(linked, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -209,10 +222,12 @@ def deduplicated(docs: DataFrame, k: int = 4) -> DataFrame:
 
     Extra columns stay.  Of repeated rows one stays; rows without doc_id come last in the order.
     """
-    row = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.hex(F.xxhash64(F.coalesce("text", F.lit("")))))
-    keyed = docs.withColumn("__row", row)
-    prints = written(with_fingerprints(keyed, "doc_id", "__row"), "fingerprints")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "__row")).alias("first")
+    text = F.coalesce("text", F.lit(""))
+    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.hex(F.xxhash64(text)))
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", key.alias("key"))
+    prints = written(with_fingerprints(keyed, "doc_id", "key"), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "key")).alias("first")
     per_print = prints.groupBy("fp").agg(first)
-    heads = per_print.join(_classed(prints, k), "fp").groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.__row").alias("__row"))
-    return keyed.join(heads, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
+    heads = per_print.join(_classed(prints, k), "fp").groupBy("component").agg(F.min("first").alias("first"))
+    heads = written(heads.select(F.col("first.key").alias("key")), "heads")
+    return keyed.select("row", "key").join(heads, "key", "left_semi").dropDuplicates(["key"]).select("row.*")

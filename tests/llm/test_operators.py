@@ -88,13 +88,13 @@ def test_position_sets_cover_every_pair():
         assert all(any(t <= set(c) for t in chosen) for c in combinations(range(8), 8 - k))
 
 
-@pytest.mark.parametrize("k", [3, 4])
-def test_long_lists_meet_in_the_middle(k):
+@pytest.mark.parametrize("k", [2, 4])
+def test_long_lists_are_dealt_until_short(spark, k):
     import numpy as np
 
     rng = np.random.default_rng(k)
     base = rng.integers(0, 2**63, 3, dtype=np.uint64)
-    fp = np.unique([int(b) ^ sum(1 << int(x) for x in rng.integers(0, 40, rng.integers(0, 7))) for b in base for _ in range(300)]).astype(np.uint64)
+    prints = sorted({int(b) ^ sum(1 << int(x) for x in rng.integers(0, 40, rng.integers(0, 7))) for b in base for _ in range(300)})
 
     def classes(links):
         from millrace.llm._common import Forest
@@ -103,12 +103,15 @@ def test_long_lists_meet_in_the_middle(k):
         for a, b in links:
             assert (a ^ b).bit_count() <= k
             f.join(a, b)
-        return {int(x): f.root(int(x)) for x in fp}
-
-    pairs = [(int(a), int(b)) for i, a in enumerate(fp) for b in fp[:i] if (int(a) ^ int(b)).bit_count() <= k]
-    want = classes(pairs)
-    assert classes((int(a), int(b)) for a, b in simhash._middle_links(fp, k)) == want
-    assert classes(simhash._frontier_links(fp, k)) == want
+        return {x: f.root(x) for x in prints}
+
+    want = classes((a, b) for i, a in enumerate(prints) for b in prints[:i] if (a ^ b).bit_count() <= k)
+    df = spark.createDataFrame([(x,) for x in prints], "fp long")
+    lists = list(simhash.posting_lists(df, k, long=20))
+    assert len(lists) > 1 and all(x.groupBy("key").count().agg(F.max("count")).first()[0] <= 20 for x in lists)
+    got = dict(simhash.hamming_components(df, k, long=20).collect())
+    assert {x: got.get(x, x) for x in prints} == want
+    assert classes((int(a), int(b)) for a, b in simhash._frontier_links(np.array(prints, np.uint64), k)) == want
 
 
 def test_chains_and_stars_are_one_component(spark):
