@@ -27,6 +27,28 @@ ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuv
 LOWER = bytes.maketrans(ASCII_UPPER.encode(), ASCII_LOWER.encode())
 
 
+BASE = 0x9E3779B97F4A7C15
+
+
+class Powers:
+    """Powers of the base and of its inverse modulo 2^64, grown on demand."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            n = max(n, 2 * len(self.up))
+            for name, x in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
+                steps = np.full(n, x, np.uint64)
+                steps[0] = 1
+                setattr(self, name, np.multiply.accumulate(steps))
+        return self.up, self.down
+
+
+POWERS = Powers()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

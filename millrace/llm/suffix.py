@@ -34,10 +34,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from ._common import as_bytes, batches, freed, groups, written
+from ._common import POWERS, as_bytes, batches, freed, groups, written
 
 LENGTH, ANCHOR = 200, 32
-BASE = 0x9E3779B97F4A7C15
 #: Window suffixes sorted at once in one task.
 BATCH_SUFFIXES = 1_000_000
 #: Places of an anchor beyond which its suffixes are dealt over all tasks.
@@ -45,25 +44,6 @@ HOT = 20_000
 CONTEXT = {"d": pa.int64(), "t": pa.int64(), "at": pa.int32(), "h": pa.int64(), "c": pa.int64(), "off": pa.int32(), "hot": pa.bool_(), "body": pa.binary()}
 
 
-class Powers:
-    """Powers of the base and of its inverse modulo 2^64, grown on demand."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            n = max(n, 2 * len(self.up))
-            for name, x in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
-                steps = np.full(n, x, np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.multiply.accumulate(steps))
-        return self.up, self.down
-
-
-POWERS = Powers()
-
-
 def prefix_hashes(data: np.ndarray) -> np.ndarray:
     """Polynomial hashes of all prefixes of a byte array, modulo 2^64."""
     up, _ = POWERS.to(len(data) + 1)

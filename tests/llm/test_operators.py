@@ -244,15 +244,28 @@ def test_edit_distance():
         assert lines.distance(a, b) == slow(a, b)
 
 
+def edits(a, b):
+    """Edit distance by the textbook table, numpy a row."""
+    import numpy as np
+
+    y, row = np.array([ord(c) for c in b]), np.arange(len(b) + 1)
+    steps = np.arange(len(b) + 1)
+    for i, c in enumerate(a, 1):
+        new = np.concatenate([[i], np.minimum(row[1:] + 1, row[:-1] + (y != ord(c)))])
+        row = np.minimum.accumulate(new - steps) + steps
+    return int(row[-1])
+
+
 def brute_lines(rows):
+    """All pairs of distinct lines by edit distance alone."""
     found = []
     for d, t in rows:
         for n, line in enumerate((t or "").split("\n")):
-            own = lines.normalised(line.encode())
+            own = " ".join(line.lower().split())
             if own:
                 found.append(((d is None, d or 0, n), d, own))
-    distinct = sorted({x[2] for x in found})
-    prints = dict(zip(distinct, lines.line_prints([x.split(b" ") for x in distinct]).tolist(), strict=True)) if distinct else {}
+    distinct = sorted({x[2] for x in found}, key=len)
+    letters = {x: Counter(x) for x in distinct}
     parent = {x: x for x in distinct}
 
     def root(x):
@@ -260,9 +273,13 @@ def brute_lines(rows):
             x = parent[x]
         return x
 
-    for i, a in enumerate(distinct):
-        for b in distinct[:i]:
-            if ((prints[a] ^ prints[b]) & (1 << 64) - 1).bit_count() <= 3 and lines.alike(a.decode(), b.decode()):
+    for i, b in enumerate(distinct):
+        for a in reversed(distinct[:i]):
+            most = int(0.1 * len(b) + 1e-9)
+            if len(b) - len(a) > most:
+                break
+            # Letters that the longer one has more of cost an edit each.
+            if (letters[b] - letters[a]).total() <= most and root(a) != root(b) and edits(a, b) <= most:
                 parent[root(a)] = root(b)
     first = {}
     for place, _, own in sorted(found):
@@ -281,13 +298,30 @@ def test_line_dedup_matches_all_pairs(spark, real):
 
 def test_fuzzy_lines_join_and_repeated_rows(spark):
     base = "the quick brown fox jumps over the lazy dog while many other animals watch it from the hill near the old river bank " * 3
-    rows = [(1, base), (2, base.replace("quick", "quicK").upper()), (3, base.replace("hill", "hall")), (4, "other\n" + base.strip() + " "), (5, None), (6, ""), (7, "\n\n"), (8, "twice"), (8, "twice"), (None, "other")]
+    rows = [(1, base), (2, base.replace("quick", "quicK").upper()), (3, base.replace("hill", "hall")), (4, "other\n" + base.strip() + " "), (5, None), (6, ""), (7, "\n\n"), (8, "twice in\nfull"), (8, "twice in\nfull"), (9, "full\nand more"), (None, "other")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(((r["doc_id"] or 0, r["n_lines"], r["removed_lines"]) for r in lines.line_report(df).collect()), key=str)
-    want = brute_lines([r for r in rows if r[0] != 8])
-    assert sum(len(x[2]) for x in got if x[0] != 8) == sum(want.values())
-    assert [x for x in got if x[0] == 8] == [(8, 1, [0]), (8, 1, [])]
-    assert {r["doc_id"]: r["text"] for r in lines.without_duplicate_lines(df).collect() if r["doc_id"] in (1, 2)} == {1: base, 2: ""}
+    want = brute_lines([r for r in rows if r[0] not in (8, 9)])
+    assert sum(len(x[2]) for x in got if x[0] not in (8, 9)) == sum(want.values())
+    assert [x for x in got if x[0] in (8, 9)] == [(8, 2, [0, 1]), (8, 2, []), (9, 2, [0])]
+    names = ["row", "d", "t", "n", "gone", "lost", "turn", "line", "__d", "__t", "__gone"]
+    left = lines.without_duplicate_lines(df.withColumns({x: F.lit(x) for x in names}))
+    assert left.columns == [*df.columns, *names] and {r["gone"] for r in left.collect()} == {"gone"}
+    texts = Counter((r["doc_id"], r["text"]) for r in left.collect())
+    assert texts == Counter([(1, base), (2, ""), (3, ""), (4, "other"), (5, None), (6, ""), (7, "\n\n"), (8, "twice in\nfull"), (8, ""), (9, "and more"), (None, "")])
+
+
+def test_string_ids_and_long_blocks_of_lines(spark):
+    import random
+
+    rng = random.Random(4)
+    head = "this order of the regional office for public works was registered under the number "
+    rows = [(f"d{i:04}", f"{head}{rng.randint(0, 10**6):07} and {rng.randint(0, 10**6):07}") for i in range(600)] + [(f"x{i}", hashlib.sha512(b"%d" % i).hexdigest()) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id string, text string").repartition(5)
+    for long in (2_048, 40):
+        found = {(r["a"], r["b"]) for r in lines.line_groups(df, long)[1].select("a", "b").collect()}
+        assert len(found) == len({t for d, t in rows if d[0] == "d"})
+    assert lines.line_report(df).agg(F.sum("n_removed")).first()[0] == 599
 
 
 # 5: WARC
