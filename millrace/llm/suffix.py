@@ -7,10 +7,11 @@ a repeated window meet at one anchor hash.  About one byte in 80 is an anchor, a
 context is the text of all windows that elected it.
 
 1. Anchors that occur once go.  Where all contexts of an anchor are equal, all its windows repeat.
+   Whole contexts are compared by two independent 64-bit hashes (XXH3 and a polynomial), not by bytes.
 2. For the rest, the distinct contexts of an anchor come together, and all their window suffixes
    are sorted: a bottom-up mergesort, vectorised over all anchors of a batch, that compares two
    suffixes in eight steps, a binary search for the longest common extension over prefix polynomial
-   hashes.  Neighbours that agree on 200 bytes are then compared byte by byte, so a hash collision
+   hashes.  Neighbours that agree on 200 bytes are then compared byte by byte, so a collision there
    cannot remove text; windows of a batch with such a collision are grouped by their bytes instead.
 3. The windows found are merged to byte runs per text and cut out, all judged on the input.
 
@@ -18,8 +19,8 @@ Nothing depends on how many copies there are: contexts are counted before they a
 group of copies arrives as one context and a count.  The suffixes of an anchor with very many
 places, such as the edge of a passage that a third of all documents share, are not sorted in one
 task: they are dealt over all tasks by their distance from the anchor and the polynomial hash of
-their 200 bytes, which puts equal ones together, and a second, independent hash verifies them.  Null is an empty text; texts under 200 bytes
-lose nothing; repeated rows are copies of each other; null doc_ids are kept apart by text only.
+their 200 bytes, which puts equal ones together, and a second, independent hash verifies them (no
+bytes are compared there).  Null is an empty text; texts under 200 bytes lose nothing; repeated rows are copies of each other; null doc_ids are kept apart by text only.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ LENGTH, ANCHOR = 200, 32
 BATCH_SUFFIXES = 1_000_000
 #: Places of an anchor beyond which its suffixes are dealt over all tasks.
 HOT = 20_000
-CONTEXT = {"d": pa.int64(), "t": pa.int64(), "at": pa.int32(), "h": pa.int64(), "c": pa.int64(), "off": pa.int32(), "hot": pa.bool_(), "body": pa.binary()}
+CONTEXT = {"d": pa.int64(), "t": pa.int64(), "at": pa.int32(), "h": pa.int64(), "c": pa.int64(), "p": pa.int64(), "off": pa.int32(), "hot": pa.bool_(), "body": pa.binary()}
 
 
 def prefix_hashes(data: np.ndarray) -> np.ndarray:
@@ -57,8 +58,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def anchors(text: bytes, length: int = LENGTH, k: int = ANCHOR) -> list[tuple[int, int, int, int]]:
-    """(hash, position, first window, last window) of each anchor of one text, in order."""
+def anchors(text: bytes, length: int = LENGTH, k: int = ANCHOR) -> list[tuple[int, int, int, int, int]]:
+    """(hash, position, first window, last window, polynomial hash of the context) of each anchor of one text, in order."""
     n = len(text)
     if n < length:
         return []
@@ -80,7 +81,9 @@ def anchors(text: bytes, length: int = LENGTH, k: int = ANCHOR) -> list[tuple[in
             at = first + int(h[first : first + span].argmin())
             out.append((int(h[at]), at, first, min(at, after - 1)))
             first = at + 1
-    return out
+    ends = np.array([(x[2], x[3] + length) for x in out])
+    poly = ((prefix[ends[:, 1]] - prefix[ends[:, 0]]) * down[ends[:, 0]]).tolist()
+    return [(*x, p) for x, p in zip(out, poly, strict=True)]
 
 
 def _signed(x: int) -> int:
@@ -88,19 +91,22 @@ def _signed(x: int) -> int:
 
 
 def _anchor_rows(length: int, k: int, contexts: bool):
-    """Per anchor its hash and either the hash of its context, or its place, packed in one number."""
+    """Per anchor its hash and either two hashes of its context, or its place, packed in one number."""
 
     def run(rows):
         for batch in batches(rows, 4_000, 8 << 20):
             d, t = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            hashes, what, owner = [], [], []
+            hashes, what, owner, second = [], [], [], []
             for i, text in enumerate(as_bytes(batch.column(2))):
-                for h, at, first, last in anchors(text, length, k):
+                for h, at, first, last, poly in anchors(text, length, k):
                     hashes.append(_signed(h))
+                    second.append(_signed(poly))
                     what.append(_signed(context_hash(text, at, first, last, length)) if contexts else at << 24 | (at - first) << 12 | (at - last))
                     owner.append(i)
             out = {"h": pa.array(hashes, pa.int64()), "c" if contexts else "place": pa.array(what, pa.int64())}
-            if not contexts:
+            if contexts:
+                out["p"] = pa.array(second, pa.int64())
+            else:
                 out |= {"d": pa.array([d[i] for i in owner], pa.int64()), "t": pa.array([t[i] for i in owner], pa.int64())}
             yield pa.RecordBatch.from_pydict(out)
 
@@ -123,10 +129,13 @@ def _contexts(length: int):
         for batch in batches(rows, 4_000, 8 << 20):
             out = {name: [] for name in CONTEXT}
             for d, t, text, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2)), batch.column(3).to_pylist(), strict=True):
+                prefix = prefix_hashes(np.frombuffer(text, np.uint8)) if found else None
+                down = POWERS.to(len(text) + 1)[1]
                 for x in found:
                     at, first, last = _unpacked(x["place"])
                     c = _signed(context_hash(text, at, first, last, length))
-                    for name, v in zip(out, (d, t, at, x["h"], c, at - first, x["hot"], text[first : last + length]), strict=True):
+                    poly = int((prefix[last + length] - prefix[first]) * down[first])
+                    for name, v in zip(out, (d, t, at, x["h"], c, _signed(poly), at - first, x["hot"], text[first : last + length]), strict=True):
                         out[name].append(v)
             yield pa.RecordBatch.from_pydict({name: pa.array(v, CONTEXT[name]) for name, v in out.items()})
 
@@ -262,20 +271,21 @@ def repeated_windows(contexts: list[tuple[int, bytes, int]], length: int = LENGT
 
 
 def _resolved(length: int):
-    """Of distinct contexts sorted by anchor: (h, c, spans) with spans as (from, to) from the anchor."""
+    """Of distinct contexts sorted by anchor: (h, c, p, spans) with spans as (from, to) from the anchor."""
     kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
     def solve(part: list[dict]):
         found = repeated_windows([(x["h"], x["body"], x["off"]) for x in part], length)
-        h, c, spans = [], [], []
+        h, c, p, spans = [], [], [], []
         for x, runs in zip(part, found, strict=True):
             if x["n"] > 1:
                 runs = [(0, len(x["body"]) - length + 1)]
             if runs:
                 h.append(x["h"])
                 c.append(x["c"])
+                p.append(x["p"])
                 spans.append([{"a": a - x["off"], "b": b - 1 + length - x["off"]} for a, b in runs])
-        return pa.record_batch([pa.array(h, pa.int64()), pa.array(c, pa.int64()), pa.array(spans, kind)], names=["h", "c", "spans"])
+        return pa.record_batch([*(pa.array(v, pa.int64()) for v in (h, c, p)), pa.array(spans, kind)], names=["h", "c", "p", "spans"])
 
     def run(rows):
         part, suffixes = [], 0
@@ -313,8 +323,8 @@ def _dealt(length: int):
             poly = (suffixes.prefix[at + length] - suffixes.prefix[at]) * suffixes.down[at]
             check = [_signed(xxhash.xxh3_64_intdigest(bodies[o][i : i + length])) for o, i in zip(owner.tolist(), local.tolist(), strict=True)]
             off = np.asarray(batch.column(batch.schema.names.index("off")))[owner]
-            own = [batch.column(batch.schema.names.index(x)).take(pa.array(owner)) for x in ("h", "c", "n")]
-            yield pa.record_batch([*own, pa.array((off - local).astype(np.int32)), pa.array(poly.view(np.int64)), pa.array(check, pa.int64())], names=["h", "c", "n", "far", "poly", "check"])
+            own = [batch.column(batch.schema.names.index(x)).take(pa.array(owner)) for x in ("h", "c", "p", "n")]
+            yield pa.record_batch([*own, pa.array((off - local).astype(np.int32)), pa.array(poly.view(np.int64)), pa.array(check, pa.int64())], names=["h", "c", "p", "n", "far", "poly", "check"])
 
     return run
 
@@ -322,13 +332,13 @@ def _dealt(length: int):
 def _resolved_hot(distinct: DataFrame, length: int) -> DataFrame:
     """As ``_resolved``, for contexts of anchors with very many places."""
     key = ["h", "far", "poly", "check"]
-    suffixes = written(distinct.mapInArrow(freed(_dealt(length)), "h long, c long, n long, far int, poly long, check long"), "hot-suffixes")
+    suffixes = written(distinct.mapInArrow(freed(_dealt(length)), "h long, c long, p long, n long, far int, poly long, check long"), "hot-suffixes")
     twice = written(suffixes.groupBy(*key).agg(F.sum("n").alias("times")).where("times > 1").select(*key), "hot-repeats")
-    hit = suffixes.join(twice, key).groupBy("h", "c").agg(F.array_sort(F.collect_set("far")).alias("far"))
+    hit = suffixes.join(twice, key).groupBy("h", "c", "p").agg(F.array_sort(F.collect_set("far")).alias("far"))
     # The ends of each run of consecutive distances are those without a neighbour.
     end = lambda step: F.filter("far", lambda x: ~F.array_contains("far", x + step))
     runs = F.arrays_zip(end(1).alias("high"), end(-1).alias("low"))
-    return hit.select("h", "c", runs.alias("runs")).select("h", "c", F.expr(f"transform(runs, x -> named_struct('a', -x.high, 'b', {length} - x.low))").alias("spans"))
+    return hit.select("h", "c", "p", runs.alias("runs")).select("h", "c", "p", F.expr(f"transform(runs, x -> named_struct('a', -x.high, 'b', {length} - x.low))").alias("spans"))
 
 
 def _cut(text: bytes, spans: list[dict]) -> tuple[list[tuple[int, int]], bytes]:
@@ -366,19 +376,19 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> DataFrame:
     """(d, t, spans): for each row key of ``docs`` the byte spans of repeated strings, unmerged."""
     texts = _keyed(docs).select("d", "t", "text")
-    seen = texts.mapInArrow(_anchor_rows(length, k, True), "h long, c long").groupBy("h").agg(F.count("*").alias("n"), (F.min("c") != F.max("c")).alias("mixed"))
+    seen = texts.mapInArrow(_anchor_rows(length, k, True), "h long, c long, p long").groupBy("h").agg(F.count("*").alias("n"), ((F.min("c") != F.max("c")) | (F.min("p") != F.max("p"))).alias("mixed"))
     # Both sides of a join on anchors are written tables, so that the parts of a frequent anchor are dealt anew.
     seen = written(seen.where("n > 1").select("h", "mixed", (F.col("mixed") & (F.col("n") > HOT)).alias("hot")), "repeated-anchors")
     found = texts.mapInArrow(_anchor_rows(length, k, False), "h long, place long, d long, t long")
     shared = written(found.join(seen, "h").select("d", "t", "h", "place", "mixed", "hot"), "anchors")
     # Repeated rows share a key, so each anchor of theirs is gathered once.
     per_row = shared.where("mixed").groupBy("d", "t").agg(F.collect_set(F.struct("h", "place", "hot")).alias("found"))
-    bodies = texts.join(per_row, ["d", "t"]).select("d", "t", "text", "found").mapInArrow(_contexts(length), "d long, t long, at int, h long, c long, off int, hot boolean, body binary")
+    bodies = texts.join(per_row, ["d", "t"]).select("d", "t", "text", "found").mapInArrow(_contexts(length), "d long, t long, at int, h long, c long, p long, off int, hot boolean, body binary")
     bodies = written(bodies, "contexts")
-    distinct = lambda rows: rows.groupBy("h", "c").agg(F.count("*").alias("n"), F.first("off").alias("off"), F.first("body").alias("body"))
-    solved = distinct(bodies.where("not hot")).repartition("h").sortWithinPartitions("h", "c").mapInArrow(freed(_resolved(length)), "h long, c long, spans array<struct<a: int, b: int>>")
+    distinct = lambda rows: rows.groupBy("h", "c", "p").agg(F.count("*").alias("n"), F.first("off").alias("off"), F.first("body").alias("body"))
+    solved = distinct(bodies.where("not hot")).repartition("h").sortWithinPartitions("h", "c", "p").mapInArrow(freed(_resolved(length)), "h long, c long, p long, spans array<struct<a: int, b: int>>")
     solved = written(solved.unionByName(_resolved_hot(distinct(bodies.where("hot")), length)), "solved")
-    moved = bodies.select("d", "t", "at", "h", "c").join(solved, ["h", "c"]).select("d", "t", F.expr("transform(spans, x -> named_struct('a', at + x.a, 'b', at + x.b))").alias("spans"))
+    moved = bodies.select("d", "t", "at", "h", "c", "p").join(solved, ["h", "c", "p"]).select("d", "t", F.expr("transform(spans, x -> named_struct('a', at + x.a, 'b', at + x.b))").alias("spans"))
     first, last = "shiftright(place, 24) - (shiftright(place, 12) & 4095)", f"shiftright(place, 24) - (place & 4095) + {length}"
     whole = shared.where("not mixed").select("d", "t", F.expr(f"array(named_struct('a', cast({first} as int), 'b', cast({last} as int)))").alias("spans"))
     return whole.unionByName(moved)

@@ -192,6 +192,24 @@ def test_a_hash_collision_removes_nothing(monkeypatch):
     assert suffix.repeated_windows(bodies, 20) == [[(0, 11)], [], [(0, 11)]]
 
 
+def test_equal_context_hashes_remove_nothing(spark, monkeypatch):
+    import random
+
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = word(60)
+    rows = [(i, word(300) + shared + word(300)) for i in range(6)]
+    # Tasks unpickle the function by reference, so the weak hash is put where they call it.
+    weak = lambda digest: (lambda text, at, first, last, length: 1)
+    monkeypatch.setattr(suffix, "context_hash", weak(None))
+    texts = [t.encode() for _, t in rows]
+    got = {(h, p) for t in texts for h, at, first, last, p in suffix.anchors(t, 200, 32)}
+    assert len(got) == sum(len(suffix.anchors(t, 200, 32)) for t in texts)
+    batch = __import__("pyarrow").RecordBatch.from_pydict({"d": [i for i, _ in rows], "t": [0] * 6, "text": [t for _, t in rows]})
+    (out,) = suffix._anchor_rows(200, 32, True)(iter([batch]))
+    assert set(out.column("c").to_pylist()) == {1} and len(set(zip(out.column("h").to_pylist(), out.column("p").to_pylist(), strict=True))) == out.num_rows
+
+
 # 3: sharding
 
 
