@@ -1,11 +1,13 @@
 """Token ids as raw binary shards with a minimal perfect hash index.
 
 Shards: documents in ascending doc_id order are range-partitioned; each task encodes its range and
-writes one headerless file of little-endian unsigned ids, 16 bits wide where the vocabulary allows
-it, else 32.  Index: document keys are hashed to index buckets; each bucket is one file that holds
-a minimal perfect hash (levels of bit arrays with ranks), and per slot a 32-bit fingerprint, the
-shard, the offset and the length.  A lookup hashes the key once a level, reads one slot, compares the
-fingerprint, and reads the ids by one byte range: constant time, whatever the corpus holds.
+writes one headerless file of little-endian unsigned ids, 16 bits wide where the vocabulary fits,
+else 32.  Index: document keys are hashed to index buckets; each bucket is one file that holds a
+minimal perfect hash (levels of bit arrays with the rank of every 512th bit), and per slot a 32-bit
+fingerprint, the shard, the offset and the length.  A lookup hashes the key once a level, reads the
+64 bytes around its bit and one rank, then one slot, compares the fingerprint, and reads the ids by
+one byte range: constant work a key, whatever the corpus holds.  Many keys are dealt by bucket, so
+each index file has one reader; one that looks up a large part of a bucket reads it whole.
 
 Encoding: the tokenizer splits text before a single space between two non-spaces, so such pieces are
 encoded once and looked up afterwards; texts with other runs of white space or with special
@@ -30,16 +32,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import batches, freed, shared_path, written
+from ._common import batches, freed, groups, shared_path, written
 from .files import coalesced, file_uri, opened
 
 END = 2
 #: Pieces remembered by a Python worker, cleared when full; rows of an index bucket; bytes read at once.
-CACHE, BUCKET_ROWS, READ_MOST = 200_000, 1_000_000, 8 << 20
+CACHE, BUCKET_ROWS, READ_MOST = 200_000, 250_000, 8 << 20
 LOW = -(1 << 63)
 #: Two characters that regular expressions may take for white space, side by side.
 RUNS = re.compile("[\\s\u180e\u200b\ufeff]{2}")
-MAGIC = b"MPHI1\0\0\0"
+MAGIC = b"MPHI2\0\0\0"
 GAMMA, LEVELS = 2.0, 48
 
 
@@ -183,92 +185,108 @@ def key_hashes(doc_id: list[int | None], ordinal: list[int]) -> np.ndarray:
     return _mix(_mix(ids, 1) + np.array(ordinal, np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.array([x is None for x in doc_id], np.uint64), 2)
 
 
-class PerfectHash:
-    """A minimal perfect hash over distinct 64-bit keys: levels of bit arrays, and ranks of their bits.
+def build_levels(keys: np.ndarray) -> list[np.ndarray]:
+    """A minimal perfect hash over distinct 64-bit keys: levels of bit arrays.
 
     A key's slot is the rank of its bit at the first level where no other key of that level shared it.
     """
+    levels, left = [], keys
+    while len(left):
+        if len(levels) == LEVELS:
+            raise ValueError("keys are not distinct")
+        size = max(8, int(GAMMA * len(left)))
+        at = _level_bits(left, len(levels), size)
+        alone = np.bincount(at, minlength=size) == 1
+        levels.append(alone)
+        left = left[~alone[at]]
+    return levels
 
-    def __init__(self, levels: list[np.ndarray]) -> None:
-        self.bits = levels
-        self.sizes = [len(x) for x in levels]
-        self.before = np.cumsum([0, *(int(x.sum()) for x in levels)])
-        self.ranks = [np.concatenate([[0], np.cumsum(x, dtype=np.int64)]) for x in levels]
 
-    @classmethod
-    def build(cls, keys: np.ndarray) -> PerfectHash:
-        levels, left = [], keys
-        while len(left):
-            if len(levels) == LEVELS:
-                raise ValueError("keys are not distinct")
-            size = max(8, int(GAMMA * len(left)))
-            at = (_mix(left, 101 + len(levels)) % np.uint64(size)).astype(np.int64)
-            alone = np.bincount(at, minlength=size) == 1
-            levels.append(alone)
-            left = left[~alone[at]]
-        return cls(levels)
+def _level_bits(keys: np.ndarray, level: int, size: int) -> np.ndarray:
+    return (_mix(keys, 101 + level) % np.uint64(size)).astype(np.int64)
 
-    def slots(self, keys: np.ndarray) -> np.ndarray:
-        """The slot of each key, -1 where no level has its bit."""
-        out = np.full(len(keys), -1, np.int64)
-        for i, (bits, size, ranks) in enumerate(zip(self.bits, self.sizes, self.ranks, strict=True)):
-            open_ = np.flatnonzero(out < 0)
-            if not len(open_):
-                break
-            at = (_mix(keys[open_], 101 + i) % np.uint64(size)).astype(np.int64)
-            hit = bits[at]
-            out[open_[hit]] = self.before[i] + ranks[at[hit]]
-        return out
-
-    def dump(self) -> bytes:
-        packed = [np.packbits(x).tobytes() for x in self.bits]
-        return struct.pack("<I", len(packed)) + b"".join(struct.pack("<Q", n) + x for n, x in zip(self.sizes, packed, strict=True))
 
-    @classmethod
-    def load(cls, data: bytes, at: int = 0) -> tuple[PerfectHash, int]:
-        (n,) = struct.unpack_from("<I", data, at)
-        at, levels = at + 4, []
-        for _ in range(n):
-            (size,) = struct.unpack_from("<Q", data, at)
-            width = -(-size // 8)
-            levels.append(np.unpackbits(np.frombuffer(data, np.uint8, width, at + 8), count=size).astype(bool))
-            at += 8 + width
-        return cls(levels), at
+def _prints(keys: np.ndarray) -> np.ndarray:
+    return (_mix(keys, 7) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
 ENTRY = np.dtype([("print", "<u4"), ("shard", "<u4"), ("at", "<u8"), ("n", "<u8")])
+#: Of a level: its bits, where they and their ranks lie in the file, and the slots of the levels before.
+LEVEL = np.dtype([("bits", "<u8"), ("at", "<u8"), ("ranks", "<u8"), ("before", "<u8")])
+HEAD = struct.Struct("<8sQQQQ")
+BLOCK_BYTES = 64
 
 
 def dump_bucket(keys: np.ndarray, files: list[str], at: list[int], n: list[int]) -> bytes:
-    hashed = PerfectHash.build(keys)
+    """An index file: head, levels, shard names, bit arrays with ranks, entries by slot."""
     names = sorted(set(files))
     number = {x: i for i, x in enumerate(names)}
+    listed = "\n".join(names).encode()
+    levels = build_levels(keys)
+    heads, parts = np.zeros(len(levels), LEVEL), []
+    place, before = HEAD.size + heads.nbytes + len(listed), 0
+    for i, bits in enumerate(levels):
+        packed = np.packbits(bits, bitorder="little").tobytes()
+        packed += bytes(-len(packed) % BLOCK_BYTES)
+        counts = np.bitwise_count(np.frombuffer(packed, "<u8")).reshape(-1, 8).sum(1, dtype=np.int64)
+        ranks = (np.cumsum(counts) - counts).astype("<u4").tobytes()
+        heads[i] = (len(bits), place, place + len(packed), before)
+        parts += [packed, ranks]
+        place, before = place + len(packed) + len(ranks), before + int(counts.sum())
     table = np.zeros(len(keys), ENTRY)
-    slot = hashed.slots(keys)
-    table["print"][slot] = (_mix(keys, 7) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    head = HEAD.pack(MAGIC, len(keys), len(levels), len(listed), place) + heads.tobytes() + listed + b"".join(parts)
+    slot = Bucket(lambda size, offset: head[offset : offset + size]).slots(keys)
+    table["print"][slot] = _prints(keys)
     table["shard"][slot] = [number[x] for x in files]
     table["at"][slot], table["n"][slot] = at, n
-    listed = "\n".join(names).encode()
-    return MAGIC + struct.pack("<QQ", len(keys), len(listed)) + listed + table.tobytes() + hashed.dump()
+    return head + table.tobytes()
 
 
 class Bucket:
-    """One index file in memory."""
+    """One index file, of which ``read(size, offset)`` gives byte ranges."""
 
-    def __init__(self, data: bytes) -> None:
-        if data[:8] != MAGIC:
+    def __init__(self, read) -> None:
+        self.read = read
+        magic, self.rows, levels, names, self.table = HEAD.unpack(read(HEAD.size, 0))
+        if magic != MAGIC:
             raise ValueError("no index file")
-        rows, names = struct.unpack_from("<QQ", data, 8)
-        self.files = data[24 : 24 + names].decode().split("\n") if names else []
-        self.table = np.frombuffer(data, ENTRY, rows, 24 + names)
-        self.hash, _ = PerfectHash.load(data, 24 + names + rows * ENTRY.itemsize)
+        rest = read(levels * LEVEL.itemsize + names, HEAD.size)
+        self.levels = np.frombuffer(rest, LEVEL, levels)
+        self.files = rest[levels * LEVEL.itemsize :].decode().split("\n") if names else []
+
+    def _items(self, at: int, width: int, count: int, wanted: np.ndarray) -> np.ndarray:
+        """Items of ``width`` bytes by number: one by one where they are few, else out of one whole read."""
+        some, back = np.unique(wanted, return_inverse=True)
+        if len(some) * 16 < count:
+            data = b"".join(self.read(width, at + width * int(i)) for i in some)
+            return np.frombuffer(data, np.uint8).reshape(-1, width)[back]
+        return np.frombuffer(self.read(width * count, at), np.uint8).reshape(-1, width)[wanted]
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        """The slot of each key, -1 where no level has its bit."""
+        out = np.full(len(keys), -1, np.int64)
+        for i, level in enumerate(self.levels):
+            open_ = np.flatnonzero(out < 0)
+            if not len(open_):
+                break
+            bit = _level_bits(keys[open_], i, int(level["bits"]))
+            blocks = -(-int(level["bits"]) // (8 * BLOCK_BYTES))
+            words = np.ascontiguousarray(self._items(int(level["at"]), BLOCK_BYTES, blocks, bit // 512)).view("<u8")
+            word, inside = bit // 64 % 8, (bit % 64).astype(np.uint64)
+            own = words[np.arange(len(bit)), word]
+            hit = (own >> inside & np.uint64(1)).astype(bool)
+            whole = np.where(np.arange(8) < word[:, None], np.bitwise_count(words), 0).sum(1)
+            part = np.bitwise_count(own & ((np.uint64(1) << inside) - np.uint64(1)))
+            ranks = np.ascontiguousarray(self._items(int(level["ranks"]), 4, blocks, bit[hit] // 512)).view("<u4").ravel()
+            out[open_[hit]] = int(level["before"]) + ranks.astype(np.int64) + whole[hit] + part[hit]
+        return out
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the keys that are there by fingerprint, and their entries."""
-        slot = self.hash.slots(keys)
+        slot = self.slots(keys)
         at = np.flatnonzero(slot >= 0)
-        entry = self.table[slot[at]]
-        same = entry["print"] == (_mix(keys[at], 7) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        entry = np.ascontiguousarray(self._items(self.table, ENTRY.itemsize, self.rows, slot[at])).view(ENTRY).ravel()
+        same = entry["print"] == _prints(keys[at])
         return at[same], entry[same]
 
 
@@ -324,30 +342,27 @@ def write_index(index: DataFrame, root: str, bucket_rows: int = BUCKET_ROWS) ->
 def _lookup(root: str):
     def run(rows):
         files, path = opened(root)
-        name, bucket = None, None
-        for batch in rows:
-            names = np.array(batch.column("name").to_pylist(), object)
-            ids, ordinal = batch.column("doc_id").to_pylist(), batch.column("ordinal").to_pylist()
-            keys = key_hashes(ids, ordinal)
-            cuts = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)]
+        for part in groups(rows, "bucket"):
+            # groups() gives whole buckets, several at once where they are small.
+            number = part.column("bucket").to_numpy()
+            cuts = [0, *(np.flatnonzero(number[1:] != number[:-1]) + 1).tolist(), len(number)]
             for a, b in zip(cuts, cuts[1:], strict=False):
-                if a == b:
-                    continue
-                if names[a] != name:
-                    name = names[a]
-                    with files.open_input_file(f"{path}/{name}") as f:
-                        bucket = Bucket(f.read())
-                at, entry = bucket.find(keys[a:b])
-                at = at + a
-                yield pa.record_batch([pa.array([ids[i] for i in at], pa.int64()), pa.array([ordinal[i] for i in at], pa.int32()), pa.array([bucket.files[i] for i in entry["shard"]], pa.string()), pa.array(entry["at"].astype(np.int64)), pa.array(entry["n"].astype(np.int64))], names=["doc_id", "ordinal", "file", "at", "n_tokens"])
+                own = part.slice(a, b - a)
+                ids, ordinal = own.column("doc_id").to_pylist(), own.column("ordinal").to_pylist()
+                with files.open_input_file(f"{path}/{own.column('name')[0].as_py()}") as f:
+                    bucket = Bucket(lambda size, offset, f=f: f.read_at(size, offset))
+                    at, entry = bucket.find(key_hashes(ids, ordinal))
+                columns = [pa.array([ids[i] for i in at], pa.int64()), pa.array([ordinal[i] for i in at], pa.int32()), pa.array([bucket.files[i] for i in entry["shard"]], pa.string())]
+                yield pa.record_batch([*columns, pa.array(entry["at"].astype(np.int64)), pa.array(entry["n"].astype(np.int64))], names=["doc_id", "ordinal", "file", "at", "n_tokens"])
 
     return run
 
 
 def lookup(keys: DataFrame, buckets: DataFrame, count: int, root: str) -> DataFrame:
     """Where the documents of ``keys(doc_id, ordinal)`` lie: file, at and n_tokens; absent keys have no row."""
-    placed = keys.select("doc_id", "ordinal").withColumn("bucket", bucket_of(count)).join(buckets.select("bucket", "name"), "bucket")
-    return placed.sortWithinPartitions("name").mapInArrow(_lookup(root), "doc_id long, ordinal int, file string, at long, n_tokens long")
+    dealt = keys.select("doc_id", "ordinal").withColumn("bucket", bucket_of(count)).repartition("bucket")
+    placed = dealt.join(buckets.select("bucket", "name"), "bucket")
+    return placed.sortWithinPartitions("bucket").mapInArrow(_lookup(root), "doc_id long, ordinal int, file string, at long, n_tokens long")
 
 
 def _read(root: str, wide: bool, digest):
@@ -395,12 +410,23 @@ def read_digests(places: DataFrame, root: str, wide: bool = False) -> DataFrame:
     return _dealt(places, wide).mapInArrow(freed(_read(root, wide, _digests)), "doc_id long, ordinal int, file string, at long, n_tokens long, ids_crc32 long")
 
 
-def tokenized(docs: DataFrame, tokenizer: str, end: int = END, wide: bool = False) -> DataFrame:
+def wide_ids(tokenizer: str, end: int = END) -> bool:
+    """Whether ids of a vocabulary need 32 bits."""
+    from tokenizers import Tokenizer
+
+    vocabulary = Tokenizer.from_file(tokenizer).get_vocab().values()
+    return max(end, *vocabulary) > 0xFFFF
+
+
+def tokenized(docs: DataFrame, tokenizer: str, end: int = END, wide: bool | None = None) -> DataFrame:
     """Writes shards and index, looks every document up in the index, reads it back and digests it.
 
-    doc_id, start, n_tokens and ids_crc32, a row per row of ``docs``, all from the files.
+    doc_id, start, n_tokens and ids_crc32, a row per row of ``docs``, all from the files.  ids are 16
+    bits wide where the vocabulary fits, unless ``wide`` says otherwise.  doc_id is a whole number or
+    null; other types raise an error.
     """
     spark = docs.sparkSession
+    wide = wide_ids(tokenizer, end) if wide is None else wide
     root = file_uri(shared_path(spark, "tokens"))
     index = write_shards(docs, root, tokenizer, end, wide)
     buckets, count = write_index(index, root)

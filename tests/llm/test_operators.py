@@ -199,9 +199,7 @@ def test_equal_context_hashes_remove_nothing(spark, monkeypatch):
     word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
     shared = word(60)
     rows = [(i, word(300) + shared + word(300)) for i in range(6)]
-    # Tasks unpickle the function by reference, so the weak hash is put where they call it.
-    weak = lambda digest: (lambda text, at, first, last, length: 1)
-    monkeypatch.setattr(suffix, "context_hash", weak(None))
+    monkeypatch.setattr(suffix, "context_hash", lambda *_: 1)
     texts = [t.encode() for _, t in rows]
     got = {(h, p) for t in texts for h, at, first, last, p in suffix.anchors(t, 200, 32)}
     assert len(got) == sum(len(suffix.anchors(t, 200, 32)) for t in texts)
@@ -530,14 +528,25 @@ def test_pieces_give_the_ids_of_the_whole_text():
 def test_perfect_hash_is_minimal_and_rejects_strangers():
     import numpy as np
 
-    keys = tokens.key_hashes(list(range(5000)), [0] * 5000)
-    strange = tokens.key_hashes(list(range(5000, 15000)), [0] * 10000)
-    data = tokens.dump_bucket(keys, ["f"] * 5000, list(range(5000)), [1] * 5000)
-    bucket = tokens.Bucket(data)
-    assert sorted(bucket.hash.slots(keys)) == list(range(5000))
-    at, entry = bucket.find(keys)
-    assert len(at) == 5000 and np.array_equal(entry["at"], np.arange(5000))
+    n = 50_000
+    keys = tokens.key_hashes(list(range(n)), [0] * n)
+    strange = tokens.key_hashes(list(range(n, 3 * n)), [0] * 2 * n)
+    data = tokens.dump_bucket(keys, ["f"] * n, list(range(n)), [1] * n)
+    read = []
+
+    def at(size, offset):
+        read.append(size)
+        return data[offset : offset + size]
+
+    bucket = tokens.Bucket(at)
+    assert sorted(bucket.slots(keys)) == list(range(n))
+    got, entry = bucket.find(keys)
+    assert len(got) == n and np.array_equal(entry["at"], np.arange(n))
     assert len(bucket.find(strange)[0]) <= 2
+    read.clear()
+    got, entry = tokens.Bucket(at).find(keys[100:110])
+    assert np.array_equal(entry["at"], np.arange(100, 110)) and sum(read) < 20_000 < len(data)
+    assert len(tokens.Bucket(lambda size, offset: tokens.dump_bucket(keys[:0], [], [], [])[offset : offset + size]).find(keys[:5])[0]) == 0
 
 
 def test_keyed_access(spark, docs, tmp_path):
@@ -549,6 +558,7 @@ def test_keyed_access(spark, docs, tmp_path):
     assert set(got) == {(7, 0), (7, 1), (12, 0), (None, 0)}
     assert got[12, 0] == whole_ids([documents()[12][1]])[0]
     assert sorted([got[7, 0], got[7, 1]]) == sorted(whole_ids(["   \n\t ", "a second text with the id seven"]))
+    assert not tokens.wide_ids(catalog.tokenizer_path(), 2) and tokens.wide_ids(catalog.tokenizer_path(), 70_000)
 
 
 # 9: quality rules
