@@ -23,6 +23,7 @@ import random
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ._common import native_words, written
 
@@ -151,7 +152,7 @@ def row_hash(*columns: str | Column) -> Column:
 
 
 def mixed(docs: DataFrame, share: float = 1.5, weights=WEIGHTS, cap: float = 2.0, seed: int = 0) -> DataFrame:
-    """doc_id, __text_hash, size, source_size, target and copies, a row per row of ``docs``.
+    """doc_id, text_hash, size, source_size, target and copies, a row per row of ``docs``.
 
     ``share`` of all words is dealt to sources by ``weights``; ``cap`` bounds a source's target, and
     so a document's copies, at that many times its size.
@@ -172,32 +173,30 @@ def mixed(docs: DataFrame, share: float = 1.5, weights=WEIGHTS, cap: float = 2.0
     # Rows that repeat id and text share a key; each is rounded by itself and they are handed out in turn.
     extra = rounded(planned.where("p > 0").select("row", "g", "size", "p"), seed).groupBy("g", "row").agg(F.sum("p").cast("long").alias("ones"), F.count("*").alias("times"))
     joined = planned.join(extra, ["g", "row"], "left")
-    return joined.select("doc_id", "source", F.col("t").alias("__text_hash"), "size", "source_size", "target", "sure", "row", "g", "ones", "times")
+    return joined.select("doc_id", "source", F.col("t").alias("text_hash"), "size", "source_size", "target", "sure", "row", "g", "ones", "times")
 
 
 def taken(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target, copies and taken (words, repeats counted), a row per row of ``docs``."""
-    from pyspark.sql.window import Window
-
     rows = mixed(docs, **options)
     once = rows.where("times is null or times = 1").withColumn("copies", F.col("sure") + F.coalesce("ones", F.lit(0)))
     turn = F.row_number().over(Window.partitionBy("g", "row").orderBy("doc_id"))
     more = rows.where("times > 1").withColumn("copies", F.col("sure") + (turn <= F.col("ones")).cast("long"))
     both = once.unionByName(more)
-    return both.select("doc_id", "source", "__text_hash", "size", "source_size", "target", F.col("copies").cast("long").alias("copies"), (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    return both.select("doc_id", "source", "text_hash", "size", "source_size", "target", F.col("copies").cast("long").alias("copies"), (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
 def mixture(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken, all columns kept."""
-    text = F.xxhash64(F.coalesce("text", F.lit("")))
-    key = lambda t: F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")), F.hex(t))
-    plan = taken(docs, **options).groupBy(key(F.col("__text_hash")).alias("__key")).agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
-    joined = docs.withColumn("__key", key(text)).join(plan, "__key")
+    """The mix itself: each row of ``docs`` as often as it is taken, all columns kept, whatever their names."""
+    source = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
+    key = lambda t: F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), source, F.hex(t)).alias("key")
+    plan = taken(docs, **options).groupBy(key(F.col("text_hash"))).agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), key(F.xxhash64(F.coalesce("text", F.lit("")))))
+    joined = keyed.join(plan, "key")
     # Rows that repeat everything are equal, so their copies are dealt evenly, the rest to the first ones.
-    from pyspark.sql.window import Window
-
-    turn = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
-    alone = joined.where("__rows = 1").withColumn("__own", F.col("__copies"))
-    repeated = joined.where("__rows > 1").withColumn("__turn", turn).withColumn("__own", F.floor(F.col("__copies") / F.col("__rows")) + (F.col("__turn") <= F.col("__copies") % F.col("__rows")).cast("long")).drop("__turn")
-    both = alone.unionByName(repeated).where("__own > 0")
-    return both.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__own").cast("long")))).select(*docs.columns)
+    turn = F.row_number().over(Window.partitionBy("key").orderBy("key"))
+    alone = joined.where("rows = 1").select("row", F.col("copies").alias("own"))
+    even = F.floor(F.col("copies") / F.col("rows")) + (F.col("turn") <= F.col("copies") % F.col("rows")).cast("long")
+    repeated = joined.where("rows > 1").withColumn("turn", turn).select("row", even.alias("own"))
+    both = alone.unionByName(repeated).where("own > 0")
+    return both.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("own").cast("long")))).select("row.*")

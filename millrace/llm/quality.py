@@ -91,24 +91,31 @@ def repeat_words(words: Column, width: int = WINDOW) -> Column:
     return F.when(F.size(words) < width + 1, zero).otherwise(let(words, lambda w: let(hashes(w), counted)))
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """``name`` with as many underscores more as it takes to be no column of ``docs``."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def measured(docs: DataFrame) -> DataFrame:
-    """``docs`` with the measurements; columns of these names are replaced."""
+    """``docs`` with the measurements; its own columns of their names are replaced, all others stay."""
     text = text_or_empty()
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     both = lambda a: F.struct(F.size(a).cast("long").alias("n"), (F.size(a) - F.size(F.array_distinct(a))).cast("long").alias("dup"))
     words = lambda w: F.struct(F.size(w).cast("long").alias("n"), repeat_words(w).alias("rep"))
-    new = {"__l": let(lines, both), "__w": let(native_words(text), words)}
-    out = docs.withColumns(new)
+    l, w = (_free(docs, x) for x in ("__l", "__w"))
+    out = docs.withColumns({l: let(lines, both), w: let(native_words(text), words)})
     return out.withColumns(
         {
-            "n_words": F.col("__w.n"),
+            "n_words": F.col(f"{w}.n"),
             "word_chars": F.length(F.regexp_replace(text, SPACES, "")).cast("long"),
             "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
-            "n_lines": F.col("__l.n"),
-            "n_dup_lines": F.col("__l.dup"),
-            "n_repeat_words": F.col("__w.rep"),
+            "n_lines": F.col(f"{l}.n"),
+            "n_dup_lines": F.col(f"{l}.dup"),
+            "n_repeat_words": F.col(f"{w}.rep"),
         }
-    ).drop("__l", "__w")
+    ).drop(l, w)
 
 
 def mask(policy: Policy, rules=RULES) -> int:

@@ -9,25 +9,29 @@ the last histogram already holds: a shard is many sub-ranges, so no task ever so
 
 The law is ``bytes``.  A splitter prefers a boundary between texts; a group of equal texts is split
 (by doc_id) only where it is itself too large to fall on one side.  Null texts count as empty; null
-doc_ids come first among equal texts; rows that repeat both stay together, in any order.
+doc_ids come first among equal texts; rows that repeat both stay together, in any order, and are the
+only ones that cannot be split.  doc_id may have any type; ids that are no whole numbers are ordered
+by their XXH64.  A row goes through as a whole, so its columns may have any names.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 from pyspark.sql.window import Window
 
-from ._common import let, written
+from ._common import dropped, let, written
 
 #: Probes of each unsettled splitter a round, and the rounds after which the best probe is taken.
 PROBES, ROUNDS = 24, 40
-#: Sub-ranges of a shard, which are the tasks of its sort.
-SUB_RANGES = 8
+#: Bytes of a sub-range, which is one task of a shard's sort; sub-ranges of a shard, at least and at most.
+SUB_BYTES, LEAST_SUB, MOST_SUB = 256 << 20, 8, 1024
 LOW = -(1 << 63)
 
 
@@ -109,7 +113,7 @@ def splitters(rows: DataFrame, goals: Sequence[float], tolerance: float, ids: tu
     return out
 
 
-def histogram_sharded(docs: DataFrame, shards: int = 16, tolerance: float = 0.001, sub_ranges: int = SUB_RANGES) -> DataFrame:
+def histogram_sharded(docs: DataFrame, shards: int = 16, tolerance: float = 0.001, sub_bytes: int = SUB_BYTES) -> DataFrame:
     """The rows of ``docs`` with size (UTF-8 bytes and one), shard and slot (gapless from 0 in each shard).
 
     ``tolerance`` is the share of a shard by which each splitter may miss its goal.  The columns of
@@ -118,36 +122,44 @@ def histogram_sharded(docs: DataFrame, shards: int = 16, tolerance: float = 0.00
     if shards < 1:
         raise ValueError("shards must be positive")
     text = F.coalesce("text", F.lit(""))
-    sized = docs.drop("size", "shard", "slot").withColumns({"size": (F.octet_length(text) + 1).cast("long"), "__h": F.xxhash64(text), "__d": F.coalesce(F.col("doc_id").cast("long"), F.lit(LOW))})
-    keys = written(sized.select(F.col("__h").alias("h"), F.col("__d").alias("d"), "size"), "keys")
+    whole = isinstance(docs.schema["doc_id"].dataType, IntegralType)
+    d = F.coalesce(F.col("doc_id").cast("long") if whole else F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")), F.lit(LOW))
+    sized = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(text).alias("h"), d.alias("d"), (F.octet_length(text) + 1).cast("long").alias("size"))
+    keys = written(sized.select("h", "d", "size"), "keys")
     total, *ids = keys.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.min("d"), F.lit(0)), F.coalesce(F.max("d"), F.lit(0))).first()
+    sub_ranges = min(MOST_SUB, max(LEAST_SUB, -(-total // (shards * sub_bytes))))
     parts = shards * sub_ranges
     # Shard bounds are found within the tolerance, the sub-ranges inside a shard only roughly.
     bounds = splitters(keys, [total * i / shards for i in range(1, shards)], max(1.0, tolerance * total / shards), tuple(ids))
     inner = splitters(keys, [total * i / parts for i in range(1, parts) if i % sub_ranges], max(1.0, 0.2 * total / parts), tuple(ids))
+    dropped(docs.sparkSession, keys)
     cuts = sorted([(k, 0, n) for k, n in bounds] + [(k, 1, n) for k, n in inner])
-    shard, start, shard_start, inverse = 0, 0, 0, []
-    for key, kind, below in cuts:
-        inverse.append((key, shard, start - shard_start))
+    shard, start, shard_start, places = 0, 0, 0, []
+    for _, kind, below in cuts:
+        places.append({"shard": shard, "start": start - shard_start})
         start = below
         if kind == 0:
             shard, shard_start = shard + 1, below
-    inverse.append((None, shard, start - shard_start))
+    places.append({"shard": shard, "start": start - shard_start})
     flip = lambda x: int.from_bytes(x, "big") + LOW
-    edges = F.array(*(F.struct(F.lit(flip(k[:8])).cast("long").alias("h"), F.lit(flip(k[8:])).cast("long").alias("d")) for k, _, _ in cuts)) if cuts else None
-    me = F.struct(F.col("__h").alias("h"), F.col("__d").alias("d"))
-    part = F.lit(0) if edges is None else _bisected(edges, me, len(cuts))
-    routed = sized.withColumn("__part", part).repartition(len(cuts) + 1, "__part")
-    order = Window.partitionBy("__part").orderBy("__h", "__d")
-    facts = F.element_at(F.array(*(F.struct(F.lit(s).alias("shard"), F.lit(o).cast("long").alias("start")) for _, s, o in inverse)), F.col("__part") + 1)
-    numbered = routed.withColumn("__n", F.row_number().over(order)).withColumn("__f", facts)
-    return numbered.withColumns({"shard": F.col("__f.shard"), "slot": F.col("__f.start") + F.col("__n") - 1}).drop("__h", "__d", "__part", "__n", "__f")
+    # As text, so that thousands of bounds are one constant of the plan.
+    listed = lambda x, kind: F.from_json(F.lit(json.dumps(x)), f"array<struct<{kind}>>")
+    me = F.struct(F.col("h"), F.col("d"))
+    edges = listed([{"h": flip(k[:8]), "d": flip(k[8:])} for k, _, _ in cuts], "h: long, d: long")
+    part = _bisected(edges, me, len(cuts)) if cuts else F.lit(0)
+    routed = sized.withColumn("part", part).repartition(len(cuts) + 1, "part")
+    order = Window.partitionBy("part").orderBy("h", "d")
+    place = F.element_at(listed(places, "shard: int, start: long"), F.col("part") + 1)
+    numbered = routed.withColumn("n", F.row_number().over(order)).withColumn("place", place)
+    kept = (F.col("row")[c].alias(c) for c in docs.columns if c not in ("size", "shard", "slot"))
+    return numbered.select(*kept, "size", F.col("place.shard").alias("shard"), (F.col("place.start") + F.col("n") - 1).alias("slot"))
 
 
 def _bisected(edges, me, n: int):
     """How many edges are at most ``me``, by a search in about log2(n) comparisons."""
     at = F.lit(0)
     step = 1 << max(0, n.bit_length() - 1)
+
     def refine(at, step):
         if not step:
             return at

@@ -20,7 +20,7 @@ def documents() -> list[tuple]:
     return rows
 
 
-CLASHING = ["size", "shard", "slot", "fp", "h", "c", "d", "t", "p", "g", "row", "key", "block", "n", "failed", "n_words", "kept", "ordinal", "part", "component", "target", "line", "spans", "items"]
+CLASHING = ["size", "shard", "slot", "fp", "h", "c", "d", "t", "p", "g", "row", "key", "block", "n", "failed", "n_words", "kept", "ordinal", "part", "component", "target", "line", "spans", "items", "place", "copies", "copy", "__row", "__key", "__copy", "__h", "__d", "__part", "__n", "__f", "__t", "__gone", "__l", "__w", "__text", "__rows", "text_hash", "keys", "marks", "mark"]
 
 
 def clashing(df):

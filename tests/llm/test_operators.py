@@ -240,6 +240,36 @@ def test_sharding_splits_a_group_that_is_too_large(spark):
     assert {(r["doc_id"], r["shard"], r["slot"]) for r in got} == {(r["doc_id"], r["shard"], r["slot"]) for r in again}
 
 
+def test_registered_sharding_against_a_sorted_list(spark, sf_dir, real):
+    """Rows in the order of (XXH64 of the text, doc_id), cut where the bytes before come nearest to each goal."""
+    ordered = real.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).orderBy("h", "doc_id").collect()
+    got = {r["doc_id"]: r for r in catalog.op3_histogram_sharding(spark, sf_dir).collect()}
+    assert len(got) == len(ordered)
+    total, largest = sum(len(r["text"].encode()) + 1 for r in ordered), max(len(r["text"].encode()) + 1 for r in ordered)
+    before, last = 0, (0, -1)
+    for r in ordered:
+        x, size = got[r["doc_id"]], len(r["text"].encode()) + 1
+        assert (x["size"], x["text_crc32"], x["law"], x["grown_shard"]) == (size, zlib.crc32(r["text"].encode()), "bytes", None)
+        # Each row follows its neighbour: the next slot of the same shard, or the first of the next one.
+        assert (x["shard"], x["slot"]) in ((last[0], last[1] + 1), (last[0] + 1, 0)), (x, last)
+        if x["slot"] == 0 and x["shard"]:
+            assert abs(before - total * x["shard"] / 16) <= largest
+        before, last = before + size, (x["shard"], x["slot"])
+    assert last[0] == 15
+
+
+def test_sharding_by_string_ids_and_many_sub_ranges(spark):
+    rows = [(f"id{i}", f"text {i % 50}") for i in range(3000)] + [(None, "text 1")]
+    got = sharding.histogram_sharded(spark.createDataFrame(rows, "doc_id string, text string").repartition(3), 4, sub_bytes=100).collect()
+    per = defaultdict(list)
+    for r in got:
+        per[r["shard"]].append(r)
+    assert sorted((r["doc_id"] or "", r["text"]) for r in got) == sorted((a or "", b) for a, b in rows)
+    assert all(sorted(r["slot"] for r in x) == list(range(len(x))) for x in per.values())
+    sizes = [sum(r["size"] for r in per[i]) for i in range(4)]
+    assert max(sizes) - min(sizes) < 60
+
+
 # 4: lines
 
 
