@@ -13,14 +13,16 @@ from millrace.schema import as_entries, entry_date
 
 
 def merged(*sources: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """UNION ALL in source order: seq orders by source, then by the source's own seq.
+    """UNION ALL in source order: seq orders by source, then by the source's own seq (below 2^52, 2048 parts at most).
 
     A configured name replaces the source's title where it is not empty.
     """
+    if len(sources) > 2048:
+        raise ValueError("merge at most 2048 parts at once")
     parts = []
     for i, df in enumerate(map(as_entries, sources)):
         name = F.nullif(F.lit((names or [""] * len(sources))[i]), F.lit(""))
-        parts.append(df.withColumns({"source_title": F.coalesce(name, "source_title"), "seq": F.lit(i).cast("long") * (1 << 40) + F.col("seq")}))
+        parts.append(df.withColumns({"source_title": F.coalesce(name, "source_title"), "seq": F.lit(i).cast("long") * (1 << 52) + F.col("seq")}))
     return reduce(DataFrame.unionByName, parts)
 
 

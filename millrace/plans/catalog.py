@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.functions.dates import parsed_date
-from millrace.functions.urls import PARTS, TRACKING, normalized_url
+from millrace.functions.urls import normalized_url
 from millrace.operators import dedup, health, merge, rules, search, store
 from millrace.plans.shared import written
 from millrace.schema import documents_as_entries, pages_as_entries
 from millrace.sources import opml
 
+SNIPPETS = ("shonre +est", 20)
 BM25 = {"bm25_terms": ("the shonre onthsh", 50), "bm25_required_excluded": ("tion +est -zue", 50), "bm25_phrase": ('"in est" tion', 50), "saved_search_feed": ("ciónñ +que", 20)}
 RULES = """
 # German, or a long word in the title, but nothing from source 3 or shouting
@@ -135,7 +136,7 @@ def summaries(spark, sf_dir):
 
 
 def snippets(spark, sf_dir):
-    return search.hits(documents(spark, sf_dir), "shonre +est", 20, markup=False).select("id", F.round("score", 6).alias("score"), "snippet")
+    return search.hits(documents(spark, sf_dir), *SNIPPETS, markup=False).select("id", F.round("score", 6).alias("score"), "snippet")
 
 
 def word_reading_stats(spark, sf_dir):
@@ -189,16 +190,16 @@ def entry_ids(spark, sf_dir):
     return d.select("seq", key.alias("entry_id"))
 
 
-DATES = (
-    ("Mon, 02 Jan 2006 15:04:05 -0700", "2006-01-02 22:04:05"), ("Tue, 04 Jul 2017 09:30:00 PDT", "2017-07-04 16:30:00"), ("Wed, 01 Jun 2022 12:00:00 CEST", "2022-06-01 10:00:00"), ("02 Jan 06 15:04 MST", "2006-01-02 22:04:00"),
-    ("2006-01-02T15:04:05+02:00", "2006-01-02 13:04:05"), ("2021-11-03T08:15:30.123456Z", "2021-11-03 08:15:30"), ("Mon, 2 Jan 2006 15:04:05", "2006-01-02 15:04:05"), ("Tue, 15 Mar 2022 08:00:00 -0400 (EDT)", "2022-03-15 12:00:00"),
-    ("2006-01-02", "2006-01-02 00:00:00"), ("01/02/2006 15:04:05", "2006-01-02 15:04:05"), ("January 2, 2006", "2006-01-02 00:00:00"), ("Mon Jan 2 15:04:05 2006", "2006-01-02 15:04:05"), ("2006-01-02T15:04:05 Z", "2006-01-02 15:04:05"), ("yesterday", None), ("2006-13-45T99:99:99Z", None),
-)
-
-
 def date_parse(spark, sf_dir):
-    rows = spark.createDataFrame([(d,) for d, _ in DATES], "raw string")
-    return rows.select("raw", F.date_format(parsed_date(F.col("raw")), "yyyy-MM-dd HH:mm:ss").alias("utc"))
+    """Event times rendered in eight shapes, by the event's number, and read back."""
+    shown = lambda pattern, hours=0: F.date_format(F.col("ts") + F.expr(f"make_dt_interval(0, {hours})"), pattern)
+    shapes = (
+        F.concat(shown("EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0000")), F.concat(shown("yyyy-MM-dd'T'HH:mm:ss", 2), F.lit("+02:00")), shown("MMMM d, yyyy"), shown("MM/dd/yyyy HH:mm:ss"),
+        F.concat(shown("dd MMM yy HH:mm", -5), F.lit(" EST")), shown("EEE MMM d HH:mm:ss yyyy"), F.concat(shown("yyyy-MM-dd'T'HH:mm:ss"), F.lit(".25Z")), F.concat(F.lit("about "), shown("HH:mm")),
+    )
+    raw = F.coalesce(*(F.when(F.col("event_id") % 8 == i, x) for i, x in enumerate(shapes)))
+    rows = table(spark, sf_dir, "events").select("event_id", raw.alias("raw"))
+    return rows.select("event_id", "raw", F.date_format(parsed_date(F.col("raw")), "yyyy-MM-dd HH:mm:ss").alias("utc"))
 
 
 def folder_rollup(spark, sf_dir):
@@ -230,8 +231,19 @@ s AS (SELECT count(*) AS n, CASE WHEN avg(len) = 0 THEN 1 ELSE avg(len) END AS a
 """
 
 
-def _bm25_sql(name: str) -> str:
-    text, limit = BM25[name]
+def _snippets_sql() -> str:
+    """A window of 200 characters, a third of it before the first hit of a matched term, cut at words."""
+    return f"""WITH hits AS ({_bm25_sql(*SNIPPETS)}),
+f AS (SELECT id, score, regexp_replace(trim(text), '\\s+', ' ', 'g') AS flat, string_split(h.matched, '|') AS terms FROM hits h JOIN documents d ON CAST(d.doc_id AS VARCHAR) = h.id),
+p AS (SELECT *, coalesce(list_min(list_filter(list_transform(terms, lambda m: strpos(lower(flat), m) - 1), lambda i: i >= 0)), 0) AS hit FROM f),
+w AS (SELECT *, greatest(0, least(hit - 66, length(flat) - 200)) AS start FROM p),
+a AS (SELECT *, substr(flat, CAST(start + 1 AS BIGINT), 200) AS part FROM w),
+b AS (SELECT *, CASE WHEN start > 0 AND contains(part, ' ') THEN substr(part, strpos(part, ' ') + 1) ELSE part END AS part2 FROM a),
+c AS (SELECT *, CASE WHEN start + 200 < length(flat) AND contains(part2, ' ') THEN regexp_replace(part2, ' [^ ]*$', '') ELSE part2 END AS part3 FROM b)
+SELECT id, score, CASE WHEN length(flat) <= 200 THEN flat ELSE CASE WHEN start > 0 THEN '…' ELSE '' END || part3 || CASE WHEN start + 200 < length(flat) THEN '…' ELSE '' END END AS snippet FROM c"""
+
+
+def _bm25_sql(text: str, limit: int) -> str:
     q = search.parse_query(text)
     terms = ", ".join(f"({i}, '{t.text}')" for i, t in enumerate(q.terms) if not t.negated)
     has = lambda t: f"EXISTS (SELECT 1 FROM p WHERE p.doc_id = f.doc_id AND p.term = '{t}')"
@@ -248,16 +260,37 @@ SELECT CAST(r.doc_id AS VARCHAR) AS id, round(score, 6) AS score, matched FROM r
 ORDER BY r.score DESC, r.doc_id DESC, id LIMIT {limit}"""
 
 
-NORMAL_URL = rf"""
-SELECT page_id, raw, regexp_extract(raw, '{PARTS}', ['scheme', 'user', 'host', 'path', 'query']) AS m FROM (SELECT page_id, trim(coalesce(url, '')) AS raw FROM pages)
+URLS = r"""
+u AS (SELECT page_id, trim(coalesce(url, '')) AS raw FROM pages),
+a AS (SELECT page_id, raw, lower(split_part(raw, '://', 1)) AS scheme, split_part(substr(raw, strpos(raw, '://') + 3), '#', 1) AS rest FROM u WHERE contains(raw, '://')),
+b AS (SELECT page_id, CASE scheme WHEN 'http' THEN 'https' ELSE scheme END AS scheme, split_part(rest, '?', 1) AS body, CASE WHEN contains(rest, '?') THEN substr(rest, strpos(rest, '?') + 1) ELSE '' END AS query FROM a),
+c AS (SELECT page_id, scheme, query, lower(split_part(body, '/', 1)) AS host, CASE WHEN contains(body, '/') THEN substr(body, strpos(body, '/')) ELSE '' END AS path FROM b),
+p AS (SELECT page_id, i, x[1] AS k, array_to_string(x[2:], '=') AS v FROM (SELECT page_id, i, string_split(list_extract(string_split(query, '&'), i), '=') AS x FROM c, range(1, 30) t(i) WHERE i <= len(string_split(query, '&'))) WHERE array_to_string(x, '=') <> ''),
+q AS (SELECT page_id, string_agg(replace(url_encode(url_decode(replace(k, '+', ' '))), '%20', '+') || '=' || replace(url_encode(url_decode(replace(v, '+', ' '))), '%20', '+'), '&' ORDER BY k, i) AS query
+  FROM p WHERE lower(k) NOT LIKE 'utm\_%' ESCAPE '\' AND lower(k) NOT IN ('fbclid', 'gclid', 'mc_cid', 'mc_eid', 'ref', 'source', 'cmpid', 'at_medium', 'at_campaign') GROUP BY 1),
+d AS (SELECT c.page_id, scheme, CASE WHEN starts_with(host, 'www.') THEN substr(host, 5) ELSE host END AS h, CASE WHEN ends_with(path, '/') THEN substr(path, 1, length(path) - 1) ELSE path END AS path, coalesce(q.query, '') AS query FROM c LEFT JOIN q USING (page_id)),
+n AS (SELECT page_id, scheme || '://' || regexp_replace(h, ':(443|80)$', '') || path || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS url FROM d UNION ALL SELECT page_id, lower(raw) FROM u WHERE NOT contains(raw, '://'))
+"""
+DATES = """
+WITH e AS (SELECT event_id, ts, event_id % 8 AS shape FROM events)
+SELECT event_id, CASE shape WHEN 0 THEN strftime(ts, '%a, %d %b %Y %H:%M:%S +0000') WHEN 1 THEN strftime(ts + INTERVAL 2 HOUR, '%Y-%m-%dT%H:%M:%S+02:00') WHEN 2 THEN strftime(ts, '%B %-d, %Y') WHEN 3 THEN strftime(ts, '%m/%d/%Y %H:%M:%S')
+  WHEN 4 THEN strftime(ts - INTERVAL 5 HOUR, '%d %b %y %H:%M EST') WHEN 5 THEN strftime(ts, '%a %b %-d %H:%M:%S %Y') WHEN 6 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S.25Z') ELSE strftime(ts, 'about %H:%M') END AS raw,
+  CASE shape WHEN 2 THEN strftime(ts, '%Y-%m-%d 00:00:00') WHEN 4 THEN strftime(ts, '%Y-%m-%d %H:%M:00') WHEN 7 THEN NULL ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS utc FROM e
+"""
+#: Elements that go with their contents, that part paragraphs and that part lines, as far as pages hold them.
+PLAIN_TEXT = r"""
+x AS (SELECT page_id, regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->|<![^>]*>|<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<nav\b[^>]*>.*?</nav>|<footer\b[^>]*>.*?</footer>', '', 'g') AS s FROM pages),
+y AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(s, '</?(p|div|article|h[1-6])\b[^>]*>', chr(2), 'g'), '</?(br|ul|li)\b[^>]*>', chr(1), 'g'), '</?[A-Za-z][^>]*>', '', 'g') AS s FROM x),
+z AS (SELECT page_id, regexp_replace(replace(replace(replace(replace(s, '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&amp;', '&'), '[ \t\n\r]+', ' ', 'g') AS s FROM y),
+t AS (SELECT page_id, trim(regexp_replace(regexp_replace(s, '[ \x01]*\x02[ \x01\x02]*', chr(10) || chr(10), 'g'), ' *\x01[ \x01]*', chr(10), 'g'), ' ' || chr(10)) AS text FROM z)
 """
-URLS = rf"""
-u AS ({NORMAL_URL}),
-v AS (SELECT page_id, raw, regexp_replace(lower(m.scheme), '^http$', 'https') AS scheme, m.user AS usr, regexp_replace(lower(m.host), '^www\.', '') AS h, regexp_replace(m.path, '/$', '') AS path,
-  array_to_string(list_transform(list_sort(list_transform(list_filter(string_split(m.query, '&'), lambda p: p <> '' AND NOT contains(p, ';') AND lower(string_split(p, '=')[1]) NOT IN ({", ".join(f"'{t}'" for t in TRACKING)})),
-    lambda p, i: {{'k': string_split(p, '=')[1], 'i': i, 'p': CASE WHEN contains(p, '=') THEN p ELSE p || '=' END}})), lambda s: s.p), '&') AS query FROM u),
-n AS (SELECT page_id, CASE WHEN NOT regexp_matches(raw, '{PARTS}') THEN lower(raw) ELSE scheme || '://' || CASE WHEN path = '' AND query = '' THEN '' WHEN usr <> '' THEN usr || '@' ELSE '' END
-  || CASE WHEN scheme = 'https' THEN regexp_replace(h, ':(443|80)$', '') ELSE h END || path || CASE WHEN query <> '' THEN '?' || replace(query, '%20', '+') ELSE '' END END AS url FROM v)
+SUMMARIES = rf"""
+WITH {PLAIN_TEXT},
+f AS (SELECT page_id, text, regexp_replace(text, '\s+', ' ', 'g') AS flat FROM t),
+c AS (SELECT *, substr(flat, 1, 280) AS cut FROM f),
+e AS (SELECT *, regexp_extract(cut, '^(.*(?:[!?]|[^0-9]\.))(?: .*)?$', 1) AS sentence, regexp_extract(cut, '^(.*) [^ ]*$', 1) AS head FROM c)
+SELECT 'page-' || page_id AS id, CASE WHEN length(flat) <= 280 THEN flat WHEN octet_length(encode(sentence)) - 1 >= 70 THEN sentence ELSE rtrim(CASE WHEN head = '' THEN cut ELSE head END, ',;: ') || '…' END AS summary,
+  CAST(len(regexp_extract_all(text, '\S+')) AS BIGINT) AS words, CAST(ceil(len(regexp_extract_all(text, '\S+')) / 200) AS BIGINT) AS reading_minutes FROM e
 """
 TITLES = r"""
 t AS (SELECT page_id, trim(regexp_replace(lower(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '<[^>]*>', ' ', 'g'),
@@ -299,7 +332,10 @@ def oracle_sql() -> dict[str, str]:
         "tokenize_terms": f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, CAST(len(list_distinct(t)) AS BIGINT) AS n_terms FROM (SELECT doc_id, {TOKENS('text')} AS t FROM ({docs}))",
         "index_stats": f"{INDEX} SELECT n AS n_docs, (SELECT count(DISTINCT term) FROM p) AS n_terms, round(avg_len, 6) AS avg_len FROM s",
         "postings_topdf": f"{INDEX} SELECT term, count(*) AS df, sum(tf) AS tf FROM p GROUP BY 1 ORDER BY df DESC, term LIMIT 100",
-        **{n: _bm25_sql(n) for n in BM25},
+        **{n: _bm25_sql(*x) for n, x in BM25.items()},
+        "plain_text": f"WITH {PLAIN_TEXT} SELECT page_id, CAST(length(text) AS BIGINT) AS n_chars, sha256(text) AS sha256 FROM t",
+        "summaries": SUMMARIES,
+        "snippets": _snippets_sql(),
         "normalize_url": f"WITH {URLS} SELECT page_id, url FROM n",
         "dedup_by_url": f"WITH {URLS} SELECT url, min(page_id) AS page_id, count(*) AS n FROM n GROUP BY 1",
         "normalize_title": f"WITH {TITLES} SELECT page_id, title FROM t",
@@ -320,6 +356,6 @@ def oracle_sql() -> dict[str, str]:
         "store_put": f"{STORE} SELECT CAST(doc_id AS VARCHAR) AS id, {title} AS title, doc_id AS seq FROM documents WHERE CAST(doc_id AS VARCHAR) NOT IN (SELECT id FROM last WHERE NOT gone)",
         "store_stats": f"{STORE} SELECT (SELECT count(*) FROM last WHERE NOT gone) AS live, count(*) AS records, count(*) - (SELECT count(*) FROM last WHERE NOT gone) AS garbage FROM log",
         "entry_ids": f"SELECT doc_id AS seq, CASE doc_id % 3 WHEN 0 THEN CAST(doc_id AS VARCHAR) WHEN 1 THEN 'https://d.example/' || doc_id ELSE 'urn:entry:' || substr(sha256({title} || chr(0) || doc_id), 1, 32) END AS entry_id FROM ({docs})",
-        "date_parse": "SELECT * FROM (VALUES " + ", ".join(f"('{a}', {'NULL' if b is None else repr(b)})" for a, b in DATES) + ") t(raw, utc)",
+        "date_parse": DATES,
         "folder_rollup": "SELECT r_name AS folder, count(*) AS n_feeds, string_agg(n_name, ',' ORDER BY n_nationkey) AS names FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1",
     }

@@ -45,12 +45,14 @@ class Config:
     title: str = "Merged feed"
     link: str = ""
     description: str = ""
-    listen: str = ":8080"
+    self_link: str = ""
+    addr: str = ":8080"
     refresh: float = 900.0
     timeout: float = 20.0
     workers: int = 8
     host_interval: float = 1.0
     max_items: int = 200
+    user_agent: str = ""
     title_threshold: float = 0.9
     title_window: float = 259_200.0
     content_threshold: float = 0.0
@@ -62,15 +64,20 @@ class Config:
         return DedupOptions(self.title_threshold, int(self.title_window), self.content_threshold)
 
 
-def _scalar(text: str):
+# What a backslash stands for in double quotes.
+ESCAPES = {r"\"": '"', r"\\": "\\", r"\n": "\n", r"\t": "\t"}
+
+
+def _scalar(text: str) -> str:
+    """A bare value up to a comment, or what stands between the first and the last quote of a kind."""
     text = text.strip()
-    if text[:1] in "\"'" and text[:1]:
-        end = text.find(text[0], 1)
-        if end < 0:
-            raise ConfigError("unterminated quote")
-        body = text[1:end]
-        return body.replace("''", "'") if text[0] == "'" else body.encode().decode("unicode_escape") if "\\" in body else body
-    return re.split(r"\s#", text, maxsplit=1)[0].strip()
+    if text[:1] not in ('"', "'") or not text:
+        return text.partition(" #")[0].strip()
+    end = text.rindex(text[0])
+    if not end:
+        raise ConfigError(f"unterminated quote: {text}")
+    body = text[1:end]
+    return re.sub(r'\\["\\nt]', lambda m: ESCAPES[m[0]], body) if text[0] == '"' else body
 
 
 def parse_yaml(text: str):
@@ -120,28 +127,102 @@ def parse_yaml(text: str):
     return value
 
 
+def _rows(key: str, value) -> list:
+    if value in (None, ""):
+        return []
+    if not isinstance(value, list):
+        raise ConfigError(f"{key} must be a list")
+    return value
+
+
+def _text(key: str, value) -> str:
+    if value is not None and not isinstance(value, str):
+        raise ConfigError(f"{key} must be text")
+    return value or ""
+
+
+def _record(key: str, value, kinds: dict):
+    """A map with known keys only, each read by its kind."""
+    if not isinstance(value, dict):
+        raise ConfigError(f"each of {key} must be a map")
+    if strange := sorted(set(value) - set(kinds)):
+        raise ConfigError(f"{key}: unknown key {strange[0]}")
+    return {k: kinds[k](f"{key}.{k}", v) for k, v in value.items()}
+
+
+def _count(key: str, value) -> int:
+    try:
+        if isinstance(value, bool) or isinstance(value, float) and value != int(value):
+            raise ValueError("not a whole number")
+        return int(value or 0)
+    except (TypeError, ValueError) as e:
+        raise ConfigError(f"{key}: {e}") from e
+
+
+def _number(key: str, value) -> float:
+    try:
+        if isinstance(value, bool):
+            raise ValueError("not a number")
+        return float(value)
+    except (TypeError, ValueError) as e:
+        raise ConfigError(f"{key}: {e}") from e
+
+
+def _seconds(key: str, value) -> float:
+    try:
+        if isinstance(value, bool) or not isinstance(value, (int, float, str)):
+            raise ValueError("not a duration")
+        return duration(value)
+    except (TypeError, ValueError) as e:
+        raise ConfigError(f"{key}: {e}") from e
+
+
+def _search(key: str, value) -> SavedSearch:
+    return SavedSearch(**_record(key, value, {"name": _text, "query": _text, "title": _text, "limit": _count}))
+
+
+def _feed(key: str, value) -> dict:
+    own = {"url": value} if isinstance(value, str) else _record(key, value, {"url": _text, "name": _text})
+    return {"url": own.get("url", "").strip(), "name": own.get("name", "")}
+
+
+DURATIONS = ("refresh", "timeout", "host_interval", "title_window")
+LISTS = {"filters": _text, "searches": _search, "feeds": _feed}
+
+
 def load(text: str, yaml: bool | None = None) -> Config:
-    raw = parse_yaml(text) if yaml or (yaml is None and not text.lstrip().startswith("{")) else json.loads(text)
-    kinds = {f.name: f for f in fields(Config)}
+    """The checked configuration of a YAML or JSON text; every fault in it is a ConfigError."""
+    try:
+        raw = parse_yaml(text) if yaml or (yaml is None and not text.lstrip().startswith("{")) else json.loads(text)
+    except json.JSONDecodeError as e:
+        raise ConfigError(f"no JSON: {e}") from e
+    if not isinstance(raw, dict):
+        raise ConfigError("the configuration must be a map of keys")
+    known = {f.name for f in fields(Config)}
     out = Config()
     for key, v in raw.items():
-        if key not in kinds:
+        if key not in known:
             raise ConfigError(f"unknown key {key}")
         old = getattr(out, key)
-        if isinstance(old, (int, float)) and v == "":
+        if key in LISTS:
+            v = [LISTS[key](key, x) for x in _rows(key, v)]
+        elif isinstance(old, str):
+            v = _text(key, v)
+        elif v in ("", None):
+            # An empty number keeps its default.
             continue
-        try:
-            v = duration(v) if key in ("refresh", "timeout", "host_interval", "title_window") else type(old)(v) if isinstance(old, (int, float)) else v
-        except ValueError as e:
-            raise ConfigError(f"{key}: {e}") from e
-        if key == "searches":
-            v = [SavedSearch(**(s | {"limit": int(s.get("limit") or 0)})) for s in v]
-        if key == "feeds":
-            v = [{"url": f.strip(), "name": ""} if isinstance(f, str) else {"url": f.get("url", "").strip(), "name": f.get("name", "")} for f in v]
+        else:
+            v = _seconds(key, v) if key in DURATIONS else _count(key, v) if isinstance(old, int) else _number(key, v)
         setattr(out, key, v)
     return checked(out)
 
 
+def read(path: str) -> Config:
+    """The configuration in a file, JSON by its ending or its first brace."""
+    with open(path, encoding="utf-8") as f:
+        return load(f.read(), False if path.endswith(".json") else None)
+
+
 def checked(c: Config) -> Config:
     c.workers, c.max_items, c.timeout = max(1, c.workers), max(0, c.max_items), c.timeout or 20.0
     urls = [f["url"] for f in c.feeds]

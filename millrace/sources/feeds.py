@@ -193,30 +193,59 @@ def parsed_document(body: bytes, url: str = "") -> tuple[str, dict, list[dict]]:
     raise ValueError(f"unknown format {root.name}")
 
 
+def _read(x: dict) -> list[dict]:
+    """A head row of one document, with its error if it has one, and a row an item."""
+    head = {"item_pos": -1, "source_url": x["url"], "source_pos": x["source_pos"]}
+    try:
+        if x.get("error"):
+            raise ValueError(x["error"])
+        # An unmodified document comes with its cached body.
+        if x.get("status") is not None and not 200 <= x["status"] < 300 and not (x["status"] == 304 and x["body"]):
+            raise ValueError(f"HTTP {x['status']}")
+        kind, feed, found = parsed_document(x["body"] or b"", x.get("final_url") or x["url"] or "")
+    except ValueError as e:
+        return [head | {"error": str(e)}]
+    if x.get("name"):
+        feed = feed | {"source_title": x["name"]}
+    return [head | {"format": kind} | feed, *(head | {"format": kind} | e | {"item_pos": i} | feed for i, e in enumerate(found))]
+
+
 def _documents(rows):
     for batch in rows:
-        out = []
-        for x in batch.to_pylist():
-            try:
-                if x.get("status") is not None and not 200 <= x["status"] < 300:
-                    raise ValueError(f"HTTP {x['status']}")
-                kind, feed, found = parsed_document(x["body"] or b"", x["url"] or "")
-                rows_ = [e | {"item_pos": i, "format": kind, "source_url": x["url"]} | feed for i, e in enumerate(found)]
-            except ValueError as e:
-                rows_ = [{"item_pos": -1, "error": str(e), "source_url": x["url"]}]
-            out += [r | {"source_pos": x["source_pos"]} for r in rows_]
-        yield pa.RecordBatch.from_pylist(out, SCHEMA)
+        # Bodies are large: one document at a time is turned into Python values.
+        for i in range(batch.num_rows):
+            yield pa.RecordBatch.from_pylist(_read(batch.slice(i, 1).to_pylist()[0]), SCHEMA)
+
+
+OPTIONAL = ("final_url", "name", "error")
 
 
 def parsed(documents: DataFrame) -> DataFrame:
-    """Items and errors of ``documents(source_pos, url, status, body)``; a failed document is a row with error."""
+    """Of ``documents(source_pos, url, status, body)``: a head row each (item_pos -1, error if it failed) and a row an item.
+
+    A column ``name`` replaces the title of the source where it is not empty, ``final_url`` is what
+    relative links refer to, and ``error`` that of a failed fetch.
+    """
     fields = ", ".join(f"{f.name} {'array<string>' if pa.types.is_list(f.type) else 'long' if f.type == pa.int64() else 'string'}" for f in SCHEMA)
-    return documents.select("source_pos", "url", "status", "body").mapInArrow(_documents, fields)
+    more = [c for c in OPTIONAL if c in documents.columns]
+    return documents.select("source_pos", "url", "status", "body", *more).mapInArrow(_documents, fields)
 
 
-def entries(documents: DataFrame) -> DataFrame:
-    """The entries of all documents; seq follows source order, then item order."""
-    items = parsed(documents).where("error is null")
+def entries_of(rows: DataFrame) -> DataFrame:
+    """The entries among the rows of ``parsed``; seq follows source order, then item order."""
+    items = rows.where("item_pos >= 0")
     seq = F.col("source_pos") * (1 << 32) + F.col("item_pos")
     published = parsed_date(F.col("published_raw"))
     return as_entries(items.withColumns({"published": published, "updated": F.coalesce(parsed_date(F.col("updated_raw")), published), "seq": seq}))
+
+
+def entries(documents: DataFrame) -> DataFrame:
+    """The entries of all documents."""
+    return entries_of(parsed(documents))
+
+
+def statuses(results: DataFrame, rows: DataFrame) -> DataFrame:
+    """The fetch log of one refresh: a row a source of ``results``, with what ``parsed`` made of it."""
+    per = rows.groupBy("source_pos").agg(F.count_if(F.col("item_pos") >= 0).alias("entries"), F.max("error").alias("error"))
+    found = results.select("source_pos", "url", "name", "not_modified", "status", "duration_ms").join(per, "source_pos", "left")
+    return found.select("url", "name", F.col("error").isNull().alias("ok"), "not_modified", "status", F.coalesce("entries", F.lit(0)).cast("int").alias("entries"), F.coalesce("error", F.lit("")).alias("error"), "duration_ms", F.col("source_pos").alias("pos"))

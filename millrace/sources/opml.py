@@ -47,21 +47,35 @@ def folders(feeds: DataFrame) -> DataFrame:
     return feeds.groupBy("folder").agg(F.min("pos").alias("first"), F.array_sort(F.collect_list(F.struct("pos", "name", "url", "site_url"))).alias("feeds"))
 
 
-def write(feeds: DataFrame, title: str = "Subscriptions") -> str:
+def rendered(groups, title: str = "Subscriptions") -> str:
+    """OPML of folders in order, each with ``folder`` and its ``feeds``."""
     out = ['<?xml version="1.0" encoding="UTF-8"?>', '<opml version="2.0">', f"<head><title>{escape(title)}</title></head>", "<body>"]
-    for f in folders(feeds).orderBy("first").collect():
-        lines = ["<outline type=\"rss\" text={0} title={0} xmlUrl={1}{2}/>".format(quoteattr(x["name"] or x["url"]), quoteattr(x["url"]), f" htmlUrl={quoteattr(x['site_url'])}" if x["site_url"] else "") for x in f["feeds"]]
-        out += [f"<outline text={quoteattr(f['folder'])}>", *lines, "</outline>"] if f["folder"] else lines
+    for f in groups:
+        lines = []
+        for x in f.feeds:
+            label, site = quoteattr(x["name"] or x["url"]), f" htmlUrl={quoteattr(x['site_url'])}" if x["site_url"] else ""
+            lines.append(f'<outline type="rss" text={label} title={label} xmlUrl={quoteattr(x["url"])}{site}/>')
+        out += [f"<outline text={quoteattr(f.folder)}>", *lines, "</outline>"] if f.folder else lines
     return "\n".join([*out, "</body>", "</opml>", ""])
 
 
-def as_config(feeds: list[dict]) -> str:
+def write(feeds: DataFrame, title: str = "Subscriptions") -> str:
+    return rendered(folders(feeds).orderBy("first").collect(), title)
+
+
+def _quoted(s: str) -> str:
+    """A YAML scalar that the configuration reads back as it is."""
+    if s and s == s.strip() and not any(c in s for c in ":#\"'\n\t"):
+        return s
+    return '"' + s.replace("\\", "\\\\").replace('"', '\\"').replace("\n", " ").replace("\t", " ") + '"'
+
+
+def as_config(feeds: list[dict], title: str = "") -> str:
     """The feeds as YAML for the configuration; what is not http(s) becomes a comment."""
-    quote = lambda s: '"' + s.replace("\\", "\\\\").replace('"', '\\"') + '"' if not s or s != s.strip() or any(c in s for c in ":#{}[],&*!|>'\"%@`") or s[0] in "-?" else s
-    out = ["feeds:"]
+    out = [*([f"title: {_quoted(title)}"] if title else []), "feeds:"]
     for f in feeds:
         if not f["url"].startswith(("http://", "https://")):
             out.append(f"  # skipped: {f['url']}")
             continue
-        out += [f"  - url: {f['url']}", *([f"    name: {quote(f['name'])}"] if f["name"] else [])]
+        out += [f"  - url: {_quoted(f['url'])}", *([f"    name: {_quoted(f['name'])}"] if f["name"] else [])]
     return "\n".join(out) + "\n"

@@ -124,6 +124,23 @@ def test_config():
     assert [config.duration(x) for x in ("", "90", "1m30s", "250ms", 3)] == [0, 90, 90, 0.25, 3]
 
 
+def test_quotes_and_comments():
+    feeds = "feeds:\n  - https://a.example/#part # the first\n"
+    read = lambda v: config.load(f"title: {v}\n{feeds}").title
+    assert [read(v) for v in (r'"a \"b\" c"', '"caf\u00e9\\tx"', r'"back\\slash"', "'it''s'", "plain # note", "'#1' # note", '""')] == ['a "b" c', "caf\u00e9\tx", "back\\slash", "it''s", "plain", "#1", ""]
+    c = config.load("self_link: https://m.example/feed.xml\naddr: ':9'\nuser_agent: \"me/1 (+https://m.example)\"\nworkers:\nmax_items: 5\n" + feeds)
+    assert (c.self_link, c.addr, c.user_agent, c.workers, c.max_items, c.feeds[0]["url"]) == ("https://m.example/feed.xml", ":9", "me/1 (+https://m.example)", 8, 5, "https://a.example/#part")
+
+
+FAULTS = ("[]", "- a\n- b\n", '{"feeds": 3}', '{"feeds": [3]}', '{"feeds": [{"url": "https://a/", "nme": "x"}]}', '{"searches": ["x"], "feeds": ["https://a/"]}', '{"searches": [{"name": "a", "query": "b", "limt": 1}], "feeds": ["https://a/"]}', '{"title": 3, "feeds": ["https://a/"]}', '{"max_items": 1.5, "feeds": ["https://a/"]}', '{"workers": "many", "feeds": ["https://a/"]}', '{"refresh": [], "feeds": ["https://a/"]}', '{"feeds": ["https://a/"]', "title: \"open\nfeeds:\n  - https://a/\n", 'title: "')
+
+
+@pytest.mark.parametrize("text", FAULTS)
+def test_faults_are_config_errors(text):
+    with pytest.raises(config.ConfigError):
+        config.load(text)
+
+
 @pytest.mark.parametrize("text", ["feeds:\n", "feeds:\n  - ftp://x/\n", "feeds:\n  - https://a/\n  - https://a/\n", "nope: 1\n", "feeds:\n\t- https://a/\n", "title: a\ntitle: b\n", "feeds:\n  - https://a/\nfilters:\n  - bad rule here x\n", "feeds:\n  - https://a/\ntitle_threshold: 2\n", "feeds:\n  - https://a/\nrefresh: soon\n"])
 def test_bad_config(text):
     with pytest.raises(config.ConfigError):
