@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LOWER, Forest, as_bytes, batches, freed, groups, written
+from ._common import LOWER, Forest, as_bytes, batches, dropped, freed, groups, written
 from millrace.operators.components import connected_components
 
 SEED, SHINGLE = 42, 4
@@ -165,16 +165,19 @@ def _blocks(k: int):
     return run
 
 
-def posting_lists(prints: DataFrame, k: int, long: int = LONG):
+def posting_lists(prints: DataFrame, k: int, long: int = LONG, made: list | None = None):
     """Yields (key, fp) tables of posting lists of at most ``long`` members in which all true pairs meet.
 
-    ``prints`` has distinct ``fp``.  The driver only learns whether there are long lists.
+    ``prints`` has distinct ``fp``.  The driver only learns whether there are long lists.  Tables
+    that the lists are read from are added to ``made``.
     """
+    made = [] if made is None else made
     rows = prints.select(F.explode(index_keys(F.col("fp"), k)).alias("key"), "fp")
     while True:
         varying = F.expr("bit_or(fp) & ~bit_and(fp)").alias("varying")
         large = rows.groupBy("key").agg(F.count("*").alias("n"), varying).where(F.col("n") > long).select("key", "varying")
         large = written(large, "long-lists")
+        made.append(large)
         if large.isEmpty():
             yield rows
             return
@@ -182,6 +185,7 @@ def posting_lists(prints: DataFrame, k: int, long: int = LONG):
         masks = written(large.mapInArrow(_blocks(k), "key long, mask long"), "list-blocks")
         # A new key is a hash of the old one and of the further bits agreed on; what a collision brings together is verified.
         rows = written(rows.join(masks, "key").select(F.xxhash64("key", "mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "fp"), "postings")
+        made += [masks, rows]
 
 
 def hamming_components(prints: DataFrame, k: int = 4, long: int = LONG) -> DataFrame:
@@ -190,11 +194,13 @@ def hamming_components(prints: DataFrame, k: int = 4, long: int = LONG) -> DataF
     Fingerprints link at ``k`` or fewer differing bits; ``component`` is the smallest fingerprint
     reachable, as a signed number.  Fingerprints without links have no row.
     """
-    links = None
-    for lists in posting_lists(prints.select("fp").distinct(), k, long):
+    links, made = None, []
+    for lists in posting_lists(prints.select("fp").distinct(), k, long, made):
         found = lists.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_links(k), "u long, v long")
         links = found if links is None else links.union(found)
-    return connected_components(links, "simhash").withColumnRenamed("node", "fp")
+    found = connected_components(links, "simhash").withColumnRenamed("node", "fp")
+    dropped(prints.sparkSession, *made)
+    return found
 
 
 def _classed(prints: DataFrame, k: int) -> DataFrame:
@@ -230,4 +236,5 @@ def deduplicated(docs: DataFrame, k: int = 4) -> DataFrame:
     per_print = prints.groupBy("fp").agg(first)
     heads = per_print.join(_classed(prints, k), "fp").groupBy("component").agg(F.min("first").alias("first"))
     heads = written(heads.select(F.col("first.key").alias("key")), "heads")
+    dropped(docs.sparkSession, prints)
     return keyed.select("row", "key").join(heads, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
