@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SPACES, let, native_words, text_or_empty
+from ._common import SPACES, free_names, let, native_words, text_or_empty
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -91,20 +91,13 @@ def repeat_words(words: Column, width: int = WINDOW) -> Column:
     return F.when(F.size(words) < width + 1, zero).otherwise(let(words, lambda w: let(hashes(w), counted)))
 
 
-def _free(docs: DataFrame, name: str) -> str:
-    """``name`` with as many underscores more as it takes to be no column of ``docs``."""
-    while name in docs.columns:
-        name += "_"
-    return name
-
-
 def measured(docs: DataFrame) -> DataFrame:
     """``docs`` with the measurements; its own columns of their names are replaced, all others stay."""
     text = text_or_empty()
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     both = lambda a: F.struct(F.size(a).cast("long").alias("n"), (F.size(a) - F.size(F.array_distinct(a))).cast("long").alias("dup"))
     words = lambda w: F.struct(F.size(w).cast("long").alias("n"), repeat_words(w).alias("rep"))
-    l, w = (_free(docs, x) for x in ("__l", "__w"))
+    l, w = free_names(docs, "__l", "__w")
     out = docs.withColumns({l: let(lines, both), w: let(native_words(text), words)})
     return out.withColumns(
         {

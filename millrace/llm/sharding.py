@@ -11,7 +11,7 @@ The law is ``bytes``.  A splitter prefers a boundary between texts; a group of e
 (by doc_id) only where it is itself too large to fall on one side.  Null texts count as empty; null
 doc_ids come first among equal texts; rows that repeat both stay together, in any order, and are the
 only ones that cannot be split.  doc_id may have any type; ids that are no whole numbers are ordered
-by their XXH64.  A row goes through as a whole, so its columns may have any names.
+by their XXH64.  Working columns take names that the input does not have.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 from pyspark.sql.window import Window
 
-from ._common import dropped, let, written
+from ._common import dropped, free_names, let, written
 
 #: Probes of each unsettled splitter a round, and the rounds after which the best probe is taken.
 PROBES, ROUNDS = 24, 40
@@ -124,8 +124,11 @@ def histogram_sharded(docs: DataFrame, shards: int = 16, tolerance: float = 0.00
     text = F.coalesce("text", F.lit(""))
     whole = isinstance(docs.schema["doc_id"].dataType, IntegralType)
     d = F.coalesce(F.col("doc_id").cast("long") if whole else F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")), F.lit(LOW))
-    sized = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(text).alias("h"), d.alias("d"), (F.octet_length(text) + 1).cast("long").alias("size"))
-    keys = written(sized.select("h", "d", "size"), "keys")
+    # No struct of the whole row: columns that a caller does not read are not to be shuffled.
+    base = docs.drop("size", "shard", "slot")
+    h, dd, part, n, place = free_names(base, "__h", "__d", "__part", "__n", "__place")
+    sized = base.withColumns({h: F.xxhash64(text), dd: d, "size": (F.octet_length(text) + 1).cast("long")})
+    keys = written(sized.select(F.col(h).alias("h"), F.col(dd).alias("d"), "size"), "keys")
     total, *ids = keys.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.min("d"), F.lit(0)), F.coalesce(F.max("d"), F.lit(0))).first()
     sub_ranges = min(MOST_SUB, max(LEAST_SUB, -(-total // (shards * sub_bytes))))
     parts = shards * sub_ranges
@@ -144,15 +147,14 @@ def histogram_sharded(docs: DataFrame, shards: int = 16, tolerance: float = 0.00
     flip = lambda x: int.from_bytes(x, "big") + LOW
     # As text, so that thousands of bounds are one constant of the plan.
     listed = lambda x, kind: F.from_json(F.lit(json.dumps(x)), f"array<struct<{kind}>>")
-    me = F.struct(F.col("h"), F.col("d"))
+    me = F.struct(F.col(h).alias("h"), F.col(dd).alias("d"))
     edges = listed([{"h": flip(k[:8]), "d": flip(k[8:])} for k, _, _ in cuts], "h: long, d: long")
-    part = _bisected(edges, me, len(cuts)) if cuts else F.lit(0)
-    routed = sized.withColumn("part", part).repartition(len(cuts) + 1, "part")
-    order = Window.partitionBy("part").orderBy("h", "d")
-    place = F.element_at(listed(places, "shard: int, start: long"), F.col("part") + 1)
-    numbered = routed.withColumn("n", F.row_number().over(order)).withColumn("place", place)
-    kept = (F.col("row")[c].alias(c) for c in docs.columns if c not in ("size", "shard", "slot"))
-    return numbered.select(*kept, "size", F.col("place.shard").alias("shard"), (F.col("place.start") + F.col("n") - 1).alias("slot"))
+    routed = sized.withColumn(part, _bisected(edges, me, len(cuts)) if cuts else F.lit(0)).repartition(len(cuts) + 1, part)
+    order = Window.partitionBy(part).orderBy(h, dd)
+    at = F.element_at(listed(places, "shard: int, start: long"), F.col(part) + 1)
+    numbered = routed.withColumn(n, F.row_number().over(order)).withColumn(place, at)
+    out = numbered.withColumns({"shard": F.col(place)["shard"], "slot": F.col(place)["start"] + F.col(n) - 1})
+    return out.drop(h, dd, part, n, place)
 
 
 def _bisected(edges, me, n: int):
