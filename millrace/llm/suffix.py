@@ -53,13 +53,19 @@ def prefix_hashes(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def polynomial(data: bytes) -> int:
+    """The polynomial hash of one byte string, as differences of ``prefix_hashes`` give it."""
+    x = np.frombuffer(data, np.uint8)
+    return int(((x.astype(np.uint64) + np.uint64(1)) * POWERS.to(len(x))[0][: len(x)]).sum())
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     return x ^ (x >> np.uint64(29))
 
 
-def anchors(text: bytes, length: int = LENGTH, k: int = ANCHOR) -> list[tuple[int, int, int, int, int]]:
-    """(hash, position, first window, last window, polynomial hash of the context) of each anchor of one text, in order."""
+def anchors(text: bytes, length: int = LENGTH, k: int = ANCHOR, contexts: bool = True) -> list[tuple[int, int, int, int, int]]:
+    """(hash, position, first window, last window, polynomial hash of the context or 0) of each anchor of one text, in order."""
     n = len(text)
     if n < length:
         return []
@@ -81,6 +87,8 @@ def anchors(text: bytes, length: int = LENGTH, k: int = ANCHOR) -> list[tuple[in
             at = first + int(h[first : first + span].argmin())
             out.append((int(h[at]), at, first, min(at, after - 1)))
             first = at + 1
+    if not contexts:
+        return [(*x, 0) for x in out]
     ends = np.array([(x[2], x[3] + length) for x in out])
     poly = ((prefix[ends[:, 1]] - prefix[ends[:, 0]]) * down[ends[:, 0]]).tolist()
     return [(*x, p) for x, p in zip(out, poly, strict=True)]
@@ -98,7 +106,7 @@ def _anchor_rows(length: int, k: int, contexts: bool):
             d, t = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             hashes, what, owner, second = [], [], [], []
             for i, text in enumerate(as_bytes(batch.column(2))):
-                for h, at, first, last, poly in anchors(text, length, k):
+                for h, at, first, last, poly in anchors(text, length, k, contexts):
                     hashes.append(_signed(h))
                     second.append(_signed(poly))
                     what.append(_signed(context_hash(text, at, first, last, length)) if contexts else at << 24 | (at - first) << 12 | (at - last))
@@ -129,12 +137,10 @@ def _contexts(length: int):
         for batch in batches(rows, 4_000, 8 << 20):
             out = {name: [] for name in CONTEXT}
             for d, t, text, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2)), batch.column(3).to_pylist(), strict=True):
-                prefix = prefix_hashes(np.frombuffer(text, np.uint8)) if found else None
-                down = POWERS.to(len(text) + 1)[1]
                 for x in found:
                     at, first, last = _unpacked(x["place"])
                     c = _signed(context_hash(text, at, first, last, length))
-                    poly = int((prefix[last + length] - prefix[first]) * down[first])
+                    poly = polynomial(text[first : last + length])
                     for name, v in zip(out, (d, t, at, x["h"], c, _signed(poly), at - first, x["hot"], text[first : last + length]), strict=True):
                         out[name].append(v)
             yield pa.RecordBatch.from_pydict({name: pa.array(v, CONTEXT[name]) for name, v in out.items()})
