@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from ._common import POWERS, as_bytes, batches, freed, groups, written
+from ._common import POWERS, as_bytes, batches, dropped, freed, groups, written
 
 LENGTH, ANCHOR = 200, 32
 #: Window suffixes sorted at once in one task.
@@ -64,8 +64,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def anchors(text: bytes, length: int = LENGTH, k: int = ANCHOR, contexts: bool = True) -> list[tuple[int, int, int, int, int]]:
-    """(hash, position, first window, last window, polynomial hash of the context or 0) of each anchor of one text, in order."""
+def anchors(text: bytes, length: int = LENGTH, k: int = ANCHOR) -> list[tuple[int, int, int, int, int]]:
+    """(hash, position, first window, last window, polynomial hash of the context) of each anchor of one text, in order."""
     n = len(text)
     if n < length:
         return []
@@ -87,8 +87,6 @@ def anchors(text: bytes, length: int = LENGTH, k: int = ANCHOR, contexts: bool =
             at = first + int(h[first : first + span].argmin())
             out.append((int(h[at]), at, first, min(at, after - 1)))
             first = at + 1
-    if not contexts:
-        return [(*x, 0) for x in out]
     ends = np.array([(x[2], x[3] + length) for x in out])
     poly = ((prefix[ends[:, 1]] - prefix[ends[:, 0]]) * down[ends[:, 0]]).tolist()
     return [(*x, p) for x, p in zip(out, poly, strict=True)]
@@ -98,25 +96,22 @@ def _signed(x: int) -> int:
     return x - (x >> 63 << 64)
 
 
-def _anchor_rows(length: int, k: int, contexts: bool):
-    """Per anchor its hash and either two hashes of its context, or its place, packed in one number."""
+def _anchor_rows(length: int, k: int):
+    """Per anchor its hash, two hashes of its context, and its place, packed in one number, in the text (d, t)."""
 
     def run(rows):
         for batch in batches(rows, 4_000, 8 << 20):
             d, t = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            hashes, what, owner, second = [], [], [], []
+            out: dict[str, list[int]] = {x: [] for x in ("h", "c", "p", "place", "d", "t")}
             for i, text in enumerate(as_bytes(batch.column(2))):
-                for h, at, first, last, poly in anchors(text, length, k, contexts):
-                    hashes.append(_signed(h))
-                    second.append(_signed(poly))
-                    what.append(_signed(context_hash(text, at, first, last, length)) if contexts else at << 24 | (at - first) << 12 | (at - last))
-                    owner.append(i)
-            out = {"h": pa.array(hashes, pa.int64()), "c" if contexts else "place": pa.array(what, pa.int64())}
-            if contexts:
-                out["p"] = pa.array(second, pa.int64())
-            else:
-                out |= {"d": pa.array([d[i] for i in owner], pa.int64()), "t": pa.array([t[i] for i in owner], pa.int64())}
-            yield pa.RecordBatch.from_pydict(out)
+                found = anchors(text, length, k)
+                out["h"] += [_signed(x[0]) for x in found]
+                out["c"] += [_signed(context_hash(text, at, first, last, length)) for _, at, first, last, _ in found]
+                out["p"] += [_signed(x[4]) for x in found]
+                out["place"] += [at << 24 | (at - first) << 12 | (at - last) for _, at, first, last, _ in found]
+                out["d"] += [d[i]] * len(found)
+                out["t"] += [t[i]] * len(found)
+            yield pa.RecordBatch.from_pydict({name: pa.array(v, pa.int64()) for name, v in out.items()})
 
     return run
 
@@ -382,11 +377,14 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> DataFrame:
     """(d, t, spans): for each row key of ``docs`` the byte spans of repeated strings, unmerged."""
     texts = _keyed(docs).select("d", "t", "text")
-    seen = texts.mapInArrow(_anchor_rows(length, k, True), "h long, c long, p long").groupBy("h").agg(F.count("*").alias("n"), ((F.min("c") != F.max("c")) | (F.min("p") != F.max("p"))).alias("mixed"))
+    # One pass over the texts finds all anchors; written, they are read twice.
+    found = written(texts.mapInArrow(freed(_anchor_rows(length, k)), "h long, c long, p long, place long, d long, t long"), "all-anchors")
+    mixed = ((F.min("c") != F.max("c")) | (F.min("p") != F.max("p"))).alias("mixed")
+    seen = found.groupBy("h").agg(F.count("*").alias("n"), mixed)
     # Both sides of a join on anchors are written tables, so that the parts of a frequent anchor are dealt anew.
     seen = written(seen.where("n > 1").select("h", "mixed", (F.col("mixed") & (F.col("n") > HOT)).alias("hot")), "repeated-anchors")
-    found = texts.mapInArrow(_anchor_rows(length, k, False), "h long, place long, d long, t long")
-    shared = written(found.join(seen, "h").select("d", "t", "h", "place", "mixed", "hot"), "anchors")
+    shared = written(found.select("h", "place", "d", "t").join(seen, "h").select("d", "t", "h", "place", "mixed", "hot"), "anchors")
+    dropped(docs.sparkSession, found, seen)
     # Repeated rows share a key, so each anchor of theirs is gathered once.
     per_row = shared.where("mixed").groupBy("d", "t").agg(F.collect_set(F.struct("h", "place", "hot")).alias("found"))
     bodies = texts.join(per_row, ["d", "t"]).select("d", "t", "text", "found").mapInArrow(_contexts(length), "d long, t long, at int, h long, c long, p long, off int, hot boolean, body binary")

@@ -204,7 +204,7 @@ def test_equal_context_hashes_remove_nothing(spark, monkeypatch):
     got = {(h, p) for t in texts for h, at, first, last, p in suffix.anchors(t, 200, 32)}
     assert len(got) == sum(len(suffix.anchors(t, 200, 32)) for t in texts)
     batch = __import__("pyarrow").RecordBatch.from_pydict({"d": [i for i, _ in rows], "t": [0] * 6, "text": [t for _, t in rows]})
-    (out,) = suffix._anchor_rows(200, 32, True)(iter([batch]))
+    (out,) = suffix._anchor_rows(200, 32)(iter([batch]))
     assert set(out.column("c").to_pylist()) == {1} and len(set(zip(out.column("h").to_pylist(), out.column("p").to_pylist(), strict=True))) == out.num_rows
 
 
