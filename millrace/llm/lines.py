@@ -13,9 +13,10 @@ a group of thousands of variants costs about one verification a line and never a
 blocks are merged by star contraction.  Of each connected group the first occurrence, by (doc_id, line
 number), stays.
 
-A block of over ``LONG`` lines, as a template makes, is no task of its own: its lines are dealt into
-narrower blocks by further minima, twice by different ones, and one line of each narrow block goes to a
-block of heads, which connects them.
+A block of over ``LONG`` lines, as a template makes, is no task of its own.  First its lines are compared
+tile by tile, and the first lines of the tiles with each other; links found are merged.  Then each two
+tiles are compared as well, but for lines that are connected already.  So all pairs of any block are
+compared or connected, whatever its size, and no task holds more than two tiles of it.
 
 Meeting is by chance, so a pair may be missed; the README has the measured share of pairs that meet.
 
@@ -48,8 +49,10 @@ LONG_WORD, ENOUGH = 4, 8
 FAR = 11
 #: Shorter lines allow no edit at all and have no blocks.
 LEAST = 10
-#: Lines of a block beyond which it is dealt into narrower ones.
-LONG = 2_048
+#: Lines of a tile: a block of more is dealt tile by tile.  No result depends on it.
+LONG = 512
+#: Pairs that a task makes and holds at a time, and nodes of its forest before it is emptied.
+MADE, HELD, NODES = 1 << 17, 1 << 18, 300_000
 
 _RNG = np.random.default_rng(11)
 TIMES, PLUS = _RNG.integers(0, 1 << 32, (2, BLOCKS * (MINIMA + 1)), dtype=np.uint32)
@@ -220,56 +223,104 @@ def distance(a: str, b: str, most: int | None = None) -> int:
     return min(len(b) + plus.bit_count() - minus.bit_count(), most + 1)
 
 
-def within(pairs: list[tuple[str, str]], most: list[int]) -> np.ndarray:
-    """Which pairs are at most so many edits apart: banded tables of pairs of like length, row by row together.
+#: Words of 64 bits of a band, and pairs together, beyond and below which pairs are compared one by one.
+WORDS, FEW_PAIRS = 48, 12
+
+
+def _codes(texts: list[str]) -> list[np.ndarray]:
+    """Characters of texts as numbers of the narrowest type that has two to spare."""
+    raw = [np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in texts]
+    most = max((int(x.max()) for x in raw if len(x)), default=0)
+    kind = np.uint8 if most < 254 else np.uint16 if most < 65_534 else np.uint32
+    return [x.astype(kind) for x in raw]
+
 
-    A row holds, for each diagonal of the band, the distance less the diagonal's number; a pair
-    leaves as soon as its whole band is above its limit.
+def _banded(pairs: list[tuple[str, str]], limit: np.ndarray) -> np.ndarray:
+    """``within`` for pairs of like length, longer than their limits: Hyyrö's bit-parallel band, column by column together.
+
+    Bit k of a band of ``size`` bits at column j stands for row j + band - (size - 1) + k of the table.
+    ``top`` is the distance along the highest diagonal; the steps down to the diagonal on which the
+    table ends are counted in the band, and distances never fall along a diagonal.
     """
+    band, one = int(limit.max()), np.uint64(1)
+    words = (2 * band + 1 + 63) // 64
+    size = 64 * words
+    m = np.array([len(b) for _, b in pairs])
+    order = np.argsort(-m)
+    m, limit = m[order], limit[order]
+    down = band + m - np.array([len(pairs[i][0]) for i in order])
+    codes = _codes([x for i in order for x in pairs[i]])
+    none = np.iinfo(codes[0].dtype).max
+    a = np.full((len(m), int(m.max()) + size), none, codes[0].dtype)
+    b = np.full((len(m), int(m.max())), none - 1, codes[0].dtype)
+    lead = size - 1 - band
+    for r in range(len(m)):
+        x, y = codes[2 * r : 2 * r + 2]
+        x = x[: a.shape[1] - lead]
+        a[r, lead : lead + len(x)], b[r, : len(y)] = x, y
+    at = np.arange(size)
+    to_words = lambda bits: np.ascontiguousarray(np.packbits(bits, axis=1, bitorder="little").view(np.uint64).T)
+    steps = to_words((at >= size - 1 - down[:, None]) & (at <= size - 2))
+    plus, minus = to_words(np.broadcast_to(at >= lead, (len(m), size))), np.zeros((words, len(m)), np.uint64)
+    top, out, who, last = np.full(len(m), band), np.zeros(len(m), bool), order, np.uint64(63)
+    for j in range(int(m[0])):
+        eq = to_words(a[:, j : j + size] == b[:, j, None])
+        d = np.empty_like(eq)
+        carry = None
+        for w in range(words):
+            x = (eq[w] & plus[w]) + plus[w]
+            over = x < plus[w]
+            if carry is not None:
+                x += carry
+                over |= x < carry
+            carry = over.astype(np.uint64) if w + 1 < words else None
+            d[w] = x
+        d ^= plus
+        d |= eq
+        d |= minus
+        top += (d[-1] >> last) == 0
+        high = minus | ~(d | plus)
+        low = d & plus
+        moved = d >> one
+        if words > 1:
+            moved[:-1] |= d[1:] << last
+        plus, minus = low | ~(moved | high), moved & high
+        done = int(np.searchsorted(-m, -(j + 1)))
+        if done < len(m) or j % 16 == 15:
+            now = top - np.bitwise_count(plus & steps).sum(0, np.int64) + np.bitwise_count(minus & steps).sum(0, np.int64)
+            out[who[done:]] = (now <= limit)[done:]
+            stay = now[:done] <= limit[:done]
+            if done < len(m) or not stay.all():
+                who, m, limit, top, a, b = (x[:done][stay] for x in (who, m, limit, top, a, b))
+                plus, minus, steps = (np.ascontiguousarray(x[:, :done][:, stay]) for x in (plus, minus, steps))
+                if not len(m):
+                    break
+    return out
+
+
+def within(pairs: list[tuple[str, str]], most: list[int]) -> np.ndarray:
+    """Which pairs are at most so many edits apart: pairs of like length together, single long ones by themselves."""
     out = np.zeros(len(pairs), bool)
-    size = np.array([max(len(a), len(b)) for a, b in pairs])
-    order = np.lexsort((size, most))
-    for at in range(0, len(order), 64):
-        who = order[at : at + 64]
-        band = int(max(most[i] for i in who))
-        rows = max(len(pairs[i][0]) for i in who)
-        if rows * (2 * band + 1) > 1 << 21 or len(who) < 6:
-            # Very long lines, or too few to be worth tables.
-            for i in who:
-                out[i] = distance(*pairs[i], most[i]) <= most[i]
-            continue
-        n, m = (np.array([len(pairs[i][k]) for i in who]) for k in (0, 1))
-        a = np.full((len(who), rows), -1, np.int32)
-        b = np.full((len(who), max(rows, int(m.max())) + 2 * band + 1), -2, np.int32)
-        for r, i in enumerate(who):
-            a[r, : n[r]] = np.frombuffer(pairs[i][0].encode("utf-32-le"), np.int32)
-            b[r, band : band + m[r]] = np.frombuffer(pairs[i][1].encode("utf-32-le"), np.int32)
-        limit, width = np.array([most[i] for i in who]), 2 * band + 1
-        diagonal, ends = np.arange(-band, band + 1), set(n.tolist())
-        # Before the first row: d characters of b are d edits; diagonals below 0 have no cell yet.
-        now = np.repeat(np.where(diagonal >= 0, 0, 1 << 13).astype(np.int16)[None], len(who), 0)
-        for i in range(rows + 1):
-            ended = i in ends
-            if ended:
-                done = n == i
-                end = np.clip(m - n, -band, band)[done]
-                found = now[np.flatnonzero(done), end + band] + end
-                out[who[done]] = (found <= limit[done]) & (np.abs(m - n)[done] <= limit[done])
-            if ended or i % 32 == 31:
-                stay = (n > i) & ((now + diagonal.astype(np.int16)).min(1) <= limit)
-                if not stay.all():
-                    who, n, m, a, b, limit, now = (x[stay] for x in (who, n, m, a, b, limit, now))
-                    if not len(who):
-                        break
-            if i < rows:
-                # Equal or changed along the diagonal, a character of a dropped, then characters of b added.
-                new = now + (a[:, i, None] != b[:, i : i + width])
-                np.minimum(new[:, :-1], now[:, 1:] + np.int16(2), out=new[:, :-1])
-                if i < band:
-                    # The cell before b begins costs the characters of a so far.
-                    new[:, : band - i - 1] = 1 << 13
-                    new[:, band - i - 1] = 2 * (i + 1)
-                now = np.minimum.accumulate(new, 1)
+    most = np.array(most, np.int64)
+    size = np.array([(len(a), len(b)) for a, b in pairs], np.int64).reshape(-1, 2)
+    words = (2 * most + 64) // 64
+    fit = (np.abs(size[:, 0] - size[:, 1]) <= most) & (most >= 0)
+    alone = fit & (words > WORDS)
+    order = np.flatnonzero(fit & ~alone)
+    order = order[np.lexsort((size[order, 1], most[order], words[order]))]
+    starts = np.flatnonzero(np.diff(words[order], prepend=0))
+    for s, e in zip(starts, np.append(starts[1:], len(order)), strict=True):
+        step = 1024 // int(words[order[s]])
+        for at in range(s, e, step):
+            who = order[at : min(e, at + step)]
+            long = size[who].min(1) > most[who].max()
+            alone[who[~long]], who = True, who[long]
+            if len(who) < FEW_PAIRS:
+                alone[who] = True
+            else:
+                out[who] = _banded([pairs[i] for i in who], most[who])
+    for i in np.flatnonzero(alone):
+        out[i] = distance(*pairs[i], int(most[i])) <= most[i]
     return out
 
 
@@ -311,155 +362,233 @@ def alike(a: str, b: str, similarity: float = SIMILARITY) -> bool:
     return edits >= 0 and distance(a, b, edits) <= edits
 
 
-def _split(rows):
-    """Of (key, a, mark) sorted by key: (block, a, slot) of the members of blocks that may be alike.
-
-    ``block`` is a hash of the members, so the same members met under other keys are one block.
+def _mixed(x: np.ndarray) -> np.ndarray:
+    for by, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ x >> np.uint64(by)) * np.uint64(factor)
+    return x ^ x >> np.uint64(31)
+
+
+def _kin(key: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """For each row of a table sorted by ``key``: the first row that near rows of its key lead to."""
+    label, n = np.arange(len(key)), len(key)
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    last = np.append(first[1:], n)
+    # Short blocks go by steps over the whole table.
+    short, left, right = np.repeat(last - first <= 16, last - first), [], []
+    at = np.flatnonzero(short)
+    for step in range(1, 16):
+        at = at[at + step < n]
+        at = at[key[at] == key[at + step]]
+        if not len(at):
+            break
+        ok = at[near(marks[at], marks[at + step])]
+        left.append(ok)
+        right.append(ok + step)
+    if left:
+        left, right = np.concatenate(left), np.concatenate(right)
+        while (label[left] != label[right]).any():
+            least = np.minimum(label[left], label[right])
+            np.minimum.at(label, left, least)
+            np.minimum.at(label, right, least)
+    for s, e in zip(first.tolist(), last.tolist(), strict=True) if not short.all() else ():
+        rest = np.arange(s, e) if e - s > 16 else ()
+        while len(rest):
+            reached, root, rest = [int(rest[0])], rest[0], rest[1:]
+            while reached and len(rest):
+                ok = near(marks[reached.pop()], marks[rest])
+                reached.extend(rest[ok].tolist())
+                label[rest[ok]] = root
+                rest = rest[~ok]
+    return label
+
+
+def _split(long: int):
+    """Of (key, a, mark) sorted by key: (block, tile, a, slot, tiles) of the members of blocks that may be alike.
+
+    ``block`` is a hash of the members, so the same members met under other keys of a kind are one
+    block.  Tiles are of ``long`` members; the first of each also stand in tile -1.
     """
-    for part in groups(rows, "key"):
-        key, ids, marks = (part.column(c).to_numpy() for c in ("key", "a", "mark"))
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        last = np.append(first[1:], len(key))
-        # Most blocks are short and hold no near pair: those go by steps over the whole table.
-        some = last - first > 16
-        number = np.repeat(np.arange(len(first)), last - first)
-        for step in range(1, 16):
-            both = np.flatnonzero(key[step:] == key[:-step])
-            if not len(both):
-                break
-            some[number[both[near(marks[both], marks[both + step])]]] = True
-        blocks, members, slots = [], [], []
-        for s, e in zip(first[some].tolist(), last[some].tolist(), strict=True):
-            left = np.arange(s, e)
-            while len(left) > 1:
-                reached, left = [int(left[0])], left[1:]
-                own = []
-                while reached:
-                    x = reached.pop()
-                    own.append(x)
-                    if len(left):
-                        ok = near(marks[x], marks[left])
-                        reached.extend(left[ok].tolist())
-                        left = left[~ok]
-                who = np.unique(ids[own])
-                if len(who) > 1:
-                    blocks.append(np.full(len(who), xxhash.xxh3_64_intdigest(who.tobytes()), np.uint64).view(np.int64))
-                    members.append(who)
-                    slots.append(np.full(len(who), key[s] >> 32, np.int32))
-        if blocks:
-            yield pa.record_batch([pa.array(np.concatenate(x)) for x in (blocks, members, slots)], names=["block", "a", "slot"])
-
 
-def _first_slots(keys: np.ndarray, there: np.ndarray, marks: np.ndarray, hot: np.ndarray, i: int) -> np.ndarray:
-    """For each line before ``i``: the first block in which the two meet and are near, ``SLOTS`` if there is none."""
-    shared = (keys[:i] == keys[i]) & there[i] & there[:i] & ((hot[i] >> np.arange(SLOTS) & 1) == 0)
+    def run(rows):
+        for part in groups(rows, "key"):
+            key, ids, marks = (part.column(c).to_numpy() for c in ("key", "a", "mark"))
+            same = key[1:] == key[:-1]
+            some = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+            key, ids, marks = key[some], ids[some], marks[some]
+            if not len(key):
+                continue
+            label = _kin(key, marks)
+            order = np.lexsort((ids, label))
+            label, ids, slot = label[order], ids[order], key[order] >> 32
+            fresh = np.concatenate([[True], (label[1:] != label[:-1]) | (ids[1:] != ids[:-1])])
+            label, ids, slot = label[fresh], ids[fresh], slot[fresh]
+            first = np.flatnonzero(np.concatenate([[True], label[1:] != label[:-1]]))
+            n = np.diff(np.append(first, len(label)))
+            seed = (slot[first] // BLOCKS + 1).astype(np.uint64)
+            total = np.add.reduceat(_mixed(ids.view(np.uint64) + np.repeat(seed, n)), first)
+            columns = [np.repeat(_mixed(total).view(np.int64), n), (np.arange(len(ids)) - np.repeat(first, n)), ids, slot, np.repeat(n, n)]
+            block, place, ids, slot, n = (x[np.repeat(n > 1, n)] for x in columns)
+            if len(ids):
+                heads = np.flatnonzero((place % long == 0) & (n > long))
+                tile = np.concatenate([place // long, np.full(len(heads), -1)]).astype(np.int32)
+                every = lambda x: np.concatenate([x, x[heads]])
+                tiles = every((n - 1) // long + 1).astype(np.int32)
+                yield pa.record_batch([pa.array(x) for x in (every(block), tile, every(ids), every(slot).astype(np.int32), tiles)], names=["block", "tile", "a", "slot", "tiles"])
+
+    return freed(run)
+
+
+def _first_met(keys: np.ndarray, there: np.ndarray, marks: np.ndarray, ii: np.ndarray, jj: np.ndarray) -> np.ndarray:
+    """For each pair of lines: the first block in which the two meet and are near, ``SLOTS`` if there is none."""
+    shared = (keys[ii] == keys[jj]) & there[ii] & there[jj]
     for kind in (0, 1):
-        shared[:, kind * BLOCKS : (kind + 1) * BLOCKS] &= near(marks[i, kind], marks[:i, kind])[:, None]
+        shared[:, kind * BLOCKS : (kind + 1) * BLOCKS] &= near(marks[ii, kind], marks[jj, kind])[:, None]
     return np.where(shared.any(1), shared.argmax(1), SLOTS)
 
 
-class Block:
-    """The lines of one block, as a course of pairs to compare that heeds what is connected already."""
+def _first_slots(keys: np.ndarray, there: np.ndarray, marks: np.ndarray, hot: np.ndarray, i: int) -> np.ndarray:
+    """``_first_met`` of each line before ``i`` with line ``i``; no block is left out, whatever ``hot`` says."""
+    return _first_met(keys, there, marks, np.full(i, i), np.arange(i))
+
+
+def _same(pairs: list[tuple[str, str]], most: list[int]) -> np.ndarray:
+    """``within``, after very long texts went through ``may_be_alike``."""
+    out = np.array([m <= 32 * WORDS or may_be_alike(*map(grams_of, x)) for x, m in zip(pairs, most, strict=True)], bool)
+    asked = np.flatnonzero(out)
+    out[asked] = within([pairs[k] for k in asked], [most[k] for k in asked])
+    return out
+
+
+class Lines:
+    """Lines of whole blocks or tiles, compared pair by pair within each, but for what is connected already."""
 
-    def __init__(self, part: pa.Table, forest: Forest) -> None:
-        self.forest = forest
-        self.ids, self.slot = part.column("a").to_pylist(), part.column("slot")[0].as_py()
-        self.texts = [normalised(x).decode() for x in part.column("line").to_pylist()]
+    def __init__(self, part: pa.Table, forest: Forest, across: bool) -> None:
+        self.forest, self.across = forest, across
+        self.unit, self.slot, self.side, self.label = (part.column(c).to_numpy() for c in ("unit", "slot", "side", "label"))
+        self.texts = [x.decode() for x in part.column("line").to_pylist()]
+        self.chars = np.array(list(map(len, self.texts)))
         listed = part.column("keys").combine_chunks().flatten()
         self.there = listed.is_valid().to_numpy(zero_copy_only=False).reshape(-1, SLOTS)
         self.keys = listed.fill_null(0).to_numpy().reshape(-1, SLOTS)
         self.marks = part.column("marks").combine_chunks().flatten().to_numpy().reshape(-1, 2)
-        self.hot, self.grams = part.column("hot").to_numpy(), {}
-
-    def _grams(self, i: int):
-        if i not in self.grams:
-            self.grams[i] = grams_of(self.texts[i])
-        return self.grams[i]
-
-    def _meetings(self) -> tuple[np.ndarray, np.ndarray]:
-        """The pairs that this block is to compare."""
-        n, ii, jj = len(self.ids), [], []
-        for i in range(1, n):
-            j = np.arange(i) if self.slot == SLOTS else np.flatnonzero(_first_slots(self.keys, self.there, self.marks, self.hot, i) == self.slot)
-            ii.append(np.full(len(j), i))
-            jj.append(j)
-        return np.concatenate(ii), np.concatenate(jj)
-
-    def pairs(self):
-        """Yields lists of pairs that may be alike; links are in the forest when the next one is asked for.
-
-        First each line is compared with one earlier line.  After that each two groups that are not
-        connected are compared by 2, 4, 8, ... pairs of their lines, until none are left.
+        self.own = self.marks[np.arange(len(self.slot)), self.slot // BLOCKS]
+        # Sets of connected lines as numbers; ``up`` leads from each to the one that it was joined to.
+        known, self.set = np.unique(np.array([forest.root(x) for x in self.label.tolist()], np.int64), return_inverse=True)
+        self.up = np.arange(len(known))
+
+    def _roots(self) -> np.ndarray:
+        while ((above := self.up[self.up]) != self.up).any():
+            self.up = above
+        return self.up[self.set]
+
+    def _pairs(self):
+        """The pairs to compare, as rows ii and jj, a bounded number at a time."""
+        first = np.concatenate([[True], self.unit[1:] != self.unit[:-1]])
+        place = np.arange(len(self.unit)) - np.maximum.accumulate(np.where(first, np.arange(len(self.unit)), 0))
+        cuts = np.flatnonzero(np.diff(np.cumsum(place) // MADE, prepend=-1)).tolist()
+        for s, e in zip(cuts, [*cuts[1:], len(place)], strict=True):
+            n = place[s:e]
+            ii = np.repeat(np.arange(s, e), n)
+            jj = ii - 1 - (np.arange(len(ii)) - np.repeat(np.cumsum(n) - n, n))
+            roots = self._roots()
+            ok = (roots[ii] != roots[jj]) & near(self.own[ii], self.own[jj])
+            if self.across:
+                ok &= self.side[ii] != self.side[jj]
+            ii, jj = ii[ok], jj[ok]
+            ok = np.abs(self.chars[ii] - self.chars[jj]) <= self._most(ii, jj)
+            ii, jj = ii[ok], jj[ok]
+            ok = _first_met(self.keys, self.there, self.marks, ii, jj) == self.slot[ii]
+            yield ii[ok], jj[ok]
+
+    def _most(self, ii: np.ndarray, jj: np.ndarray) -> np.ndarray:
+        return ((1 - SIMILARITY) * np.maximum(self.chars[ii], self.chars[jj]) + 1e-9).astype(np.int64)
+
+    def links(self) -> list[tuple[int, int]]:
+        out, held, n = [], [], 0
+        for pair in self._pairs():
+            held.append(pair)
+            if (n := n + len(pair[0])) > HELD:
+                out += self._compared(*map(np.concatenate, zip(*held, strict=True)))
+                held, n = [], 0
+        return out + (self._compared(*map(np.concatenate, zip(*held, strict=True))) if held else [])
+
+    def _compared(self, ii: np.ndarray, jj: np.ndarray) -> list[tuple[int, int]]:
+        """First each line is compared with the nearest earlier one.  After that each two sets that are
+        not connected are compared by 2, 4, 8, ... pairs of their lines, until none are left.
         """
-        ids, texts, (ii, jj), many = self.ids, self.texts, self._meetings(), 1
+        out, many = [], 1
         while len(ii):
-            roots = np.array([self.forest.root(x) for x in ids])
+            roots = self._roots()
             ri, rj = roots[ii], roots[jj]
             ii, jj, ri, rj = (x[ri != rj] for x in (ii, jj, ri, rj))
             if not len(ii):
-                return
+                break
             key = (ii, ii) if many == 1 else (np.minimum(ri, rj), np.maximum(ri, rj))
-            order = np.lexsort((jj, ii, *key))
+            far = np.bitwise_count((self.own[ii] ^ self.own[jj]).view(np.uint64) >> np.uint64(16))
+            order = np.lexsort((far, *key))
             new = np.concatenate([[True], (key[0][order][1:] != key[0][order][:-1]) | (key[1][order][1:] != key[1][order][:-1])])
             first = np.flatnonzero(new)
             rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
             now, later = order[rank < many], np.sort(order[rank >= many])
-            found = []
-            for i, j in zip(ii[now].tolist(), jj[now].tolist(), strict=True):
-                if (most := allowed(texts[i], texts[j])) >= 0 and may_be_alike(self._grams(i), self._grams(j)):
-                    found.append((ids[i], ids[j], texts[i], texts[j], most))
-            if found:
-                yield found
+            same = now[_same([(self.texts[i], self.texts[j]) for i, j in zip(ii[now].tolist(), jj[now].tolist(), strict=True)], self._most(ii[now], jj[now]).tolist())]
+            for i, j in zip(ii[same].tolist(), jj[same].tolist(), strict=True):
+                u, v = int(self.label[i]), int(self.label[j])
+                if self.forest.join(u, v):
+                    out.append((u, v))
+                    x, y = self._root(self.set[i]), self._root(self.set[j])
+                    self.up[max(x, y)] = min(x, y)
             ii, jj, many = ii[later], jj[later], 2 * many
+        return out
+
+    def _root(self, x: int) -> int:
+        while self.up[x] != x:
+            x = self.up[x]
+        return x
 
 
-def _verified(rows):
-    """Of (block, a, slot, line, keys, marks, hot) sorted by block: links of alike lines, a spanning forest a task.
+def _verified(across: bool):
+    """Of (unit, a, slot, side, label, line, keys, marks) sorted by unit: links between labels of alike lines.
 
-    A pair that meets in several blocks is compared in the first of them only; narrowed blocks
-    (slot ``SLOTS``) compare all their pairs and do not count as meeting places.  Blocks take turns,
-    so that the pairs at hand in many of them are compared together.
+    Units are blocks or tiles of blocks; with ``across`` only lines of different sides are compared.
+    A task yields a spanning forest.  A pair that meets in several blocks is compared in the first of them.
     """
-    forest = Forest()
-    for part in groups(rows, "block"):
-        block = part.column("block").to_numpy()
-        starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])).tolist()
-        courses = [Block(part.slice(s, e - s), forest).pairs() for s, e in zip(starts, [*starts[1:], len(block)], strict=True)]
-        links = []
-        while courses:
-            turns = [(c, x) for c in courses if (x := next(c, None)) is not None]
-            courses, asked = [c for c, _ in turns], [x for _, found in turns for x in found]
-            same = within([x[2:4] for x in asked], [x[4] for x in asked])
-            links += [x[:2] for x, ok in zip(asked, same, strict=True) if ok and forest.join(*x[:2])]
-        if links:
-            yield pa.record_batch([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["u", "v"])
-        if len(forest.parent) > 1_000_000:
-            forest = Forest()
+
+    def run(rows):
+        forest = Forest()
+        for part in groups(rows, "unit"):
+            if links := Lines(part, forest, across).links():
+                yield pa.record_batch([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["u", "v"])
+            if len(forest.parent) > NODES:
+                forest = Forest()
+
+    return freed(run)
 
 
 def _id_text(column: str = "doc_id"):
     return F.coalesce(F.col(column).cast("string"), F.lit("-"))
 
 
-def _narrowed(index: DataFrame, long: int) -> tuple[DataFrame, DataFrame | None]:
-    """``index(key, a, mark)`` with the lines of long blocks dealt into narrower ones and a block of heads.
+def _dealt(rows: DataFrame, fetched: DataFrame, across: bool) -> DataFrame:
+    """Links of ``rows(unit, a, slot, side, label)``, unit by unit."""
+    joined = rows.join(fetched, "a").select("unit", "a", "slot", "side", "label", "line", "keys", "marks")
+    return written(joined.repartition("unit").sortWithinPartitions("unit", "a").mapInArrow(_verified(across), "u long, v long"), "line-links")
 
-    Also (a, hot): the blocks, as bits, that a line shares with too many others; None where none are long.
-    """
-    bits = F.ceil(F.log2(F.col("n") / long)).cast("int") + 1
-    large = index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > long)
-    large = written(large.select("key", bits.alias("bits")), "long-blocks")
-    if large.isEmpty():
-        return index, None
-    rest = index.join(large, "key", "left_anti")
-    # Two choices of the bits of minima, from either end of them.
-    high, low = F.expr("shiftright(mark, 64 - bits)"), F.expr("shiftright(shiftleft(mark, 48 - bits), 64 - bits)")
-    own = lambda *c: F.xxhash64("key", *c).bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseOR(F.lit(SLOTS << 32))
-    dealt = index.join(large, "key").withColumn("x", F.explode(F.array(own(F.lit(1), high), own(F.lit(2), low))))
-    dealt = written(dealt.select("key", F.col("x").alias("narrow"), "a", "mark"), "narrow-blocks")
-    heads = dealt.groupBy("key", "narrow").agg(F.min(F.struct("a", "mark")).alias("h")).select(own(F.lit(3)).alias("key"), "h.a", "h.mark")
-    hot = dealt.groupBy("a").agg(F.expr("bit_or(shiftleft(1L, cast(shiftright(key, 32) as int)))").alias("hot"))
-    return rest.unionByName(dealt.select(F.col("narrow").alias("key"), "a", "mark")).unionByName(heads), hot
+
+def _tile_links(members: DataFrame, fetched: DataFrame, roots: DataFrame) -> DataFrame | None:
+    """Links across the tiles of each block, but for tiles that are all connected; None where there are no tiles."""
+    spark = members.sparkSession
+    dealt = members.where("tile >= 0 and tiles > 1")
+    if dealt.isEmpty():
+        return None
+    dealt = written(dealt.join(roots, "a", "left").select("block", "tile", "a", "slot", F.coalesce("component", "a").alias("label")), "line-tiles")
+    tiles = dealt.groupBy("block", "tile").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    other = tiles.select("block", *(F.col(c).alias(f"{c}2") for c in ("tile", "low", "high")))
+    two = tiles.join(other, "block").where("tile < tile2 and not (low = high and low = low2 and low = high2)")
+    sides = F.explode(F.array(*(F.struct(F.col(c).alias("tile"), F.lit(k).alias("side")) for k, c in enumerate(("tile", "tile2"))))).alias("s")
+    two = two.select("block", F.xxhash64("block", "tile", "tile2").alias("unit"), sides).select("block", "unit", "s.tile", "s.side")
+    links = _dealt(dealt.join(two, ["block", "tile"]).select("unit", "a", "slot", "side", "label"), fetched, True)
+    dropped(spark, dealt)
+    return links
 
 
 def line_groups(docs: DataFrame, long: int = LONG) -> tuple[DataFrame, DataFrame]:
@@ -473,22 +602,21 @@ def line_groups(docs: DataFrame, long: int = LONG) -> tuple[DataFrame, DataFrame
     index = sketched.select("a", "marks", F.posexplode("keys").alias("slot", "k")).where("k is not null")
     key = F.shiftleft(F.col("slot").cast("long"), 32).bitwiseOR(F.col("k").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("key")
     index = index.select(key, "a", F.element_at("marks", F.when(F.col("slot") < BLOCKS, 1).otherwise(2)).alias("mark"))
-    index, hot = _narrowed(index, long)
-    split = index.repartition("key").sortWithinPartitions("key").mapInArrow(freed(_split), "block long, a long, slot int")
-    members = written(split.groupBy("block", "a").agg(F.min("slot").alias("slot")), "line-blocks")
+    split = index.repartition("key").sortWithinPartitions("key").mapInArrow(_split(long), "block long, tile int, a long, slot int, tiles int")
+    members = written(split.groupBy("block", "tile", "a").agg(F.min("slot").alias("slot"), F.max("tiles").alias("tiles")), "line-blocks")
     met = members.select("a").distinct()
-    suspects = distinct.select("a", "b", "first").join(sketched.join(met, "a", "left_semi").dropDuplicates(["a"]), "a")
-    suspects = suspects.withColumn("hot", F.lit(0).cast("long")) if hot is None else suspects.join(hot, "a", "left").withColumn("hot", F.coalesce("hot", F.lit(0).cast("long")))
-    suspects = written(suspects, "suspects")
+    suspects = written(distinct.select("a", "b", "first").join(sketched.join(met, "a", "left_semi").dropDuplicates(["a"]), "a"), "suspects")
     asked = F.collect_list(F.struct(F.col("first.line").alias("line"), "a", "b")).alias("wanted")
     wanted = suspects.groupBy(_id_text("first.doc_id").alias("d"), F.col("first.t").alias("t")).agg(asked)
     texts = keyed.select(_id_text().alias("d"), "t", "text").join(wanted, ["d", "t"])
     fetched = texts.mapInArrow(_fetched, "a long, b long, line binary").dropDuplicates(["a", "b"])
     fetched = written(suspects.drop("first").join(fetched, ["a", "b"]), "suspect-lines")
-    dealt = members.join(fetched, "a").select("block", "a", "slot", "line", "keys", "marks", "hot")
-    links = dealt.repartition("block").sortWithinPartitions("block", "a").mapInArrow(freed(_verified), "u long, v long")
+    links = _dealt(members.select(F.xxhash64("block", "tile").alias("unit"), "a", "slot", F.lit(0).alias("side"), F.col("a").alias("label")), fetched, False)
     roots = connected_components(links, "line-links").withColumnRenamed("node", "a")
-    dropped(docs.sparkSession, members, suspects, fetched)
+    more = _tile_links(members, fetched, roots)
+    if more is not None and not more.isEmpty():
+        roots = connected_components(links.unionByName(more), "line-links").withColumnRenamed("node", "a")
+    dropped(docs.sparkSession, members, suspects, fetched, links, more)
     # Lines of one component have one root; lines alone are told apart by both halves of their identity.
     alone = F.when(F.col("component").isNull(), F.col("b")).otherwise(0)
     rooted = distinct.select("a", "b", "first", "n").join(roots, "a", "left")
@@ -507,7 +635,7 @@ def _fetched(rows):
             for x in wanted:
                 for k in ("a", "b"):
                     out[k].append(x[k])
-                out["line"].append(split[x["line"]])
+                out["line"].append(normalised(split[x["line"]]))
         kinds = {"line": pa.binary()}
         yield pa.RecordBatch.from_pydict({k: pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()})
 
@@ -519,9 +647,9 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     """
     occurrences, found = line_groups(docs)
     me = F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "line", "t")
-    counted = occurrences.groupBy("doc_id", "t", "line", "a", "b").agg(F.count("*").alias("n"))
+    counted = occurrences.join(found, ["a", "b"]).groupBy("doc_id", "t", "line", "keeper").agg(F.count("*").alias("n"))
     times = F.col("n") - me.eqNullSafe(F.col("keeper")).cast("int")
-    return counted.join(found, ["a", "b"]).select("doc_id", "t", "line", "n", times.alias("times")).where("times > 0")
+    return counted.select("doc_id", "t", "line", "n", times.alias("times")).where("times > 0")
 
 
 def _with_lost(docs: DataFrame, *columns) -> DataFrame:

@@ -1,11 +1,14 @@
 """Line dedup: the chance that alike lines meet, by the kind of edit and the length of the line."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from millrace.llm import lines
+from millrace.operators.components import Forest
 
 
 @pytest.fixture(scope="module")
@@ -56,3 +59,35 @@ def test_banded_tables_agree_with_the_distance():
             assert lines.may_be_alike(*map(lines.grams_of, pairs[-1]))
     want = [lines.distance(a, b) <= m for (a, b), m in zip(pairs, most, strict=True)]
     assert lines.within(pairs, most).tolist() == want and 300 < sum(want) < 2700
+
+
+@pytest.mark.parametrize("letters", ["abc ä", "ab—漢"])
+def test_bands_of_several_words_agree_with_the_distance(letters):
+    rng, pairs, most = random.Random(5), [], []
+    for _ in range(600):
+        n = rng.randint(0, 1200)
+        a = "".join(rng.choice(letters) for _ in range(n))
+        b = list(a)
+        for _ in range(rng.randint(0, n // 5 + 2)):
+            at = rng.randint(0, len(b))
+            b[at : at + rng.randint(0, 1)] = rng.choice(["", letters[0], "xy"])
+        pairs.append((a, "".join(b)))
+        most.append(n // 10)
+    want = [lines.distance(a, b) <= m for (a, b), m in zip(pairs, most, strict=True)]
+    assert lines.within(pairs, most).tolist() == want and 60 < sum(want) < 540
+
+
+def test_memory_of_a_large_block():
+    """All pairs of a block, in arrays of a few numbers each, do not fit a worker; they are made piece by piece."""
+    n, head = 2_048, "one of very many lines that a template makes, which are alike but for the number "
+    keys = pa.array([[7] * lines.SLOTS] * n, pa.list_(pa.int32()))
+    marks = pa.array([[77, 77]] * n, pa.list_(pa.int64()))
+    same = {k: pa.array(np.zeros(n, t)) for k, t in (("unit", np.int64), ("slot", np.int32), ("side", np.int32))}
+    table = pa.table(same | {"label": pa.array(np.arange(n)), "line": pa.array([f"{head}{i:05}".encode() for i in range(n)]), "keys": keys, "marks": marks})
+    tracemalloc.start()
+    try:
+        links = lines.Lines(table, Forest(), False).links()
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(links) == n - 1 and peak < 64 << 20
