@@ -77,6 +77,31 @@ def test_bands_of_several_words_agree_with_the_distance(letters):
     assert lines.within(pairs, most).tolist() == want and 60 < sum(want) < 540
 
 
+def groups_by(spark, texts, long):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    occurrences, found = lines.line_groups(df, long)
+    return {(r["doc_id"], r["keeper"]["doc_id"]) for r in occurrences.join(found, ["a", "b"]).select("doc_id", "keeper").collect()}
+
+
+def test_groups_do_not_depend_on_the_size_of_tiles(spark):
+    """Two groups of near copies each, of which only a few pairs of inner lines are alike."""
+    rng, texts = random.Random(9), []
+
+    def changed(text, n):
+        chars = list(text)
+        for at in rng.sample([i for i, c in enumerate(chars) if c != " "], n):
+            chars[at] = rng.choice("abcdefghijklmnopqrstuvwxyz")
+        return "".join(chars)
+
+    for _ in range(25):
+        base = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(11)) for _ in range(25))
+        for x in (base, changed(base, 27)):
+            texts += [changed(x, 4) for _ in range(20)]
+    whole = groups_by(spark, texts, 2_048)
+    assert 25 <= len({k for _, k in whole}) < 45
+    assert groups_by(spark, texts, 4) == whole
+
+
 def test_memory_of_a_large_block():
     """All pairs of a block, in arrays of a few numbers each, do not fit a worker; they are made piece by piece."""
     n, head = 2_048, "one of very many lines that a template makes, which are alike but for the number "
