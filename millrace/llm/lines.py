@@ -215,7 +215,12 @@ def distance(a: str, b: str, most: int | None = None) -> int:
     for i, c in enumerate(a, 1):
         at[c] = at.get(c, 0) | 1 << (i - 1)
     full, plus, minus = (1 << m) - 1, (1 << m) - 1, 0
-    for c in b:
+    for n, c in enumerate(b):
+        if not n & 127 and (row := n + m - len(b)) > 0:
+            # Distances never fall along the diagonal on which the table ends.
+            low = (1 << row) - 1
+            if n + (plus & low).bit_count() - (minus & low).bit_count() > most:
+                return most + 1
         eq = at.get(c, 0)
         d = (((eq & plus) + plus) ^ plus) | eq | minus
         x = (minus | ~(d | plus)) << 1 | 1
@@ -259,7 +264,8 @@ def _banded(pairs: list[tuple[str, str]], limit: np.ndarray) -> np.ndarray:
         x = x[: a.shape[1] - lead]
         a[r, lead : lead + len(x)], b[r, : len(y)] = x, y
     at = np.arange(size)
-    to_words = lambda bits: np.ascontiguousarray(np.packbits(bits, axis=1, bitorder="little").view(np.uint64).T)
+    flat = lambda x: x.reshape(1, -1) if words == 1 else np.ascontiguousarray(x.T)
+    to_words = lambda bits: flat(np.packbits(bits, axis=1, bitorder="little").view(np.uint64))
     steps = to_words((at >= size - 1 - down[:, None]) & (at <= size - 2))
     plus, minus = to_words(np.broadcast_to(at >= lead, (len(m), size))), np.zeros((words, len(m)), np.uint64)
     top, out, who, last = np.full(len(m), band), np.zeros(len(m), bool), order, np.uint64(63)
@@ -285,8 +291,8 @@ def _banded(pairs: list[tuple[str, str]], limit: np.ndarray) -> np.ndarray:
         if words > 1:
             moved[:-1] |= d[1:] << last
         plus, minus = low | ~(moved | high), moved & high
-        done = int(np.searchsorted(-m, -(j + 1)))
-        if done < len(m) or j % 16 == 15:
+        if m[-1] == j + 1 or j % 32 == 31:
+            done = int(np.searchsorted(-m, -(j + 1)))
             now = top - np.bitwise_count(plus & steps).sum(0, np.int64) + np.bitwise_count(minus & steps).sum(0, np.int64)
             out[who[done:]] = (now <= limit)[done:]
             stay = now[:done] <= limit[:done]
@@ -307,18 +313,18 @@ def within(pairs: list[tuple[str, str]], most: list[int]) -> np.ndarray:
     fit = (np.abs(size[:, 0] - size[:, 1]) <= most) & (most >= 0)
     alone = fit & (words > WORDS)
     order = np.flatnonzero(fit & ~alone)
-    order = order[np.lexsort((size[order, 1], most[order], words[order]))]
-    starts = np.flatnonzero(np.diff(words[order], prepend=0))
-    for s, e in zip(starts, np.append(starts[1:], len(order)), strict=True):
-        step = 1024 // int(words[order[s]])
-        for at in range(s, e, step):
-            who = order[at : min(e, at + step)]
-            long = size[who].min(1) > most[who].max()
-            alone[who[~long]], who = True, who[long]
-            if len(who) < FEW_PAIRS:
-                alone[who] = True
-            else:
-                out[who] = _banded([pairs[i] for i in who], most[who])
+    order = order[np.lexsort((size[order, 1], most[order]))]
+    while len(order):
+        # Bands of half as many words more go along, since calls cost more than words.
+        least = int(words[order[0]])
+        n = int(np.searchsorted(words[order[: max(64, 2048 // least)]], least + least // 2, side="right"))
+        who, order = order[:n], order[n:]
+        long = size[who].min(1) > most[who].max()
+        alone[who[~long]], who = True, who[long]
+        if len(who) < FEW_PAIRS:
+            alone[who] = True
+        else:
+            out[who] = _banded([pairs[i] for i in who], most[who])
     for i in np.flatnonzero(alone):
         out[i] = distance(*pairs[i], int(most[i])) <= most[i]
     return out
@@ -402,6 +408,19 @@ def _kin(key: np.ndarray, marks: np.ndarray) -> np.ndarray:
     return label
 
 
+def _parts(rows, key: str, least: int):
+    """``groups``, several together until they have ``least`` rows or 16 MB."""
+    held, n, size = [], 0, 0
+    for part in groups(rows, key):
+        held.append(part)
+        n, size = n + part.num_rows, size + part.nbytes
+        if n >= least or size >= 16 << 20:
+            yield pa.concat_tables(held)
+            held, n, size = [], 0, 0
+    if held:
+        yield pa.concat_tables(held)
+
+
 def _split(long: int):
     """Of (key, a, mark) sorted by key: (block, tile, a, slot, tiles) of the members of blocks that may be alike.
 
@@ -410,7 +429,7 @@ def _split(long: int):
     """
 
     def run(rows):
-        for part in groups(rows, "key"):
+        for part in _parts(rows, "key", 100_000):
             key, ids, marks = (part.column(c).to_numpy() for c in ("key", "a", "mark"))
             same = key[1:] == key[:-1]
             some = np.concatenate([same, [False]]) | np.concatenate([[False], same])
@@ -555,7 +574,7 @@ def _verified(across: bool):
 
     def run(rows):
         forest = Forest()
-        for part in groups(rows, "unit"):
+        for part in _parts(rows, "unit", 40_000):
             if links := Lines(part, forest, across).links():
                 yield pa.record_batch([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["u", "v"])
             if len(forest.parent) > NODES:
@@ -570,7 +589,7 @@ def _id_text(column: str = "doc_id"):
 
 def _dealt(rows: DataFrame, fetched: DataFrame, across: bool) -> DataFrame:
     """Links of ``rows(unit, a, slot, side, label)``, unit by unit."""
-    joined = rows.join(fetched, "a").select("unit", "a", "slot", "side", "label", "line", "keys", "marks")
+    joined = fetched.join(rows.hint("shuffle_hash"), "a").select("unit", "a", "slot", "side", "label", "line", "keys", "marks")
     return written(joined.repartition("unit").sortWithinPartitions("unit", "a").mapInArrow(_verified(across), "u long, v long"), "line-links")
 
 
@@ -586,7 +605,7 @@ def _tile_links(members: DataFrame, fetched: DataFrame, roots: DataFrame) -> Dat
     two = tiles.join(other, "block").where("tile < tile2 and not (low = high and low = low2 and low = high2)")
     sides = F.explode(F.array(*(F.struct(F.col(c).alias("tile"), F.lit(k).alias("side")) for k, c in enumerate(("tile", "tile2"))))).alias("s")
     two = two.select("block", F.xxhash64("block", "tile", "tile2").alias("unit"), sides).select("block", "unit", "s.tile", "s.side")
-    links = _dealt(dealt.join(two, ["block", "tile"]).select("unit", "a", "slot", "side", "label"), fetched, True)
+    links = _dealt(dealt.join(two, ["block", "tile"]).select("unit", "a", "slot", "side", "label"), fetched.where("tiled"), True)
     dropped(spark, dealt)
     return links
 
@@ -604,22 +623,26 @@ def line_groups(docs: DataFrame, long: int = LONG) -> tuple[DataFrame, DataFrame
     index = index.select(key, "a", F.element_at("marks", F.when(F.col("slot") < BLOCKS, 1).otherwise(2)).alias("mark"))
     split = index.repartition("key").sortWithinPartitions("key").mapInArrow(_split(long), "block long, tile int, a long, slot int, tiles int")
     members = written(split.groupBy("block", "tile", "a").agg(F.min("slot").alias("slot"), F.max("tiles").alias("tiles")), "line-blocks")
-    met = members.select("a").distinct()
-    suspects = written(distinct.select("a", "b", "first").join(sketched.join(met, "a", "left_semi").dropDuplicates(["a"]), "a"), "suspects")
+    met = members.groupBy("a").agg((F.max("tiles") > 1).alias("tiled"))
+    suspects = written(distinct.select("a", "b", "first").join(sketched.join(met.hint("shuffle_hash"), "a").dropDuplicates(["a"]).hint("shuffle_hash"), "a"), "suspects")
     asked = F.collect_list(F.struct(F.col("first.line").alias("line"), "a", "b")).alias("wanted")
     wanted = suspects.groupBy(_id_text("first.doc_id").alias("d"), F.col("first.t").alias("t")).agg(asked)
-    texts = keyed.select(_id_text().alias("d"), "t", "text").join(wanted, ["d", "t"])
+    texts = keyed.select(_id_text().alias("d"), "t", "text").join(wanted.hint("shuffle_hash"), ["d", "t"])
     fetched = texts.mapInArrow(_fetched, "a long, b long, line binary").dropDuplicates(["a", "b"])
-    fetched = written(suspects.drop("first").join(fetched, ["a", "b"]), "suspect-lines")
+    fetched = written(suspects.drop("first").hint("shuffle_hash").join(fetched, ["a", "b"]), "suspect-lines")
     links = _dealt(members.select(F.xxhash64("block", "tile").alias("unit"), "a", "slot", F.lit(0).alias("side"), F.col("a").alias("label")), fetched, False)
     roots = connected_components(links, "line-links").withColumnRenamed("node", "a")
     more = _tile_links(members, fetched, roots)
     if more is not None and not more.isEmpty():
-        roots = connected_components(links.unionByName(more), "line-links").withColumnRenamed("node", "a")
+        # These links are between components, or lines that had none.
+        merged = connected_components(more, "line-links")
+        above = merged.select(F.col("node").alias("component"), F.col("component").alias("above"))
+        moved = roots.join(above, "component", "left").select("a", F.coalesce("above", "component").alias("component"))
+        roots = moved.unionByName(merged.withColumnRenamed("node", "a").join(roots, "a", "left_anti"))
     dropped(docs.sparkSession, members, suspects, fetched, links, more)
     # Lines of one component have one root; lines alone are told apart by both halves of their identity.
     alone = F.when(F.col("component").isNull(), F.col("b")).otherwise(0)
-    rooted = distinct.select("a", "b", "first", "n").join(roots, "a", "left")
+    rooted = distinct.select("a", "b", "first", "n").join(roots.hint("shuffle_hash"), "a", "left")
     rooted = written(rooted.select("a", "b", "first", "n", F.coalesce("component", "a").alias("ra"), alone.alias("rb")), "rooted-lines")
     dropped(docs.sparkSession, distinct)
     keepers = rooted.groupBy("ra", "rb").agg(F.min("first").alias("keeper"), F.sum("n").alias("group_lines")).where("group_lines > 1")
@@ -647,7 +670,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     """
     occurrences, found = line_groups(docs)
     me = F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "line", "t")
-    counted = occurrences.join(found, ["a", "b"]).groupBy("doc_id", "t", "line", "keeper").agg(F.count("*").alias("n"))
+    counted = occurrences.join(found.hint("shuffle_hash"), ["a", "b"]).groupBy("doc_id", "t", "line", "keeper").agg(F.count("*").alias("n"))
     times = F.col("n") - me.eqNullSafe(F.col("keeper")).cast("int")
     return counted.select("doc_id", "t", "line", "n", times.alias("times")).where("times > 0")
 
