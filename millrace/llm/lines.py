@@ -533,7 +533,7 @@ class Lines:
 
     def _compared(self, ii: np.ndarray, jj: np.ndarray) -> list[tuple[int, int]]:
         """First each line is compared with the nearest earlier one.  After that each two sets that are
-        not connected are compared by 2, 4, 8, ... pairs of their lines, until none are left.
+        not connected are compared by 8, 64, 512, ... pairs of their lines, until none are left.
         """
         out, many = [], 1
         while len(ii):
@@ -556,7 +556,7 @@ class Lines:
                     out.append((u, v))
                     x, y = self._root(self.set[i]), self._root(self.set[j])
                     self.up[max(x, y)] = min(x, y)
-            ii, jj, many = ii[later], jj[later], 2 * many
+            ii, jj, many = ii[later], jj[later], 8 * many
         return out
 
     def _root(self, x: int) -> int:
@@ -628,7 +628,7 @@ def line_groups(docs: DataFrame, long: int = LONG) -> tuple[DataFrame, DataFrame
     asked = F.collect_list(F.struct(F.col("first.line").alias("line"), "a", "b")).alias("wanted")
     wanted = suspects.groupBy(_id_text("first.doc_id").alias("d"), F.col("first.t").alias("t")).agg(asked)
     texts = keyed.select(_id_text().alias("d"), "t", "text").join(wanted.hint("shuffle_hash"), ["d", "t"])
-    fetched = texts.mapInArrow(_fetched, "a long, b long, line binary").dropDuplicates(["a", "b"])
+    fetched = texts.mapInArrow(_fetched, "a long, b long, line binary")
     fetched = written(suspects.drop("first").hint("shuffle_hash").join(fetched, ["a", "b"]), "suspect-lines")
     links = _dealt(members.select(F.xxhash64("block", "tile").alias("unit"), "a", "slot", F.lit(0).alias("side"), F.col("a").alias("label")), fetched, False)
     roots = connected_components(links, "line-links").withColumnRenamed("node", "a")
@@ -651,9 +651,15 @@ def line_groups(docs: DataFrame, long: int = LONG) -> tuple[DataFrame, DataFrame
 
 
 def _fetched(rows):
+    """The wanted lines of (d, t, text, wanted); rows that repeat d and t, which meet in a task, count once."""
+    seen: set[tuple[str, int]] = set()
     for batch in batches(rows, 1_000, 8 << 20):
         out: dict[str, list] = {k: [] for k in ("a", "b", "line")}
-        for text, wanted in zip(as_bytes(batch.column(2)), batch.column(3).to_pylist(), strict=True):
+        owners = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+        for owner, text, wanted in zip(owners, as_bytes(batch.column(2)), batch.column(3).to_pylist(), strict=True):
+            if owner in seen:
+                continue
+            seen.add(owner)
             split = text.split(b"\n")
             for x in wanted:
                 for k in ("a", "b"):
