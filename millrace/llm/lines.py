@@ -27,16 +27,19 @@ may have any type that sorts.  A very long text or line is handled whole, by the
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.operators.components import connected_components
+from millrace.operators.components import PARTS, connected_components
 
-from ._common import POWERS, Forest, as_bytes, batches, dropped, freed, groups, written
+from ._common import BASE, POWERS, Forest, as_bytes, batches, dropped, freed, groups, written
 
 SIMILARITY = 0.9
 #: Minima of a block; each block draws one more, which only tells near lines from far ones.
@@ -143,9 +146,15 @@ def near(mark: np.ndarray | np.int64, marks: np.ndarray) -> np.ndarray:
     return lengths & (np.bitwise_count((marks ^ mark).view(np.uint64) >> np.uint64(16)) <= FAR)
 
 
-LINE = "line int, a long, b long, keys array<int>, marks array<long>"
-#: Blocks of grams come first in a line's keys, then those of words; a kind that a line lacks is null.
+LINE = "line int, a long, b long, sketch binary"
+#: Blocks of grams come first in a line's keys, then those of words.
 SLOTS = 2 * BLOCKS
+#: A line's sketch; bit 0 of ``kinds`` is set where it has blocks of grams, bit 1 where it has those of words.
+SKETCH = np.dtype([("kinds", "u1"), ("keys", "<i4", SLOTS), ("marks", "<i8", 2)])
+#: A line in a block: ``high`` and ``low`` hold its mark without the bits that are always zero.
+ENTRY = np.dtype([("slot", "u1"), ("key", "<u4"), ("a", "<i8"), ("high", "<u4"), ("low", "<u2")])
+#: Entries that a task holds before it deals them out, and the least number of buckets.  No result depends on them.
+ENTRIES, BUCKETS = 1 << 18, 4096
 #: Lines that a task remembers, so that repeats need no sketch.
 SEEN = 200_000
 
@@ -169,13 +178,35 @@ def _sketched(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys, marks, there
 
 
+def _packed(lines: list[bytes]) -> np.ndarray:
+    """The sketch of each line as one record; no kinds where the line has none."""
+    out = np.zeros(len(lines), SKETCH)
+    if lines:
+        out["keys"], out["marks"], there = _sketched(lines)
+        out["kinds"] = there[:, 0] + 2 * there[:, BLOCKS]
+    return out
+
+
+def _binaries(values: np.ndarray, ends: np.ndarray, null: np.ndarray | None = None) -> pa.Array:
+    """Records as binary values, of which each ends before the record of that number in ``ends``."""
+    offsets = np.concatenate([[0], ends * values.dtype.itemsize]).astype(np.int32)
+    bits = None if null is None else pa.py_buffer(np.packbits(~null, bitorder="little").tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(ends), [bits, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
+
+
+def _records(column: pa.Array | pa.ChunkedArray, kind: np.dtype) -> np.ndarray:
+    """The records of all values of a binary column without nulls, one after the other."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
 def _line_rows(rows):
     seen: set[bytes] = set()
     for batch in batches(rows, 2_000, 4 << 20):
         owner, line, hashes, fresh, places = [], [], [], [], []
         for i, text in enumerate(as_bytes(batch.column(2))):
-            for n, x in enumerate(text.split(b"\n")):
-                if own := normalised(x):
+            # A line feed is no letter and no mark, so letters are lowered as they are line by line.
+            for n, x in enumerate(text.decode("utf-8", "replace").lower().encode().split(b"\n")):
+                if own := b" ".join(x.split()):
                     h = xxhash.xxh3_128_digest(own)
                     if h not in seen:
                         seen.add(h)
@@ -188,15 +219,59 @@ def _line_rows(rows):
             seen.clear()
         if line:
             both = np.frombuffer(b"".join(hashes), ">i8").reshape(-1, 2).astype(np.int64)
-            keys, marks, there = np.zeros((len(line), SLOTS), np.int32), np.zeros((len(line), 2), np.int64), np.zeros((len(line), SLOTS), bool)
-            if fresh:
-                keys[places], marks[places], there[places] = _sketched(fresh)
-            some = np.zeros(len(line), bool)
-            some[places] = there[places].any(1)
-            lists = lambda x, n, null=None: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * n)]).astype(np.int32)), pa.array(x[some].ravel(), mask=null))
+            packed, there = _packed(fresh), np.zeros(len(line), bool)
+            there[places] = packed["kinds"] > 0
             owner = pa.array(owner, pa.int64())
-            columns = [batch.column(0).take(owner), batch.column(1).take(owner), pa.array(line, pa.int32()), pa.array(both[:, 0]), pa.array(both[:, 1])]
-            yield pa.record_batch([*columns, lists(keys, SLOTS, ~there[some].ravel()), lists(marks, 2)], names=["doc_id", "t", "line", "a", "b", "keys", "marks"])
+            sketch = _binaries(packed[packed["kinds"] > 0], np.cumsum(there), ~there)
+            columns = [batch.column(0).take(owner), batch.column(1).take(owner), pa.array(line, pa.int32()), pa.array(both[:, 0]), pa.array(both[:, 1]), sketch]
+            yield pa.record_batch(columns, names=["doc_id", "t", "line", "a", "b", "sketch"])
+
+
+def _indexed(buckets: int):
+    """Of (a, sketch): (bucket, entries) with the entries of all blocks of these lines, dealt by the key of the block."""
+
+    def dealt(held):
+        every = np.concatenate(held)
+        bucket = (every["key"] % np.uint32(buckets)).astype(np.uint16)
+        n = np.bincount(bucket, minlength=buckets)
+        some = np.flatnonzero(n)
+        ordered = every[np.argsort(bucket, kind="stable")]
+        return pa.record_batch([pa.array(some.astype(np.int32)), _binaries(ordered, np.cumsum(n[some]))], names=["bucket", "entries"])
+
+    def run(rows):
+        held, n = [], 0
+        for batch in rows:
+            if not batch.num_rows:
+                continue
+            ids, sketch = batch.column(0).to_numpy(), _records(batch.column(1), SKETCH)
+            who, slot = np.nonzero(sketch["kinds"][:, None] >> (np.arange(SLOTS) // BLOCKS) & 1)
+            marks = sketch["marks"][who, slot // BLOCKS].view(np.uint64)
+            entry = np.empty(len(who), ENTRY)
+            entry["slot"], entry["key"], entry["a"] = slot, sketch["keys"][who, slot].view(np.uint32), ids[who]
+            entry["high"], entry["low"] = marks >> np.uint64(32), (marks >> np.uint64(16) & np.uint64(0xF000)) + (marks & np.uint64(0xFFF))
+            held.append(entry)
+            if (n := n + len(entry)) >= ENTRIES:
+                yield dealt(held)
+                held, n = [], 0
+        if n:
+            yield dealt(held)
+
+    return freed(run)
+
+
+def _entries(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key with slot, a, mark) of entries, sorted by key."""
+    entry = _records(column, ENTRY)
+    key = (entry["slot"].astype(np.int64) << 32) + entry["key"]
+    order = np.argsort(key)
+    key = key[order]
+    same = key[1:] == key[:-1]
+    # Lines that are alone in their block go no further.
+    some = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+    key, entry = key[some], entry[order[some]]
+    low = entry["low"].astype(np.uint64)
+    mark = (entry["high"].astype(np.uint64) << np.uint64(32)) + ((low & np.uint64(0xF000)) << np.uint64(16)) + (low & np.uint64(0xFFF))
+    return key, entry["a"], mark.view(np.int64)
 
 
 def distance(a: str, b: str, most: int | None = None) -> int:
@@ -228,6 +303,73 @@ def distance(a: str, b: str, most: int | None = None) -> int:
     return min(len(b) + plus.bit_count() - minus.bit_count(), most + 1)
 
 
+#: Steps over an edit, the least first, and characters that have to be equal after it.
+STEPS = [(p, q) for e in range(1, 9) for p, q in [(e, e), *((e, k) for k in range(e)), *((k, e) for k in range(e))]]
+AHEAD = 4
+#: Characters of the windows that long texts are stitched at, and edits from which on these two ways are tried.
+WINDOW, STITCHED = 12, 100
+
+
+def walked(a: str, b: str, most: int) -> bool:
+    """Whether a walk along both texts, by the least step over each edit, takes ``most`` edits at most.
+
+    No walk is shorter than the distance, so True is certain; False says nothing.
+    """
+    i, j, done = 0, 0, 0
+    while i < len(a) and j < len(b) and done <= most:
+        if a[i] != b[j]:
+            p, q = next((x for x in STEPS if a[i + x[0] : i + x[0] + AHEAD] == b[j + x[1] : j + x[1] + AHEAD]), (1, 1))
+            i, j, done = i + p, j + q, done + max(p, q)
+            continue
+        size = 16
+        while i < len(a) and a[i : i + size] == b[j : j + size]:
+            i, j, size = i + size, j + size, 2 * size
+        while size > 1:
+            size //= 2
+            if a[i : i + size] == b[j : j + size]:
+                i, j = i + size, j + size
+    # Slices may end with their texts, so a step may lead beyond the end of both, but not of one alone.
+    return done + max(len(a) - i, len(b) - j, 0) <= most
+
+
+def stitched(a: str, b: str, most: int) -> bool:
+    """Whether the edits between windows that each text has once, in the order of both, add up to ``most`` at most.
+
+    Their sum is never below the distance, so True is certain; False says nothing.
+    """
+    once = []
+    for text in (a, b):
+        x = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+        h = np.zeros(max(0, len(x) - WINDOW + 1), np.uint64)
+        for i in range(WINDOW):
+            h = h * np.uint64(BASE) + x[i : i + len(h)]
+        h, at, n = np.unique(h, return_index=True, return_counts=True)
+        once.append((h[n == 1], at[n == 1]))
+    _, i, j = np.intersect1d(once[0][0], once[1][0], assume_unique=True, return_indices=True)
+    x, y = once[0][1][i], once[1][1][j]
+    order = np.argsort(x)
+    x, y = x[order], y[order]
+    # Of windows in a row the first is enough.
+    fresh = np.concatenate([[True], (np.diff(x) != 1) | (np.diff(y) != 1)])[: len(x)]
+    x, y = x[fresh].tolist(), y[fresh].tolist()
+    ends, last, before = [], [], []
+    for k, at in enumerate(y):
+        n = bisect_left(ends, at)
+        before.append(last[n - 1] if n else -1)
+        ends[n : n + 1], last[n : n + 1] = [at], [k]
+    cuts, k = [(len(a), len(b))], last[-1] if last else -1
+    while k >= 0:
+        cuts.append((x[k], y[k]))
+        k = before[k]
+    done, left, right = 0, 0, 0
+    for p, q in reversed(cuts):
+        one, two = a[left:p], b[right:q]
+        if one != two and (done := done + distance(one, two)) > most:
+            return False
+        left, right = p, q
+    return True
+
+
 #: Words of 64 bits of a band, and pairs together, beyond and below which pairs are compared one by one.
 WORDS, FEW_PAIRS = 48, 12
 
@@ -268,19 +410,18 @@ def _banded(pairs: list[tuple[str, str]], limit: np.ndarray) -> np.ndarray:
     to_words = lambda bits: flat(np.packbits(bits, axis=1, bitorder="little").view(np.uint64))
     steps = to_words((at >= size - 1 - down[:, None]) & (at <= size - 2))
     plus, minus = to_words(np.broadcast_to(at >= lead, (len(m), size))), np.zeros((words, len(m)), np.uint64)
+    none_over = np.zeros((1, len(m)), bool)
     top, out, who, last = np.full(len(m), band), np.zeros(len(m), bool), order, np.uint64(63)
     for j in range(int(m[0])):
         eq = to_words(a[:, j : j + size] == b[:, j, None])
-        d = np.empty_like(eq)
-        carry = None
-        for w in range(words):
-            x = (eq[w] & plus[w]) + plus[w]
-            over = x < plus[w]
-            if carry is not None:
-                x += carry
-                over |= x < carry
-            carry = over.astype(np.uint64) if w + 1 < words else None
-            d[w] = x
+        d = eq & plus
+        d += plus
+        if words > 1:
+            # A carry seldom passes through a word, so all words are added at once until none is left.
+            over = (d < plus)[:-1]
+            while over.any():
+                d[1:] += over
+                over = np.concatenate([none_over, (over & (d[1:] == 0))[:-1]])
         d ^= plus
         d |= eq
         d |= minus
@@ -298,7 +439,7 @@ def _banded(pairs: list[tuple[str, str]], limit: np.ndarray) -> np.ndarray:
             stay = now[:done] <= limit[:done]
             if done < len(m) or not stay.all():
                 who, m, limit, top, a, b = (x[:done][stay] for x in (who, m, limit, top, a, b))
-                plus, minus, steps = (np.ascontiguousarray(x[:, :done][:, stay]) for x in (plus, minus, steps))
+                plus, minus, steps, none_over = (np.ascontiguousarray(x[:, :done][:, stay]) for x in (plus, minus, steps, none_over))
                 if not len(m):
                     break
     return out
@@ -326,7 +467,8 @@ def within(pairs: list[tuple[str, str]], most: list[int]) -> np.ndarray:
         else:
             out[who] = _banded([pairs[i] for i in who], most[who])
     for i in np.flatnonzero(alone):
-        out[i] = distance(*pairs[i], int(most[i])) <= most[i]
+        n = int(most[i])
+        out[i] = n >= STITCHED and (walked(*pairs[i], n) or stitched(*pairs[i], n)) or distance(*pairs[i], n) <= n
     return out
 
 
@@ -422,18 +564,15 @@ def _parts(rows, key: str, least: int):
 
 
 def _split(long: int):
-    """Of (key, a, mark) sorted by key: (block, tile, a, slot, tiles) of the members of blocks that may be alike.
+    """Of (bucket, entries) sorted by bucket: (block, tile, a, slot, tiles) of the members of blocks that may be alike.
 
     ``block`` is a hash of the members, so the same members met under other keys of a kind are one
     block.  Tiles are of ``long`` members; the first of each also stand in tile -1.
     """
 
     def run(rows):
-        for part in _parts(rows, "key", 100_000):
-            key, ids, marks = (part.column(c).to_numpy() for c in ("key", "a", "mark"))
-            same = key[1:] == key[:-1]
-            some = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-            key, ids, marks = key[some], ids[some], marks[some]
+        for part in _parts(rows, "bucket", 100_000):
+            key, ids, marks = _entries(part.column("entries"))
             if not len(key):
                 continue
             label = _kin(key, marks)
@@ -478,6 +617,20 @@ def _same(pairs: list[tuple[str, str]], most: list[int]) -> np.ndarray:
     return out
 
 
+#: Kinds of characters that are counted, and characters or pairs that are worked on at a time.
+KINDS, AT_ONCE = 64, 1 << 14
+
+
+def _counted(texts: list[str], chars: np.ndarray) -> np.ndarray:
+    """How many characters of each kind each text has."""
+    out = np.empty((len(texts), KINDS), np.int32)
+    cuts = np.flatnonzero(np.diff(np.cumsum(chars) // (16 * AT_ONCE), prepend=-1)).tolist()
+    for s, e in zip(cuts, [*cuts[1:], len(texts)], strict=True):
+        kind = np.frombuffer("".join(texts[s:e]).encode("utf-32-le"), np.uint32) * np.uint32(0x9E3779B1) >> np.uint32(26)
+        out[s:e] = np.bincount(np.repeat(np.arange(e - s) * KINDS, chars[s:e]) + kind, minlength=(e - s) * KINDS).reshape(-1, KINDS)
+    return out
+
+
 class Lines:
     """Lines of whole blocks or tiles, compared pair by pair within each, but for what is connected already."""
 
@@ -486,6 +639,7 @@ class Lines:
         self.unit, self.slot, self.side, self.label = (part.column(c).to_numpy() for c in ("unit", "slot", "side", "label"))
         self.texts = [x.decode() for x in part.column("line").to_pylist()]
         self.chars = np.array(list(map(len, self.texts)))
+        self.counts = _counted(self.texts, self.chars)
         listed = part.column("keys").combine_chunks().flatten()
         self.there = listed.is_valid().to_numpy(zero_copy_only=False).reshape(-1, SLOTS)
         self.keys = listed.fill_null(0).to_numpy().reshape(-1, SLOTS)
@@ -522,6 +676,16 @@ class Lines:
     def _most(self, ii: np.ndarray, jj: np.ndarray) -> np.ndarray:
         return ((1 - SIMILARITY) * np.maximum(self.chars[ii], self.chars[jj]) + 1e-9).astype(np.int64)
 
+    def _may(self, ii: np.ndarray, jj: np.ndarray) -> np.ndarray:
+        """Which pairs' counts allow so few edits: each edit adds a character at most and takes one at most."""
+        most, out = self._most(ii, jj), np.empty(len(ii), bool)
+        for at in range(0, len(ii), AT_ONCE):
+            part = slice(at, at + AT_ONCE)
+            more = self.counts[ii[part]] - self.counts[jj[part]]
+            added = np.maximum(more, 0).sum(1)
+            out[part] = np.maximum(added, added - more.sum(1)) <= most[part]
+        return out
+
     def links(self) -> list[tuple[int, int]]:
         out, held, n = [], [], 0
         for pair in self._pairs():
@@ -549,6 +713,7 @@ class Lines:
             first = np.flatnonzero(new)
             rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
             now, later = order[rank < many], np.sort(order[rank >= many])
+            now = now[self._may(ii[now], jj[now])]
             same = now[_same([(self.texts[i], self.texts[j]) for i, j in zip(ii[now].tolist(), jj[now].tolist(), strict=True)], self._most(ii[now], jj[now]).tolist())]
             for i, j in zip(ii[same].tolist(), jj[same].tolist(), strict=True):
                 u, v = int(self.label[i]), int(self.label[j])
@@ -610,26 +775,41 @@ def _tile_links(members: DataFrame, fetched: DataFrame, roots: DataFrame) -> Dat
     return links
 
 
+@contextmanager
+def _shuffles_deleted(spark: SparkSession):
+    """Within, Spark deletes the shuffle files of a query at its end, not at some later collection of the driver's garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
 def line_groups(docs: DataFrame, long: int = LONG) -> tuple[DataFrame, DataFrame]:
     """(occurrences, groups): doc_id, t, line, a, b of each line with words; a, b and the keeper of each repeated line."""
+    with _shuffles_deleted(docs.sparkSession):
+        return _line_groups(docs, long)
+
+
+def _line_groups(docs: DataFrame, long: int) -> tuple[DataFrame, DataFrame]:
+    spark = docs.sparkSession
     keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     lines = written(keyed.mapInArrow(freed(_line_rows), f"doc_id {kind}, t long, {LINE}"), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "line", "t")
     distinct = written(lines.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")), "distinct-lines")
-    sketched = lines.where("size(keys) > 0").select("a", "keys", "marks")
-    index = sketched.select("a", "marks", F.posexplode("keys").alias("slot", "k")).where("k is not null")
-    key = F.shiftleft(F.col("slot").cast("long"), 32).bitwiseOR(F.col("k").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("key")
-    index = index.select(key, "a", F.element_at("marks", F.when(F.col("slot") < BLOCKS, 1).otherwise(2)).alias("mark"))
-    split = index.repartition("key").sortWithinPartitions("key").mapInArrow(_split(long), "block long, tile int, a long, slot int, tiles int")
+    buckets = min(1 << 16, max(BUCKETS, 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    index = lines.where("sketch is not null").select("a", "sketch").mapInArrow(_indexed(buckets), "bucket int, entries binary")
+    split = index.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_split(long), "block long, tile int, a long, slot int, tiles int")
     members = written(split.groupBy("block", "tile", "a").agg(F.min("slot").alias("slot"), F.max("tiles").alias("tiles")), "line-blocks")
     met = members.groupBy("a").agg((F.max("tiles") > 1).alias("tiled"))
-    suspects = written(distinct.select("a", "b", "first").join(sketched.join(met.hint("shuffle_hash"), "a").dropDuplicates(["a"]).hint("shuffle_hash"), "a"), "suspects")
-    asked = F.collect_list(F.struct(F.col("first.line").alias("line"), "a", "b")).alias("wanted")
-    wanted = suspects.groupBy(_id_text("first.doc_id").alias("d"), F.col("first.t").alias("t")).agg(asked)
+    asked = F.collect_list(F.struct(F.col("first.line").alias("line"), "a", "b", "tiled")).alias("wanted")
+    wanted = distinct.select("a", "b", "first").join(met.hint("shuffle_hash"), "a").groupBy(_id_text("first.doc_id").alias("d"), F.col("first.t").alias("t")).agg(asked)
     texts = keyed.select(_id_text().alias("d"), "t", "text").join(wanted.hint("shuffle_hash"), ["d", "t"])
-    fetched = texts.mapInArrow(_fetched, "a long, b long, line binary")
-    fetched = written(suspects.drop("first").hint("shuffle_hash").join(fetched, ["a", "b"]), "suspect-lines")
+    fetched = texts.mapInArrow(freed(_fetched), "a long, b long, tiled boolean, line binary, keys array<int>, marks array<long>")
+    fetched = written(fetched, "suspect-lines")
     links = _dealt(members.select(F.xxhash64("block", "tile").alias("unit"), "a", "slot", F.lit(0).alias("side"), F.col("a").alias("label")), fetched, False)
     roots = connected_components(links, "line-links").withColumnRenamed("node", "a")
     more = _tile_links(members, fetched, roots)
@@ -639,14 +819,20 @@ def line_groups(docs: DataFrame, long: int = LONG) -> tuple[DataFrame, DataFrame
         above = merged.select(F.col("node").alias("component"), F.col("component").alias("above"))
         moved = roots.join(above, "component", "left").select("a", F.coalesce("above", "component").alias("component"))
         roots = moved.unionByName(merged.withColumnRenamed("node", "a").join(roots, "a", "left_anti"))
-    dropped(docs.sparkSession, members, suspects, fetched, links, more)
+    dropped(spark, members, fetched, links, more)
     # Lines of one component have one root; lines alone are told apart by both halves of their identity.
     alone = F.when(F.col("component").isNull(), F.col("b")).otherwise(0)
     rooted = distinct.select("a", "b", "first", "n").join(roots.hint("shuffle_hash"), "a", "left")
+    # Lines that occur once and are like no other are in no group.
+    rooted = rooted.where("component is not null or n > 1")
     rooted = written(rooted.select("a", "b", "first", "n", F.coalesce("component", "a").alias("ra"), alone.alias("rb")), "rooted-lines")
-    dropped(docs.sparkSession, distinct)
-    keepers = rooted.groupBy("ra", "rb").agg(F.min("first").alias("keeper"), F.sum("n").alias("group_lines")).where("group_lines > 1")
-    found = rooted.select("a", "b", "ra", "rb").join(keepers, ["ra", "rb"]).select("a", "b", "keeper")
+    dropped(spark, distinct)
+    # A group may have very many lines, so they are dealt over parts, and its keeper goes back to the parts that hold some.
+    dealt = rooted.withColumn("part", F.pmod(F.xxhash64("a"), F.lit(PARTS)).cast("int"))
+    halves = dealt.groupBy("ra", "rb", "part").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
+    keepers = halves.groupBy("ra", "rb").agg(F.min("first").alias("keeper"), F.sum("n").alias("n"), F.collect_list("part").alias("parts")).where("n > 1")
+    keepers = keepers.select("ra", "rb", "keeper", F.explode("parts").alias("part"))
+    found = dealt.select("a", "b", "ra", "rb", "part").join(keepers, ["ra", "rb", "part"]).select("a", "b", "keeper")
     return lines.select("doc_id", "t", "line", "a", "b"), found
 
 
@@ -654,7 +840,7 @@ def _fetched(rows):
     """The wanted lines of (d, t, text, wanted); rows that repeat d and t, which meet in a task, count once."""
     seen: set[tuple[str, int]] = set()
     for batch in batches(rows, 1_000, 8 << 20):
-        out: dict[str, list] = {k: [] for k in ("a", "b", "line")}
+        out: dict[str, list] = {k: [] for k in ("a", "b", "tiled", "line")}
         owners = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
         for owner, text, wanted in zip(owners, as_bytes(batch.column(2)), batch.column(3).to_pylist(), strict=True):
             if owner in seen:
@@ -662,11 +848,16 @@ def _fetched(rows):
             seen.add(owner)
             split = text.split(b"\n")
             for x in wanted:
-                for k in ("a", "b"):
+                for k in ("a", "b", "tiled"):
                     out[k].append(x[k])
                 out["line"].append(normalised(split[x["line"]]))
-        kinds = {"line": pa.binary()}
-        yield pa.RecordBatch.from_pydict({k: pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()})
+        if not out["line"]:
+            continue
+        keys, marks, there = _sketched(out["line"])
+        lists = lambda x, null=None: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel(), mask=null))
+        kinds = {"tiled": pa.bool_(), "line": pa.binary()}
+        columns = {k: pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()}
+        yield pa.RecordBatch.from_pydict(columns | {"keys": lists(keys, ~there.ravel()), "marks": lists(marks)})
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
@@ -685,16 +876,12 @@ def _with_lost(docs: DataFrame, *columns) -> DataFrame:
     """``columns`` of ``docs`` with lost, the sorted numbers of the lines that each row loses."""
     found = removed_lines(docs).groupBy(_id_text().alias("d"), "t").agg(F.max("n").alias("n"), F.collect_list(F.struct("line", "times")).alias("gone"))
     keyed = docs.select(*columns, _id_text().alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"))
-    joined = keyed.join(found, ["d", "t"], "left")
-    lines = lambda x: x["line"]
-    every = F.when(F.col("gone").isNull(), F.array().cast("array<int>")).otherwise(F.transform("gone", lines))
-    once = joined.where("n is null or n = 1").withColumn("lost", every)
     # Only rows that repeat id and text are told apart; the first of them keeps what the group keeps.
     turn = F.row_number().over(Window.partitionBy("d", "t").orderBy("d"))
-    more = joined.where("n > 1").withColumn("turn", turn)
-    own = F.filter("gone", lambda x: F.col("turn") > F.col("n") - x["times"])
-    more = more.withColumn("lost", F.transform(own, lines)).drop("turn")
-    return once.unionByName(more).withColumn("lost", F.array_sort("lost")).drop("d", "t", "n", "gone")
+    rows = keyed.join(found.hint("merge"), ["d", "t"], "left").withColumn("turn", turn)
+    own = F.transform(F.filter("gone", lambda x: F.col("turn") > F.col("n") - x["times"]), lambda x: x["line"])
+    lost = F.coalesce(F.array_sort(own), F.array().cast("array<int>"))
+    return rows.withColumn("lost", lost).drop("d", "t", "n", "gone", "turn")
 
 
 def line_report(docs: DataFrame) -> DataFrame:

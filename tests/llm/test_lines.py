@@ -116,3 +116,66 @@ def test_memory_of_a_large_block():
     finally:
         tracemalloc.stop()
     assert len(links) == n - 1 and peak < 64 << 20
+
+
+def test_long_alike_texts_need_no_whole_table(monkeypatch):
+    """A table of two texts of 30,000 characters costs more than a thousand pairs of ordinary lines."""
+    rng, asked, pairs = random.Random(13), [], []
+    for letters in ("abcdefghijklmnop qrstuvwxyz", "ab"):
+        a = "".join(rng.choice(letters) for _ in range(30_000))
+        b = list(a)
+        for _ in range(600):
+            at = rng.randrange(len(b))
+            b[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "yz"])
+        pairs.append((a, "".join(b)))
+    plain = lines.distance
+    monkeypatch.setattr(lines, "distance", lambda a, b, most=None: asked.append(max(len(a), len(b))) or plain(a, b, most))
+    assert lines.within(pairs, [3_000, 3_000]).all() and max(asked, default=0) < 3_000
+
+
+def test_walks_and_stitches_are_never_shorter_than_the_distance():
+    rng, found = random.Random(4), [0, 0, 0]
+    for _ in range(5_000):
+        letters = rng.choice(["ab", "abcd ", "abcdefghijkl mnopq"])
+        a = "".join(rng.choice(letters) for _ in range(rng.randint(0, 80)))
+        b = list(a)
+        for _ in range(rng.randint(0, 10)):
+            at = rng.randint(0, len(b))
+            b[at : at + rng.randint(0, 2)] = rng.choice(["", letters[0], "xy", "z"])
+        b, most = "".join(b), rng.randint(0, 14)
+        got = [lines.distance(a, b) <= most, lines.walked(a, b, most), lines.stitched(a, b, most)]
+        assert got[0] or not any(got[1:])
+        found = [x + y for x, y in zip(found, got, strict=True)]
+    assert min(found) > 1_000
+
+
+def test_entries_hold_every_block_of_every_line(real_lines):
+    """Blocks dealt out in buckets and read again are those of the sketches, but for blocks of one line."""
+    some = [x.encode() for x in real_lines[:400]]
+    some += [x + b" and" for x in some[:100]]
+    packed = lines._packed(some)
+    batch = pa.record_batch([pa.array(np.arange(len(some))), lines._binaries(packed, np.arange(1, len(some) + 1))], names=["a", "sketch"])
+    out = pa.Table.from_batches(lines._indexed(64)(iter([batch.slice(0, 150), batch.slice(150)])))
+    assert out.num_rows <= 64
+    got = {}
+    for part in out.column("entries").chunks[0]:
+        for key, a, mark in zip(*(x.tolist() for x in lines._entries(pa.chunked_array([pa.array([part])]))), strict=True):
+            got.setdefault(key, set()).add((a, mark))
+    keys, marks, there = lines._sketched(some)
+    want = {}
+    for i, slot in zip(*(x.tolist() for x in np.nonzero(there)), strict=True):
+        want.setdefault((slot << 32) + int(keys[i, slot].view(np.uint32)), set()).add((i, int(marks[i, slot // lines.BLOCKS])))
+    assert got == {k: v for k, v in want.items() if len(v) > 1} and len(got) > 100
+
+
+def test_shuffle_files_go_with_the_query_that_wrote_them(spark):
+    """Left to the driver's garbage collection, those of all steps pile up; the session's setting comes back."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    tracker = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    spark._jvm.System.gc()
+    held = tracker.shuffleStatuses().size()
+    df = spark.createDataFrame([(i, f"one line of text number {i // 2} that is alike") for i in range(40)], "doc_id long, text string")
+    with lines._shuffles_deleted(spark):
+        lines.written(df.groupBy("text").count(), "shuffled")
+    assert tracker.shuffleStatuses().size() <= held and spark.conf.get(name, None) == before
