@@ -60,12 +60,24 @@ MADE, HELD, NODES = 1 << 17, 1 << 18, 300_000
 _RNG = np.random.default_rng(11)
 TIMES, PLUS = _RNG.integers(0, 1 << 32, (2, BLOCKS * (MINIMA + 1)), dtype=np.uint32)
 SHIFT = _RNG.random(BLOCKS)
+FACTORS, HIGH = TIMES | np.uint32(1), np.uint32(0xFFFFFF00)
+#: Features that are worked on at a time.
+PIECE = 1 << 15
 
 
 def normalised(line: bytes) -> bytes:
     return b" ".join(line.decode("utf-8", "replace").lower().encode().split())
 
 
+def _joined(line: bytes, plain: bool) -> bytes:
+    """The words of a line joined by single spaces; ``plain`` if only spaces, one at a time, can stand between them."""
+    return line.strip() if plain else b" ".join(line.split())
+
+
+def _plain(text: bytes) -> bool:
+    return b"  " not in text and not any(x in text for x in (b"\t", b"\r", b"\v", b"\f"))
+
+
 def _scrambled(h: np.ndarray) -> np.ndarray:
     for by, factor in ((15, 0x2C1B3C6D), (12, 0x297A2D39)):
         h = (h ^ h >> np.uint32(by)) * np.uint32(factor)
@@ -114,25 +126,31 @@ def word_features(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 def sketches(lines: list[bytes], words: bool) -> tuple[np.ndarray, np.ndarray]:
     """(keys, marks) of normalised lines: a key for each block; 36 low bits of minima and 16 of length."""
     h, place, start = (word_features if words else gram_features)(lines)
-    low, x = np.empty((len(lines), len(TIMES)), np.uint32), np.empty_like(h)
-    for k in range(len(TIMES)):
-        np.multiply(h, TIMES[k] | np.uint32(1), out=x)
-        x += PLUS[k]
-        # The place of a feature rides in the low byte of its hash.
-        x &= np.uint32(0xFFFFFF00)
-        x |= place
-        low[:, k] = np.minimum.reduceat(x, start)
-    chars = np.array([len(x.decode("utf-8", "replace")) for x in lines])
+    low = np.empty((len(lines), len(TIMES)), np.uint32)
+    # Pieces that stay in the cache.
+    cuts = np.flatnonzero(np.diff(start // PIECE, prepend=-1)).tolist()
+    for s, e in zip(cuts, [*cuts[1:], len(lines)], strict=True):
+        part = slice(start[s], start[e] if e < len(lines) else len(h))
+        own, own_place, own_start = h[part], place[part], start[s:e] - start[s]
+        x, least = np.empty_like(own), np.empty((len(TIMES), e - s), np.uint32)
+        for k in range(len(TIMES)):
+            np.multiply(own, FACTORS[k], out=x)
+            x += PLUS[k]
+            # The place of a feature rides in the low byte of its hash.
+            x &= HIGH
+            x |= own_place
+            np.minimum.reduceat(x, own_start, out=least[k])
+        low[s:e] = least.T
+    chars = np.array([len(x) if x.isascii() else len(x.decode("utf-8", "replace")) for x in lines])
     log = np.log(chars)
-    keys = np.empty((len(lines), BLOCKS), np.int32)
-    for k in range(BLOCKS):
-        own = low[:, k * (MINIMA + 1) : (k + 1) * (MINIMA + 1) - 1]
-        key = np.floor(log / 0.5 + SHIFT[k]).astype(np.uint64) + np.uint64((k << 8) + (words << 16))
-        ranks = (own[:, :, None] & np.uint32(255)) > (own[:, None, :] & np.uint32(255))
-        for part in (*(own >> np.uint32(8)).T, *ranks.sum(2).T):
-            key = (key ^ part.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            key ^= key >> np.uint64(29)
-        keys[:, k] = (key >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    own = low.reshape(len(lines), BLOCKS, MINIMA + 1)[:, :, :MINIMA]
+    key = np.floor(log[:, None] / 0.5 + SHIFT).astype(np.uint64) + ((np.arange(BLOCKS) << 8) + (words << 16)).astype(np.uint64)
+    at = own & np.uint32(255)
+    ranks = (at[..., None] > at[..., None, :]).sum(3)
+    for part in (*np.moveaxis(own >> np.uint32(8), 2, 0), *np.moveaxis(ranks, 2, 0)):
+        key = (key ^ part.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    keys = (key >> np.uint64(32)).astype(np.uint32).view(np.int32)
     bits = np.zeros((len(lines), 6), np.uint8)
     some = np.packbits((low >> np.uint32(8) & np.uint32(1)).astype(np.uint8), axis=1)
     bits[:, : some.shape[1]] = some
@@ -205,8 +223,10 @@ def _line_rows(rows):
         owner, line, hashes, fresh, places = [], [], [], [], []
         for i, text in enumerate(as_bytes(batch.column(2))):
             # A line feed is no letter and no mark, so letters are lowered as they are line by line.
-            for n, x in enumerate(text.decode("utf-8", "replace").lower().encode().split(b"\n")):
-                if own := b" ".join(x.split()):
+            text = text.decode("utf-8", "replace").lower().encode()
+            plain = _plain(text)
+            for n, x in enumerate(text.split(b"\n")):
+                if own := _joined(x, plain):
                     h = xxhash.xxh3_128_digest(own)
                     if h not in seen:
                         seen.add(h)
@@ -370,6 +390,104 @@ def stitched(a: str, b: str, most: int) -> bool:
     return True
 
 
+#: Edits up to which pairs are followed along their diagonals, and characters of the pairs that are followed together.
+EDITS, FOLLOWED = 320, 1 << 19
+#: Part of the pace at which a pair uses up its limit at its very end, below which one that may stay open is left to the band.
+PACE = 0.8
+STRIDES = np.arange(0, 64, 8)
+
+
+def _equal(x: np.ndarray) -> np.ndarray:
+    """How many low bytes are zero."""
+    return np.bitwise_count(~x & (x - np.uint64(1))) >> np.uint8(3)
+
+
+def _windows(texts: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The 8 characters from each place on of all texts, which have ``end`` behind them, and where each text starts."""
+    size = np.array(list(map(len, texts)))
+    start = np.cumsum(size + 1) - size - 1
+    flat = np.full(int(size.sum()) + len(texts) + 80, end, np.uint8)
+    flat[np.arange(int(size.sum())) + np.repeat(np.arange(len(texts)), size)] = np.concatenate(texts)
+    return np.ndarray(len(flat) - 7, "<u8", flat, strides=(1,)).astype(np.uint64), start
+
+
+def _small_codes(texts: list[str]) -> list[np.ndarray] | None:
+    """Characters of texts as numbers below 254; None where they have more kinds of characters."""
+    raw = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    if raw.max() >= 254:
+        there = np.zeros(int(raw.max()) + 1, bool)
+        there[raw] = True
+        if np.count_nonzero(there) > 254:
+            return None
+        raw = (np.cumsum(there) - 1)[raw]
+    return np.split(raw.astype(np.uint8), np.cumsum(list(map(len, texts)))[:-1])
+
+
+def _followed(pairs: list[tuple[str, str]], limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(within, open): which pairs are ``limit`` edits apart at most, and which are not settled.
+
+    After each edit the farthest place on each diagonal is known (Ukkonen; Landau and Vishkin), so the work grows
+    with the edits and not with the texts.  Pairs stay open that may take more than ``EDITS``, and very short ones.
+    """
+    edits = min(EDITS, int(limit.max()))
+    out, left = np.zeros(len(pairs), bool), limit > edits
+    codes = _small_codes([x for pair in pairs for x in pair])
+    if codes is None:
+        return out, ~out
+    (wa, sa), (wb, sb) = _windows(codes[::2], 255), _windows(codes[1::2], 254)
+    la, lb = (np.array(list(map(len, x))) for x in (codes[::2], codes[1::2]))
+    # A place is on both texts as long as none of them is shorter than the diagonals reach.
+    short = np.minimum(la, lb) <= edits
+    left |= short
+    who = np.flatnonzero(~short & (np.abs(lb - la) <= np.minimum(limit, edits)))
+    sa, sb, la, lb, most = (x[who] for x in (sa, sb, la, lb, limit))
+    mid = edits + 1
+    far = np.full((len(who), 2 * mid + 1), -(1 << 40))
+    far[:, mid] = 0
+    every = np.arange(-mid, mid + 1)
+    most_far, shift = np.minimum(la[:, None], lb[:, None] - every), sb[:, None] + every
+    for e in range(edits + 1 if len(who) else 0):
+        end = lb - la
+        # Diagonals that are too far from the last one to get back to it are left as they are.
+        low, high = max(-e, int((end - most).min()) + e), min(e, int((end + most).max()) - e)
+        if low <= high:
+            part = slice(mid + low, mid + high + 1)
+            if e:
+                at = np.maximum(far[:, part], far[:, mid + low + 1 : mid + high + 2])
+                at += 1
+                np.maximum(at, far[:, mid + low - 1 : mid + high], out=at)
+                np.minimum(at, most_far[:, part], out=at)
+            else:
+                at = far[:, part].copy()
+            one, two = (at + sa[:, None]).ravel(), (at + shift[:, part]).ravel()
+            x = wa.take(one)
+            x ^= wb.take(two)
+            same = _equal(x).astype(np.int64)
+            more = np.flatnonzero(same == 8)
+            one, two = one[more], two[more]
+            ahead = 8
+            while len(more):
+                x = wa.take((one + ahead)[:, None] + STRIDES)
+                x ^= wb.take((two + ahead)[:, None] + STRIDES)
+                other = x != 0
+                first, on = other.argmax(1), ~other.any(1)
+                same[more] += np.where(on, 8 * len(STRIDES), 8 * first + _equal(x[np.arange(len(x)), first]))
+                more, one, two, ahead = more[on], one[on], two[on], ahead + 8 * len(STRIDES)
+            at += same.reshape(at.shape)
+            far[:, part] = at
+        done = (far[np.arange(len(who)), mid + end] >= la) & (most >= e)
+        out[who[done]] = True
+        stay = ~done & (most > e)
+        if e >= 6 and low <= high and most[-1] > edits:
+            # Of pairs that may stay open anyway, those leave that use up their limit too early.
+            stay &= (most <= edits) | (far[:, part].max(1) * most >= PACE * e * la)
+        if np.count_nonzero(stay) < 0.9 * len(stay):
+            who, sa, la, lb, most, far, most_far, shift = (x[stay] for x in (who, sa, la, lb, most, far, most_far, shift))
+            if not len(who):
+                break
+    return out, left & ~out
+
+
 #: Words of 64 bits of a band, and pairs together, beyond and below which pairs are compared one by one.
 WORDS, FEW_PAIRS = 48, 12
 
@@ -455,6 +573,14 @@ def within(pairs: list[tuple[str, str]], most: list[int]) -> np.ndarray:
     alone = fit & (words > WORDS)
     order = np.flatnonzero(fit & ~alone)
     order = order[np.lexsort((size[order, 1], most[order]))]
+    if len(order) >= FEW_PAIRS:
+        left = np.zeros(len(pairs), bool)
+        # Limits below 16 go together, and others with those up to twice as large.
+        part = 64 * (np.cumsum(size[order].sum(1)) // FOLLOWED) + np.frexp(most[order] // 16)[1]
+        cuts = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+        for s, e in zip(cuts, [*cuts[1:], len(order)], strict=True):
+            out[order[s:e]], left[order[s:e]] = _followed([pairs[i] for i in order[s:e]], most[order[s:e]])
+        order = order[left[order]]
     while len(order):
         # Bands of half as many words more go along, since calls cost more than words.
         least = int(words[order[0]])
@@ -730,8 +856,16 @@ class Lines:
         return x
 
 
+def _unpacked(part: pa.Table) -> pa.Table:
+    """``part`` with the keys and marks of its sketches as lists; keys of blocks that a line is not in are null."""
+    sketch = _records(part.column("sketch"), SKETCH)
+    none = (sketch["kinds"][:, None] >> (np.arange(SLOTS) // BLOCKS) & 1) == 0
+    lists = lambda x, null=None: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel(), mask=null))
+    return part.drop_columns("sketch").append_column("keys", lists(sketch["keys"], none.ravel())).append_column("marks", lists(sketch["marks"]))
+
+
 def _verified(across: bool):
-    """Of (unit, a, slot, side, label, line, keys, marks) sorted by unit: links between labels of alike lines.
+    """Of (unit, a, slot, side, label, line, sketch) sorted by unit: links between labels of alike lines.
 
     Units are blocks or tiles of blocks; with ``across`` only lines of different sides are compared.
     A task yields a spanning forest.  A pair that meets in several blocks is compared in the first of them.
@@ -740,7 +874,7 @@ def _verified(across: bool):
     def run(rows):
         forest = Forest()
         for part in _parts(rows, "unit", 40_000):
-            if links := Lines(part, forest, across).links():
+            if links := Lines(_unpacked(part), forest, across).links():
                 yield pa.record_batch([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["u", "v"])
             if len(forest.parent) > NODES:
                 forest = Forest()
@@ -754,7 +888,7 @@ def _id_text(column: str = "doc_id"):
 
 def _dealt(rows: DataFrame, fetched: DataFrame, across: bool) -> DataFrame:
     """Links of ``rows(unit, a, slot, side, label)``, unit by unit."""
-    joined = fetched.join(rows.hint("shuffle_hash"), "a").select("unit", "a", "slot", "side", "label", "line", "keys", "marks")
+    joined = fetched.join(rows.hint("shuffle_hash"), "a").select("unit", "a", "slot", "side", "label", "line", "sketch")
     return written(joined.repartition("unit").sortWithinPartitions("unit", "a").mapInArrow(_verified(across), "u long, v long"), "line-links")
 
 
@@ -808,7 +942,7 @@ def _line_groups(docs: DataFrame, long: int) -> tuple[DataFrame, DataFrame]:
     asked = F.collect_list(F.struct(F.col("first.line").alias("line"), "a", "b", "tiled")).alias("wanted")
     wanted = distinct.select("a", "b", "first").join(met.hint("shuffle_hash"), "a").groupBy(_id_text("first.doc_id").alias("d"), F.col("first.t").alias("t")).agg(asked)
     texts = keyed.select(_id_text().alias("d"), "t", "text").join(wanted.hint("shuffle_hash"), ["d", "t"])
-    fetched = texts.mapInArrow(freed(_fetched), "a long, b long, tiled boolean, line binary, keys array<int>, marks array<long>")
+    fetched = texts.mapInArrow(freed(_fetched), "a long, b long, tiled boolean, line binary, sketch binary")
     fetched = written(fetched, "suspect-lines")
     links = _dealt(members.select(F.xxhash64("block", "tile").alias("unit"), "a", "slot", F.lit(0).alias("side"), F.col("a").alias("label")), fetched, False)
     roots = connected_components(links, "line-links").withColumnRenamed("node", "a")
@@ -853,11 +987,9 @@ def _fetched(rows):
                 out["line"].append(normalised(split[x["line"]]))
         if not out["line"]:
             continue
-        keys, marks, there = _sketched(out["line"])
-        lists = lambda x, null=None: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel(), mask=null))
         kinds = {"tiled": pa.bool_(), "line": pa.binary()}
         columns = {k: pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()}
-        yield pa.RecordBatch.from_pydict(columns | {"keys": lists(keys, ~there.ravel()), "marks": lists(marks)})
+        yield pa.RecordBatch.from_pydict(columns | {"sketch": _binaries(_packed(out["line"]), np.arange(1, len(out["line"]) + 1))})
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:

@@ -179,3 +179,50 @@ def test_shuffle_files_go_with_the_query_that_wrote_them(spark):
     with lines._shuffles_deleted(spark):
         lines.written(df.groupBy("text").count(), "shuffled")
     assert tracker.shuffleStatuses().size() <= held and spark.conf.get(name, None) == before
+
+
+def test_pairs_settled_by_edits_agree_with_the_distance(monkeypatch):
+    """Also with limits above and below the edits that are followed, odd characters and pairs of other lengths together."""
+    rng, pairs, most = random.Random(17), [], []
+    for _ in range(1_500):
+        letters = rng.choice(["ab", "abcd ", "abcdefghijkl mnopq", "ab ä—漢"])
+        a = "".join(rng.choice(letters) for _ in range(rng.randint(0, 300)))
+        b = list(a)
+        for _ in range(rng.randint(0, 25)):
+            at = rng.randint(0, len(b))
+            b[at : at + rng.randint(0, 2)] = rng.choice(["", letters[0], "xy", "z"])
+        pairs.append((a, "".join(b)) if rng.random() < 0.5 else ("".join(b), a))
+        most.append(rng.randint(0, 40))
+    want = np.array([lines.distance(a, b) <= m for (a, b), m in zip(pairs, most, strict=True)])
+    assert lines.within(pairs, most).tolist() == want.tolist() and 300 < want.sum() < 1_200
+    for edits in (5, 20, 320):
+        monkeypatch.setattr(lines, "EDITS", edits)
+        for at in range(0, len(pairs), 100):
+            part = slice(at, at + 100)
+            yes, left = lines._followed(pairs[part], np.array(most[part]))
+            assert not (yes & left).any() and (yes == want[part])[~left].all() and not (yes & ~want[part]).any()
+        assert left.mean() < 0.95
+    many = "".join(map(chr, range(0x4E00, 0x4E00 + 400)))
+    assert lines.within([(many, many[:n] + "x" + many[n:]) for n in range(20)], [1] * 20).all()
+
+
+def test_ordinary_pairs_need_no_table_of_columns(monkeypatch, real_lines):
+    """The work on a pair grows with its edits; a table costs a step for every character."""
+    rng, pairs, plain, asked = random.Random(19), [], lines._banded, []
+    for x in [x for x in real_lines if len(x) >= 60][:200]:
+        pairs += [(x, edited("2", x, rng)), (x, x[::-1])]
+    monkeypatch.setattr(lines, "_banded", lambda pairs, limit: asked.extend(pairs) or plain(pairs, limit))
+    got = lines.within(pairs, [lines.allowed(a, b) for a, b in pairs])
+    assert got.tolist() == [lines.alike(a, b) for a, b in pairs] and len(asked) < len(pairs) // 20
+
+
+def test_minima_do_not_depend_on_the_pieces(monkeypatch, real_lines):
+    some = [x.encode() for x in real_lines[:300]]
+    whole = lines._packed(some)
+    monkeypatch.setattr(lines, "PIECE", 1 << 9)
+    assert lines._packed(some).tobytes() == whole.tobytes()
+
+
+@pytest.mark.parametrize("line", [b"", b"  ", b" a b ", b"a  b", b"a\tb", b"\va b\r", b"a\x1cb \xc2\xa0c", b"a\fb c"])
+def test_plain_lines_are_joined_as_any_others(line):
+    assert lines._joined(line, lines._plain(line)) == b" ".join(line.split())
