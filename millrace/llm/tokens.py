@@ -20,7 +20,6 @@ told apart by their ordinal (in the order of the text's hash), which is part of
 from __future__ import annotations
 
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -36,11 +35,11 @@ from ._common import batches, freed, groups, shared_path, written
 from .files import coalesced, file_uri, opened
 
 END = 2
-#: Pieces remembered by a Python worker, cleared when full; rows of an index bucket; bytes read at once.
-CACHE, BUCKET_ROWS, READ_MOST = 200_000, 250_000, 8 << 20
+#: Pieces remembered by a Python worker, halved when full; rows of an index bucket; bytes read at once.
+CACHE, BUCKET_ROWS, READ_MOST = 400_000, 250_000, 8 << 20
 LOW = -(1 << 63)
-#: Two characters that regular expressions may take for white space, side by side.
-RUNS = re.compile("[\\s\u180e\u200b\ufeff]{2}")
+#: Two characters that regular expressions may take for white space, side by side (for RE2, whose own class is ASCII).
+RUNS = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]{2}"
 MAGIC = b"MPHI2\0\0\0"
 GAMMA, LEVELS = 2.0, 48
 
@@ -55,11 +54,12 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u4" if wide else "<u2")
-        self.cache: dict[str, bytes] = {}
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.spaced[[i for x, i in self.tokenizer.get_vocab().items() if x.startswith("\u0120")]] = True
         self.pieces = "ByteLevel" in str(self.tokenizer.pre_tokenizer) and self.tokenizer.normalizer is None and "add_prefix_space=True" not in str(self.tokenizer.pre_tokenizer)
+        # Pieces, their ids and how often batches met them; the first one is the empty piece, which stays.
+        self.known, self.ids, self.met = pa.array([""], pa.large_string()), pa.array([b""], pa.large_binary()), np.zeros(1, np.int64)
 
     @classmethod
     def of(cls, path: str, wide: bool) -> Encoder:
@@ -72,67 +72,77 @@ class Encoder:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, self.kind).tobytes() for x in got]
 
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece behind a space, encoded in one text: a piece starts where an id starts with the space."""
-        out: list[bytes] = []
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces, each behind a space, and where each starts: where an id starts with the space."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         texts = [" " + " ".join(pieces[at : at + 400]) for at in range(0, len(pieces), 400)]
-        item = self.kind.itemsize
-        for ids in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-            found = np.array(ids.ids, self.kind)
-            cuts = (np.flatnonzero(self.spaced[found]) * item).tolist()
-            data = found.tobytes()
-            out += [data[i:j] for i, j in zip(cuts, [*cuts[1:], len(data)], strict=True)]
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        found = np.concatenate([np.array(x.ids, self.kind) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        return found, np.flatnonzero(self.spaced[found])
+
+    def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
+        """Ids of each text; null is empty."""
+        texts = pc.fill_null(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string()), "")
+        if not len(texts):
+            return []
+        whole = pc.or_(pc.match_substring_regex(texts, RUNS), pc.match_substring_regex(texts, "^ | $|\\A\\z"))
+        for x in self.special:
+            whole = pc.or_(whole, pc.match_substring(texts, x))
+        whole = whole.to_numpy(zero_copy_only=False) if self.pieces else np.ones(len(texts), bool)
         out: list[bytes] = [b""] * len(texts)
-        whole, split = [], []
-        for i, text in enumerate(texts):
-            if not self.pieces or text[:1] == " " or text[-1:] == " " or RUNS.search(text) or any(s in text for s in self.special):
-                whole.append((i, text))
-            else:
-                split.append(i)
-                whole.append((i, text.partition(" ")[0]))
-        for (i, _), ids in zip(whole, self._direct([x for _, x in whole]), strict=True):
+        at = np.flatnonzero(whole)
+        for i, ids in zip(at.tolist(), self._direct(texts.take(pa.array(at)).to_pylist()), strict=True):
             out[i] = ids
-        if split:
-            rest = pc.split_pattern(pa.array([texts[i].partition(" ")[2] for i in split], pa.large_string()), " ")
-            ends = np.diff(rest.offsets.to_numpy())
-            # A text of one piece has no rest, which the split shows as one empty piece.
-            alone = np.array([" " not in texts[i] for i in split])
-            ids, lengths = self._joined(rest.flatten())
-            lengths[np.repeat(alone, ends)] = 0
-            sums = np.add.reduceat(lengths, np.cumsum(ends) - ends) * self.kind.itemsize
-            at = 0
-            for i, n in zip(split, sums.tolist(), strict=True):
-                out[i] += ids[at : at + n]
-                at += n
+        at = np.flatnonzero(~whole)
+        if len(at):
+            split = pc.split_pattern(texts.take(pa.array(at)), " ")
+            pieces, offsets = split.flatten(), split.offsets.to_numpy().astype(np.int64)
+            offsets -= offsets[0]
+            # The first piece of a text has no space before it.
+            first = pieces.take(pa.array(offsets[:-1])).dictionary_encode()
+            heads = self._direct(first.dictionary.to_pylist())
+            data, ends = self._joined(pieces, offsets[:-1])
+            ends = ends[offsets].tolist()
+            for i, head, a, b in zip(at.tolist(), first.indices.to_pylist(), ends, ends[1:], strict=False):
+                out[i] = heads[head] + data[a:b]
         return out
 
-    def _joined(self, pieces: pa.Array) -> tuple[bytes, np.ndarray]:
-        """Ids of all pieces in order, and the number of ids of each: distinct ones are encoded, the rest is gathered."""
+    def _joined(self, pieces: pa.Array, skipped: np.ndarray) -> tuple[memoryview, np.ndarray]:
+        """Ids of all pieces in order but those ``skipped``, and where each piece's bytes start, with their end.
+
+        Distinct pieces are encoded, the rest is gathered.
+        """
         coded = pieces.dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        missing = [x for x in names if x not in self.cache and x]
-        if len(self.cache) + len(missing) > CACHE:
-            # What the texts at hand need stays.
-            self.cache = {x: self.cache[x] for x in names if x in self.cache}
-        self.cache[""] = b""
-        for at in range(0, len(missing), 20_000):
-            part = missing[at : at + 20_000]
-            self.cache.update(zip(part, self._pieces(part), strict=True))
-        blobs = list(map(self.cache.__getitem__, names))
-        size = np.fromiter(map(len, blobs), np.int64, len(blobs)) // self.kind.itemsize
-        start = np.cumsum(size) - size
-        flat, which = np.frombuffer(b"".join(blobs), self.kind), coded.indices.to_numpy()
-        out = []
-        for at in range(0, len(which), 250_000):
-            part = which[at : at + 250_000]
-            n = size[part]
-            place = np.repeat(start[part] - (np.cumsum(n) - n), n)
-            place += np.arange(len(place))
-            out.append(flat[place].tobytes())
-        return b"".join(out), size[which]
+        names, which = coded.dictionary, coded.indices
+        place = pc.index_in(names, value_set=self.known)
+        new = names.filter(place.is_null())
+        place = place.to_numpy(zero_copy_only=False)
+        old = place[~np.isnan(place)].astype(np.int64) if len(new) else place.astype(np.int64)
+        self.met[old] += 1
+        row = np.empty(len(names), np.int64)
+        missing = np.isnan(place) if len(new) else np.zeros(len(names), bool)
+        row[~missing], row[missing] = old, len(self.known) + np.arange(len(new))
+        if len(new):
+            parts = [self._encoded(new.slice(at, 20_000)) for at in range(0, len(new), 20_000)]
+            self.known, self.ids = pa.concat_arrays([self.known, new]), pa.concat_arrays([self.ids, *parts])
+            self.met = np.concatenate([self.met, np.zeros(len(new), np.int64)])
+        own = self.ids.take(pa.array(row))
+        if len(self.known) > CACHE:
+            # Half of it stays: what batches met most often since it came, of late above all.
+            kept = np.sort(np.argsort(-self.met[1:], kind="stable")[: CACHE // 2]) + 1
+            kept = np.concatenate([np.zeros(1, np.int64), kept])
+            self.known, self.ids, self.met = self.known.take(pa.array(kept)), self.ids.take(pa.array(kept)), self.met[kept] // 2
+        rows = which.to_numpy().copy()
+        rows[skipped] = len(names)
+        got = pa.concat_arrays([own, pa.array([b""], pa.large_binary())]).take(pa.array(rows))
+        return memoryview(got.buffers()[2] or b""), np.frombuffer(got.buffers()[1], np.int64, len(got) + 1)
+
+    def _encoded(self, pieces: pa.Array) -> pa.Array:
+        """Ids of each piece behind a space, as bytes."""
+        found, cuts = self._pieces(pieces.to_pylist())
+        if len(cuts) != len(pieces):
+            raise ValueError("pieces and their ids do not match")
+        offsets = np.append(cuts, len(found)).astype(np.int64) * self.kind.itemsize
+        return pa.Array.from_buffers(pa.large_binary(), len(pieces), [None, pa.py_buffer(offsets), pa.py_buffer(found)])
 
 
 def _write_shards(root: str, tokenizer: str, wide: bool, end: int):
@@ -144,9 +154,8 @@ def _write_shards(root: str, tokenizer: str, wide: bool, end: int):
         tail = np.array([end], encoder.kind).tobytes()
         last, times = object(), 0
         try:
-            for batch in batches(rows, 8_000, 6 << 20):
-                texts = [x or "" for x in batch.column("text").to_pylist()]
-                ids = encoder.encode(texts)
+            for batch in batches(rows, 8_000, 8 << 20):
+                ids = encoder.encode(batch.column("text"))
                 starts, lengths, ordinals = [], [], []
                 stream = stream or files.open_output_stream(f"{path}/{name}", compression=None)
                 for doc, x in zip(batch.column("doc_id").to_pylist(), ids, strict=True):

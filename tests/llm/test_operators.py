@@ -555,6 +555,21 @@ def test_pieces_give_the_ids_of_the_whole_text():
     assert [np.frombuffer(x, "<u2").tolist() for x in encoder.encode(texts)] == [x[:-1] for x in whole_ids(texts)]
 
 
+def test_pieces_met_often_stay_when_the_memory_is_full(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(tokens, "CACHE", 100)
+    encoder, seen = tokens.Encoder(catalog.tokenizer_path(), False), []
+    inner = encoder._pieces
+    monkeypatch.setattr(encoder, "_pieces", lambda pieces: seen.extend(pieces) or inner(pieces))
+    common = "x " + " ".join(f"common{i}" for i in range(20))
+    batches = [[common, common]] * 3 + [[f"x rare{i} seldom{i}" for i in range(at, at + 30)] for at in range(0, 120, 30)] + [[common, "alone", ""]]
+    for texts in batches:
+        assert [np.frombuffer(x, "<u2").tolist() for x in encoder.encode(texts)] == [x[:-1] for x in whole_ids(texts)]
+    assert sum(x.startswith("common") for x in seen) == 20
+    assert len(encoder.known) <= 100 and encoder.encode(["a b", None]) == [*encoder.encode(["a b"]), b""]
+
+
 def test_perfect_hash_is_minimal_and_rejects_strangers():
     import numpy as np
 
