@@ -1,4 +1,4 @@
-"""Removal of repeated 200-byte strings by a hash-compared suffix sort.
+"""Removal of repeated 200-byte strings by a suffix sort.
 
 A suffix array of every byte does not fit a cluster's disks, so the sort runs over those suffixes
 that can matter.  Each 200-byte window of a text elects an anchor, the k-byte string of least hash
@@ -9,10 +9,8 @@ context is the text of all windows that elected it.
 1. Anchors that occur once go.  Where all contexts of an anchor are equal, all its windows repeat.
    Whole contexts are compared by two independent 64-bit hashes (XXH3 and a polynomial), not by bytes.
 2. For the rest, the distinct contexts of an anchor come together, and all their window suffixes
-   are sorted: a bottom-up mergesort, vectorised over all anchors of a batch, that compares two
-   suffixes in eight steps, a binary search for the longest common extension over prefix polynomial
-   hashes.  Neighbours that agree on 200 bytes are then compared byte by byte, so a collision there
-   cannot remove text; windows of a batch with such a collision are grouped by their bytes instead.
+   are sorted: by their first eight bytes, ties by the next eight, and so on, vectorised over all
+   anchors of a batch.  What is still tied after 200 bytes is equal, so no hash decides there.
 3. The windows found are merged to byte runs per text and cut out, all judged on the input.
 
 Nothing depends on how many copies there are: contexts are counted before they are gathered, so a
@@ -27,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -144,76 +143,58 @@ def _contexts(length: int):
 
 
 class Suffixes:
-    """Suffixes of some contexts, compared by prefix hashes."""
+    """Suffixes of some contexts, compared by their bytes, eight at a time."""
 
     def __init__(self, bodies: list[bytes], length: int) -> None:
         self.length = length
-        self.data = np.frombuffer(b"".join(bodies) + bytes(length), np.uint8)
-        self.prefix = prefix_hashes(self.data)
-        self.down = POWERS.to(len(self.data) + 1)[1]
-        self.steps = [1 << b for b in reversed(range(length.bit_length()))]
+        self.data = np.frombuffer(b"".join(bodies) + bytes(max(length, 8)), np.uint8)
+
+    @cached_property
+    def prefix(self) -> np.ndarray:
+        return prefix_hashes(self.data)
+
+    @property
+    def down(self) -> np.ndarray:
+        return POWERS.to(len(self.data) + 1)[1]
+
+    @cached_property
+    def words(self) -> np.ndarray:
+        """The eight bytes from each place on, as numbers in the order of the bytes."""
+        return np.ndarray(len(self.data) - 7, ">u8", self.data, strides=(1,)).astype(np.uint64)
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The longest common extension of each pair of suffixes, at most ``length``: a binary search."""
-        got, prefix, down = np.zeros(len(a), np.int64), self.prefix, self.down
-        for step in self.steps:
-            x, y = a + got, b + got
-            fits = got + step <= self.length
-            x, y = np.where(fits, x, 0), np.where(fits, y, 0)
-            same = fits & ((prefix[x + step] - prefix[x]) * down[x] == (prefix[y + step] - prefix[y]) * down[y])
-            got += same * step
-        return got
-
-    def less(self, a: np.ndarray, b: np.ndarray, ties: np.ndarray | bool) -> np.ndarray:
-        """Whether suffix a comes before suffix b; ``ties`` where they agree on ``length`` bytes."""
-        got = self.common(a, b)
-        return np.where(got >= self.length, ties, self.data[np.minimum(a + got, len(self.data) - 1)] < self.data[np.minimum(b + got, len(self.data) - 1)])
-
-    def merge_sorted(self, at: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """The order of suffixes ``at`` within consecutive segments of the given lengths."""
-        order = np.arange(len(at))
-        start = np.repeat(np.cumsum(lengths) - lengths, lengths)
-        size, place = np.repeat(lengths, lengths), None
-        width = 1
-        while True:
-            live = np.flatnonzero(size > width)
-            if not len(live):
-                return order
-            place = live - start[live]
-            run = place // width
-            left = run % 2 == 0
-            mate = start[live] + np.where(left, run + 1, run - 1) * width
-            end = np.minimum(mate + width, start[live] + size[live])
-            low, high = np.minimum(mate, end), end.copy()
-            mine = at[order[live]]
-            while True:
-                open_ = np.flatnonzero(low < high)
-                if not len(open_):
+        """The longest common extension of each pair of suffixes, at most ``length``, byte by byte; for tests."""
+        same = self.data[a[:, None] + np.arange(self.length)] == self.data[b[:, None] + np.arange(self.length)]
+        return np.where(same.all(1), self.length, same.argmin(1))
+
+    def tied(self, at: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The numbers, ascending, of suffixes ``at`` that agree on ``length`` bytes with another one of their segment.
+
+        ``lengths`` are those of consecutive segments.  Suffixes are sorted by their first eight bytes, ties by the
+        next eight, and so on; who stands alone is in place.  Ties without a difference need no sort.
+        """
+        who, group = np.arange(len(at)), np.repeat(np.arange(len(lengths)), lengths)
+        # Where texts are shorter than eight bytes, what follows them is cut off.
+        over = np.uint64(8 * max(0, 8 - self.length))
+        for step in [*range(0, self.length - 8, 8), max(0, self.length - 8)]:
+            word = self.words[at[who] + step] >> over
+            new = group[1:] != group[:-1]
+            differ = (word[1:] != word[:-1]) & ~new
+            if differ.any():
+                mixed = np.zeros(group[-1] + 1, bool)
+                mixed[group[1:][differ]] = True
+                part = np.flatnonzero(mixed[group])
+                order = part[np.lexsort((word[part], group[part]))]
+                who[part], word[part] = who[order], word[order]
+                new |= word[1:] != word[:-1]
+            ends = np.append(new, True)
+            alone = ends & np.concatenate([[True], new])
+            group = np.cumsum(np.concatenate([[0], new]))
+            if alone.any():
+                who, group = who[~alone], group[~alone]
+                if not len(who):
                     break
-                mid = (low[open_] + high[open_]) // 2
-                # Members of a left run go before equal ones of the right run, so the sort is stable.
-                ahead = self.less(at[order[mid]], mine[open_], ~left[open_])
-                low[open_] = np.where(ahead, mid + 1, low[open_])
-                high[open_] = np.where(ahead, high[open_], mid)
-            before = low - np.minimum(mate, end)
-            own = start[live] + run * width
-            base = np.where(left, own, own - width)
-            new = order.copy()
-            new[base + (live - own) + before] = order[live]
-            order = new
-            width *= 2
-
-    def really_equal(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Byte by byte, eight bytes at a time."""
-        words = np.lib.stride_tricks.as_strided(self.data[: len(self.data) - 7].view(np.uint8), (len(self.data) - 7, 8), (1, 1))
-        ok = np.ones(len(a), bool)
-        for at in range(0, len(a), 1 << 18):
-            x, y, good = a[at : at + (1 << 18)], b[at : at + (1 << 18)], None
-            for step in [*range(0, self.length - 8, 8), self.length - 8]:
-                same = (words[x + step] == words[y + step]).all(1)
-                good = same if good is None else good & same
-            ok[at : at + (1 << 18)] = good
-        return ok
+        return np.sort(who)
 
 
 def _repeated(suffixes: Suffixes, segment: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -225,16 +206,7 @@ def _repeated(suffixes: Suffixes, segment: np.ndarray, at: np.ndarray) -> np.nda
     order, lengths = order[np.repeat(lengths > 1, lengths)], lengths[lengths > 1]
     if not len(order):
         return order
-    order = order[suffixes.merge_sorted(at[order], lengths)]
-    a, b = at[order[:-1]], at[order[1:]]
-    pairs = np.flatnonzero(segment[order[:-1]] == segment[order[1:]])
-    pairs = pairs[suffixes.common(a[pairs], b[pairs]) >= suffixes.length]
-    if suffixes.really_equal(a[pairs], b[pairs]).all():
-        return np.unique(np.concatenate([order[pairs], order[pairs + 1]]))
-    seen = defaultdict(list)
-    for i in order.tolist():
-        seen[int(segment[i]), suffixes.data[at[i] : at[i] + suffixes.length].tobytes()].append(i)
-    return np.array([i for same in seen.values() if len(same) > 1 for i in same], np.int64)
+    return np.sort(order[suffixes.tied(at[order], lengths)])
 
 
 def repeated_windows(contexts: list[tuple[int, bytes, int]], length: int = LENGTH) -> list[list[tuple[int, int]]]:

@@ -186,6 +186,24 @@ def test_mergesort_and_bands(monkeypatch):
         assert {i for s, e in runs for i in range(s, e)} == hit
 
 
+def test_the_suffix_sort_compares_bytes_and_needs_no_hashes(monkeypatch):
+    import random
+
+    import numpy as np
+
+    monkeypatch.setattr(suffix, "prefix_hashes", None)
+    rng = random.Random(6)
+    for length in (3, 8, 20, 40):
+        bodies = [bytes(rng.choice(b"\x00\xff") for _ in range(rng.randint(length, length + 3))) for _ in range(200 if length < 9 else 50)]
+        bodies += bodies[:20]
+        contexts = [(rng.randint(0, 1), b, 3) for b in bodies]
+        seen = Counter((g, i, b[i : i + length]) for g, b, _ in contexts for i in range(len(b) - length + 1))
+        for (g, b, _), runs in zip(contexts, suffix.repeated_windows(contexts, length), strict=True):
+            assert {i for s, e in runs for i in range(s, e)} == {i for i in range(len(b) - length + 1) if seen[g, i, b[i : i + length]] > 1}
+    one = suffix.Suffixes([b"abcabcabd"], 3)
+    assert one.common(np.array([0, 0]), np.array([3, 6])).tolist() == [3, 2] and one.tied(np.array([0, 3, 6]), np.array([3])).tolist() == [0, 1]
+
+
 def test_a_hash_collision_removes_nothing(monkeypatch):
     monkeypatch.setattr(suffix.Suffixes, "common", lambda self, a, b: __import__("numpy").full(len(a), self.length))
     bodies = [(1, b"a" * 30, 3), (1, b"a" * 3 + b"b" * 27, 3), (1, b"a" * 30, 3)]
