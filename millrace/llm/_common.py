@@ -91,6 +91,10 @@ def freed(run):
     """``run`` over Arrow batches; its worker, which later tasks reuse, gives memory back at the end."""
 
     def wrapped(rows):
+        if not gc.get_freeze_count():
+            # What modules made stays for good, so that collections pass it by.
+            gc.collect()
+            gc.freeze()
         yield from run(rows)
         gc.collect()
         pa.default_memory_pool().release_unused()

@@ -145,9 +145,9 @@ def sketches(lines: list[bytes], words: bool) -> tuple[np.ndarray, np.ndarray]:
     log = np.log(chars)
     own = low.reshape(len(lines), BLOCKS, MINIMA + 1)[:, :, :MINIMA]
     key = np.floor(log[:, None] / 0.5 + SHIFT).astype(np.uint64) + ((np.arange(BLOCKS) << 8) + (words << 16)).astype(np.uint64)
-    at = own & np.uint32(255)
-    ranks = (at[..., None] > at[..., None, :]).sum(3)
-    for part in (*np.moveaxis(own >> np.uint32(8), 2, 0), *np.moveaxis(ranks, 2, 0)):
+    at = np.ascontiguousarray(np.moveaxis(own.astype(np.uint8), 2, 0))
+    ranks = [sum((at[i] > at[j]).view(np.uint8) for j in range(MINIMA) if j != i) for i in range(MINIMA)]
+    for part in (*np.moveaxis(own >> np.uint32(8), 2, 0), *ranks):
         key = (key ^ part.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         key ^= key >> np.uint64(29)
     keys = (key >> np.uint64(32)).astype(np.uint32).view(np.int32)
@@ -225,16 +225,19 @@ def _line_rows(rows):
             # A line feed is no letter and no mark, so letters are lowered as they are line by line.
             text = text.decode("utf-8", "replace").lower().encode()
             plain = _plain(text)
-            for n, x in enumerate(text.split(b"\n")):
-                if own := _joined(x, plain):
-                    h = xxhash.xxh3_128_digest(own)
-                    if h not in seen:
-                        seen.add(h)
-                        fresh.append(own)
-                        places.append(len(line))
-                    owner.append(i)
-                    line.append(n)
-                    hashes.append(h)
+            own = [_joined(x, plain) for x in text.split(b"\n")]
+            there = [n for n, x in enumerate(own) if x]
+            if len(there) < len(own):
+                own = [x for x in own if x]
+            digests = list(map(xxhash.xxh3_128_digest, own))
+            for n, h in enumerate(digests, len(line)):
+                if h not in seen:
+                    seen.add(h)
+                    fresh.append(own[n - len(line)])
+                    places.append(n)
+            owner += [i] * len(there)
+            line += there
+            hashes += digests
         if len(seen) > SEEN:
             seen.clear()
         if line:
@@ -391,7 +394,7 @@ def stitched(a: str, b: str, most: int) -> bool:
 
 
 #: Edits up to which pairs are followed along their diagonals, and characters of the pairs that are followed together.
-EDITS, FOLLOWED = 320, 1 << 19
+EDITS, FOLLOWED = 320, 1 << 20
 #: Part of the pace at which a pair uses up its limit at its very end, below which one that may stay open is left to the band.
 PACE = 0.8
 STRIDES = np.arange(0, 64, 8)
@@ -442,10 +445,10 @@ def _followed(pairs: list[tuple[str, str]], limit: np.ndarray) -> tuple[np.ndarr
     who = np.flatnonzero(~short & (np.abs(lb - la) <= np.minimum(limit, edits)))
     sa, sb, la, lb, most = (x[who] for x in (sa, sb, la, lb, limit))
     mid = edits + 1
-    far = np.full((len(who), 2 * mid + 1), -(1 << 40))
+    far = np.full((len(who), 2 * mid + 1), -(1 << 30), np.int32)
     far[:, mid] = 0
     every = np.arange(-mid, mid + 1)
-    most_far, shift = np.minimum(la[:, None], lb[:, None] - every), sb[:, None] + every
+    most_far, shift = np.minimum(la[:, None], lb[:, None] - every).astype(np.int32), sb[:, None] + every
     for e in range(edits + 1 if len(who) else 0):
         end = lb - la
         # Diagonals that are too far from the last one to get back to it are left as they are.
@@ -462,7 +465,7 @@ def _followed(pairs: list[tuple[str, str]], limit: np.ndarray) -> tuple[np.ndarr
             one, two = (at + sa[:, None]).ravel(), (at + shift[:, part]).ravel()
             x = wa.take(one)
             x ^= wb.take(two)
-            same = _equal(x).astype(np.int64)
+            same = _equal(x).astype(np.int32)
             more = np.flatnonzero(same == 8)
             one, two = one[more], two[more]
             ahead = 8
@@ -974,22 +977,23 @@ def _fetched(rows):
     """The wanted lines of (d, t, text, wanted); rows that repeat d and t, which meet in a task, count once."""
     seen: set[tuple[str, int]] = set()
     for batch in batches(rows, 1_000, 8 << 20):
-        out: dict[str, list] = {k: [] for k in ("a", "b", "tiled", "line")}
-        owners = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-        for owner, text, wanted in zip(owners, as_bytes(batch.column(2)), batch.column(3).to_pylist(), strict=True):
-            if owner in seen:
-                continue
-            seen.add(owner)
-            split = text.split(b"\n")
-            for x in wanted:
-                for k in ("a", "b", "tiled"):
-                    out[k].append(x[k])
-                out["line"].append(normalised(split[x["line"]]))
-        if not out["line"]:
+        fresh = []
+        for i, owner in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            if owner not in seen:
+                seen.add(owner)
+                fresh.append(i)
+        if not fresh:
             continue
-        kinds = {"tiled": pa.bool_(), "line": pa.binary()}
-        columns = {k: pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()}
-        yield pa.RecordBatch.from_pydict(columns | {"sketch": _binaries(_packed(out["line"]), np.arange(1, len(out["line"]) + 1))})
+        batch = batch.take(pa.array(fresh))
+        # The wanted lines of all texts, and where those of each text end.
+        wanted, ends = batch.column(3).flatten(), np.cumsum(batch.column(3).value_lengths().to_numpy()).tolist()
+        at, lines = dict(zip((x.name for x in wanted.type), wanted.flatten(), strict=True)), []
+        numbers = at["line"].to_pylist()
+        for text, s, e in zip(as_bytes(batch.column(2)), [0, *ends], ends, strict=False):
+            split = text.split(b"\n")
+            lines += [normalised(split[n]) for n in numbers[s:e]]
+        columns = {"a": at["a"], "b": at["b"], "tiled": at["tiled"], "line": pa.array(lines, pa.binary())}
+        yield pa.RecordBatch.from_pydict(columns | {"sketch": _binaries(_packed(lines), np.arange(1, len(lines) + 1))})
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
@@ -1018,7 +1022,7 @@ def _with_lost(docs: DataFrame, *columns) -> DataFrame:
 
 def line_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed and removed_lines (numbers of the lines that go), a row per row of ``docs``."""
-    size = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines")
+    size = F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines")
     lost = _with_lost(docs, "doc_id", size)
     return lost.select("doc_id", "n_lines", F.size("lost").cast("long").alias("n_removed"), F.col("lost").alias("removed_lines"))
 

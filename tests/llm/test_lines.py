@@ -226,3 +226,24 @@ def test_minima_do_not_depend_on_the_pieces(monkeypatch, real_lines):
 @pytest.mark.parametrize("line", [b"", b"  ", b" a b ", b"a  b", b"a\tb", b"\va b\r", b"a\x1cb \xc2\xa0c", b"a\fb c"])
 def test_plain_lines_are_joined_as_any_others(line):
     assert lines._joined(line, lines._plain(line)) == b" ".join(line.split())
+
+
+def test_workers_collect_only_what_tasks_made():
+    import gc
+
+    from millrace.llm._common import freed
+
+    gc.unfreeze()
+    assert list(freed(iter)([1, 2])) == [1, 2] and gc.get_freeze_count() > 0
+    gc.unfreeze()
+
+
+def test_wanted_lines_are_fetched_once_per_row_key():
+    import pyarrow as pa
+
+    kind = pa.list_(pa.struct([("line", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("tiled", pa.bool_())]))
+    want = [[{"line": 1, "a": 5, "b": 6, "tiled": False}, {"line": 0, "a": 7, "b": 8, "tiled": True}], [], [{"line": 0, "a": 9, "b": 1, "tiled": False}]]
+    rows = pa.record_batch([pa.array(["x", "y", "z"]), pa.array([1, 2, 3]), pa.array(["One  Two\nthree Four", "b", "\u00c4 long line"]), pa.array(want, kind)], names=["d", "t", "text", "wanted"])
+    got = [r for batch in lines._fetched(iter([rows.slice(0, 1), rows])) for r in batch.to_pylist()]
+    assert [(r["a"], r["b"], r["tiled"], r["line"].decode()) for r in got] == [(5, 6, False, "three four"), (7, 8, True, "one two"), (9, 1, False, "\u00e4 long line")]
+    assert all(len(r["sketch"]) == lines.SKETCH.itemsize for r in got)
