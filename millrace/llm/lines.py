@@ -66,7 +66,7 @@ PIECE = 1 << 15
 
 
 def normalised(line: bytes) -> bytes:
-    return b" ".join(line.decode("utf-8", "replace").lower().encode().split())
+    return b" ".join(_lowered(line).split())
 
 
 def _joined(line: bytes, plain: bool) -> bytes:
@@ -78,6 +78,17 @@ def _plain(text: bytes) -> bool:
     return b"  " not in text and not any(x in text for x in (b"\t", b"\r", b"\v", b"\f"))
 
 
+def _all_plain(texts: list[bytes]) -> bool:
+    """Whether all of ``texts`` are ``_plain``, in a few passes over them together."""
+    every = b"\n".join(texts)
+    space = np.frombuffer(every, np.uint8) == 32
+    return not (space[1:] & space[:-1]).any() and not any(x in every for x in (b"\t", b"\r", b"\v", b"\f"))
+
+
+def _lowered(text: bytes) -> bytes:
+    return text.lower() if text.isascii() else text.decode("utf-8", "replace").lower().encode()
+
+
 def _scrambled(h: np.ndarray) -> np.ndarray:
     for by, factor in ((15, 0x2C1B3C6D), (12, 0x297A2D39)):
         h = (h ^ h >> np.uint32(by)) * np.uint32(factor)
@@ -108,52 +119,61 @@ def word_features(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     raw = np.frombuffer(b"\n".join(lines) + b"\n", np.uint8)
     end = np.flatnonzero((raw == 32) | (raw == 10))
     begin = np.concatenate([[0], end[:-1] + 1])
-    up, down = POWERS.to(len(raw) + 1)
-    prefix = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=prefix[1:])
-    h = (prefix[end] - prefix[begin]) * down[begin]
-    h = _scrambled((h ^ h >> np.uint64(32)).astype(np.uint32))
     counts = np.diff(np.concatenate([[-1], np.flatnonzero(raw[end] == 10)]))
-    lengths = np.array(list(map(len, lines)))
-    place = _places(begin - np.repeat(np.cumsum(lengths + 1) - lengths - 1, counts), lengths, counts)
+    first = np.cumsum(counts) - counts
     long = end - begin >= LONG_WORD
-    enough = np.add.reduceat(long.astype(np.int64), np.cumsum(counts) - counts) >= ENOUGH
+    enough = np.add.reduceat(long.astype(np.int64), first) >= ENOUGH
     taken = long | ~np.repeat(enough, counts)
-    n = np.add.reduceat(taken.astype(np.int64), np.cumsum(counts) - counts)
-    return h[taken], place[taken], np.cumsum(n) - n
+    n = np.add.reduceat(taken.astype(np.int64), first)
+    begin, end = begin[taken], end[taken]
+    up, down = POWERS.to(len(raw) + 1)
+    prefix = np.zeros(len(raw) + 1, np.uint64)
+    x = raw.astype(np.uint64)
+    x += np.uint64(1)
+    x *= up[: len(raw)]
+    np.cumsum(x, out=prefix[1:])
+    h = prefix[end]
+    h -= prefix[begin]
+    h *= down[begin]
+    h ^= h >> np.uint64(32)
+    lengths = np.array(list(map(len, lines)))
+    place = _places(begin - np.repeat(np.cumsum(lengths + 1) - lengths - 1, n), lengths, n)
+    return _scrambled(h.astype(np.uint32)), place, np.cumsum(n) - n
 
 
-def sketches(lines: list[bytes], words: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, marks) of normalised lines: a key for each block; 36 low bits of minima and 16 of length."""
+def _minima(lines: list[bytes], words: bool, low: np.ndarray) -> None:
+    """Into ``low``: for each hash and line the least hash of a feature, with its place in the low byte."""
     h, place, start = (word_features if words else gram_features)(lines)
-    low = np.empty((len(lines), len(TIMES)), np.uint32)
     # Pieces that stay in the cache.
     cuts = np.flatnonzero(np.diff(start // PIECE, prepend=-1)).tolist()
     for s, e in zip(cuts, [*cuts[1:], len(lines)], strict=True):
         part = slice(start[s], start[e] if e < len(lines) else len(h))
         own, own_place, own_start = h[part], place[part], start[s:e] - start[s]
-        x, least = np.empty_like(own), np.empty((len(TIMES), e - s), np.uint32)
+        x = np.empty_like(own)
         for k in range(len(TIMES)):
             np.multiply(own, FACTORS[k], out=x)
             x += PLUS[k]
             # The place of a feature rides in the low byte of its hash.
             x &= HIGH
             x |= own_place
-            np.minimum.reduceat(x, own_start, out=least[k])
-        low[s:e] = least.T
-    chars = np.array([len(x) if x.isascii() else len(x.decode("utf-8", "replace")) for x in lines])
+            np.minimum.reduceat(x, own_start, out=low[k, s:e])
+
+
+def _keyed(low: np.ndarray, chars: np.ndarray, words: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, marks) of lines by their minima: a key for each block; 36 low bits of minima and 16 of length."""
     log = np.log(chars)
-    own = low.reshape(len(lines), BLOCKS, MINIMA + 1)[:, :, :MINIMA]
-    key = np.floor(log[:, None] / 0.5 + SHIFT).astype(np.uint64) + ((np.arange(BLOCKS) << 8) + (words << 16)).astype(np.uint64)
-    at = np.ascontiguousarray(np.moveaxis(own.astype(np.uint8), 2, 0))
-    ranks = [sum((at[i] > at[j]).view(np.uint8) for j in range(MINIMA) if j != i) for i in range(MINIMA)]
-    for part in (*np.moveaxis(own >> np.uint32(8), 2, 0), *ranks):
-        key = (key ^ part.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    own = low.reshape(BLOCKS, MINIMA + 1, len(chars))[:, :MINIMA]
+    key = np.floor(log / 0.5 + SHIFT[:, None]).astype(np.uint64) + ((np.arange(BLOCKS) << 8) + (words << 16)).astype(np.uint64)[:, None]
+    at = own.astype(np.uint8)
+    ranks = [sum((at[:, i] > at[:, j]).view(np.uint8) for j in range(MINIMA) if j != i) for i in range(MINIMA)]
+    for part in (*np.moveaxis(own >> np.uint32(8), 1, 0), *ranks):
+        key ^= part
+        key *= np.uint64(0x9E3779B97F4A7C15)
         key ^= key >> np.uint64(29)
-    keys = (key >> np.uint64(32)).astype(np.uint32).view(np.int32)
-    bits = np.zeros((len(lines), 6), np.uint8)
-    some = np.packbits((low >> np.uint32(8) & np.uint32(1)).astype(np.uint8), axis=1)
-    bits[:, : some.shape[1]] = some
+    keys = (key >> np.uint64(32)).astype(np.uint32).view(np.int32).T
+    bits = np.zeros((len(chars), 6), np.uint8)
+    some = np.packbits((low >> np.uint32(8) & np.uint32(1)).astype(np.uint8), axis=0)
+    bits[:, : len(some)] = some.T
     code = np.rint(log / np.log(1.01)).astype(">u2").view(np.uint8).reshape(-1, 2)
     return keys, np.concatenate([bits, code], 1).copy().view(">i8").ravel().astype(np.int64)
 
@@ -164,7 +184,7 @@ def near(mark: np.ndarray | np.int64, marks: np.ndarray) -> np.ndarray:
     return lengths & (np.bitwise_count((marks ^ mark).view(np.uint64) >> np.uint64(16)) <= FAR)
 
 
-LINE = "line int, a long, b long, sketch binary"
+LINE = "n_lines int, line int, a long, b long, sketch binary"
 #: Blocks of grams come first in a line's keys, then those of words.
 SLOTS = 2 * BLOCKS
 #: A line's sketch; bit 0 of ``kinds`` is set where it has blocks of grams, bit 1 where it has those of words.
@@ -175,24 +195,30 @@ ENTRY = np.dtype([("slot", "u1"), ("key", "<u4"), ("a", "<i8"), ("high", "<u4"),
 ENTRIES, BUCKETS = 1 << 18, 4096
 #: Lines that a task remembers, so that repeats need no sketch.
 SEEN = 200_000
+_NO_LINE = bytes(16)
 
 
 def _sketched(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The keys and the marks of each line, of grams or words or both, and which keys there are."""
     keys, marks = np.zeros((len(lines), SLOTS), np.int32), np.zeros((len(lines), 2), np.int64)
     there = np.zeros((len(lines), SLOTS), bool)
-    words = np.array([x.count(b" ") + 1 for x in lines])
-    fit = np.array(list(map(len, lines))) >= LEAST
+    lengths = np.array(list(map(len, lines)))
+    spaces = np.flatnonzero(np.frombuffer(b"".join(lines), np.uint8) == 32)
+    words = np.diff(np.searchsorted(spaces, np.cumsum(lengths)), prepend=0) + 1
+    chars = np.array([n if x.isascii() else len(x.decode("utf-8", "replace")) for x, n in zip(lines, lengths.tolist(), strict=True)])
+    fit = lengths >= LEAST
     for kind, chosen in ((0, fit & (words < FEW)), (1, fit & (words >= MANY))):
         own = np.flatnonzero(chosen)
         if not len(own):
             continue
+        low = np.empty((len(TIMES), len(own)), np.uint32)
         # Pieces that stay in the cache.
-        cuts = np.flatnonzero(np.diff(np.cumsum([len(lines[i]) for i in own]) >> 17, prepend=-1)).tolist()
+        cuts = np.flatnonzero(np.diff(np.cumsum(lengths[own]) >> 17, prepend=-1)).tolist()
         for s, e in zip(cuts, [*cuts[1:], len(own)], strict=True):
-            part = slice(kind * BLOCKS, (kind + 1) * BLOCKS)
-            keys[own[s:e], part], marks[own[s:e], kind] = sketches([lines[i] for i in own[s:e]], bool(kind))
-            there[own[s:e], part] = True
+            _minima([lines[i] for i in own[s:e].tolist()], bool(kind), low[:, s:e])
+        part = slice(kind * BLOCKS, (kind + 1) * BLOCKS)
+        keys[own, part], marks[own, kind] = _keyed(low, chars[own], bool(kind))
+        there[own, part] = True
     return keys, marks, there
 
 
@@ -214,21 +240,36 @@ def _binaries(values: np.ndarray, ends: np.ndarray, null: np.ndarray | None = No
 
 def _records(column: pa.Array | pa.ChunkedArray, kind: np.dtype) -> np.ndarray:
     """The records of all values of a binary column without nulls, one after the other."""
-    return np.frombuffer(b"".join(column.to_pylist()), kind)
+    parts = []
+    for x in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
+        if len(x):
+            _, ends, data = x.buffers()
+            ends = np.frombuffer(ends, np.int64 if pa.types.is_large_binary(x.type) else np.int32)[x.offset : x.offset + len(x) + 1]
+            parts.append(np.frombuffer(data, np.uint8)[ends[0] : ends[-1]])
+    return np.concatenate(parts or [np.zeros(0, np.uint8)]).view(kind)
 
 
 def _line_rows(rows):
+    """A row for each line with words; the first row of each text, which has no line if no line has words, holds its number of lines."""
     seen: set[bytes] = set()
     for batch in batches(rows, 2_000, 4 << 20):
-        owner, line, hashes, fresh, places = [], [], [], [], []
-        for i, text in enumerate(as_bytes(batch.column(2))):
+        owner, line, hashes, fresh, places, total = [], [], [], [], [], []
+        texts = as_bytes(batch.column(2))
+        all_plain = _all_plain(texts)
+        for i, text in enumerate(texts):
             # A line feed is no letter and no mark, so letters are lowered as they are line by line.
-            text = text.decode("utf-8", "replace").lower().encode()
-            plain = _plain(text)
+            text = _lowered(text)
+            plain = all_plain or _plain(text)
             own = [_joined(x, plain) for x in text.split(b"\n")]
             there = [n for n, x in enumerate(own) if x]
+            total.append(len(own))
             if len(there) < len(own):
                 own = [x for x in own if x]
+            if not own:
+                owner.append(i)
+                line.append(-1)
+                hashes.append(_NO_LINE)
+                continue
             digests = list(map(xxhash.xxh3_128_digest, own))
             for n, h in enumerate(digests, len(line)):
                 if h not in seen:
@@ -240,14 +281,15 @@ def _line_rows(rows):
             hashes += digests
         if len(seen) > SEEN:
             seen.clear()
-        if line:
-            both = np.frombuffer(b"".join(hashes), ">i8").reshape(-1, 2).astype(np.int64)
-            packed, there = _packed(fresh), np.zeros(len(line), bool)
-            there[places] = packed["kinds"] > 0
-            owner = pa.array(owner, pa.int64())
-            sketch = _binaries(packed[packed["kinds"] > 0], np.cumsum(there), ~there)
-            columns = [batch.column(0).take(owner), batch.column(1).take(owner), pa.array(line, pa.int32()), pa.array(both[:, 0]), pa.array(both[:, 1]), sketch]
-            yield pa.record_batch(columns, names=["doc_id", "t", "line", "a", "b", "sketch"])
+        both = np.frombuffer(b"".join(hashes), ">i8").reshape(-1, 2).astype(np.int64)
+        packed, there = _packed(fresh), np.zeros(len(line), bool)
+        there[places] = packed["kinds"] > 0
+        owner, line = np.array(owner), np.array(line, np.int32)
+        total = np.where(batch.column(2).is_valid().to_numpy(zero_copy_only=False), total, 0).astype(np.int32)
+        columns = {x: batch.column(k).take(pa.array(owner)) for k, x in enumerate(("doc_id", "t"))}
+        columns |= {"n_lines": pa.array(total[owner], mask=np.diff(owner, prepend=-1) == 0)}
+        columns |= {x: pa.array(v, mask=line < 0) for x, v in (("line", line), ("a", both[:, 0]), ("b", both[:, 1]))}
+        yield pa.RecordBatch.from_pydict(columns | {"sketch": _binaries(packed[packed["kinds"] > 0], np.cumsum(there), ~there)})
 
 
 def _indexed(buckets: int):
@@ -394,10 +436,11 @@ def stitched(a: str, b: str, most: int) -> bool:
 
 
 #: Edits up to which pairs are followed along their diagonals, and characters of the pairs that are followed together.
-EDITS, FOLLOWED = 320, 1 << 20
+EDITS, FOLLOWED = 320, 1 << 19
 #: Part of the pace at which a pair uses up its limit at its very end, below which one that may stay open is left to the band.
 PACE = 0.8
-STRIDES = np.arange(0, 64, 8)
+#: Characters that places which go on to match are looked ahead by: many where such places are few, since calls cost more.
+STRIDES, FEW_PLACES = np.arange(0, 512, 8), 1 << 11
 
 
 def _equal(x: np.ndarray) -> np.ndarray:
@@ -405,25 +448,24 @@ def _equal(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(~x & (x - np.uint64(1))) >> np.uint8(3)
 
 
-def _windows(texts: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray]:
-    """The 8 characters from each place on of all texts, which have ``end`` behind them, and where each text starts."""
-    size = np.array(list(map(len, texts)))
+def _windows(codes: np.ndarray, size: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts of these sizes, which have ``end`` behind them, the 8 characters from each place on, and where each text starts."""
     start = np.cumsum(size + 1) - size - 1
-    flat = np.full(int(size.sum()) + len(texts) + 80, end, np.uint8)
-    flat[np.arange(int(size.sum())) + np.repeat(np.arange(len(texts)), size)] = np.concatenate(texts)
-    return np.ndarray(len(flat) - 7, "<u8", flat, strides=(1,)).astype(np.uint64), start
+    flat = np.full(len(codes) + len(size) + int(STRIDES[-1]) + 24, end, np.uint8)
+    flat[np.arange(len(codes)) + np.repeat(np.arange(len(size)), size)] = codes
+    return flat, np.ndarray(len(flat) - 7, "<u8", flat, strides=(1,)).astype(np.uint64), start
 
 
-def _small_codes(texts: list[str]) -> list[np.ndarray] | None:
-    """Characters of texts as numbers below 254; None where they have more kinds of characters."""
+def _small_codes(texts: list[str]) -> np.ndarray | None:
+    """Characters of all texts as numbers below 254; None where they have more kinds of characters."""
     raw = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
-    if raw.max() >= 254:
+    if raw.max(initial=0) >= 254:
         there = np.zeros(int(raw.max()) + 1, bool)
         there[raw] = True
         if np.count_nonzero(there) > 254:
             return None
         raw = (np.cumsum(there) - 1)[raw]
-    return np.split(raw.astype(np.uint8), np.cumsum(list(map(len, texts)))[:-1])
+    return raw.astype(np.uint8)
 
 
 def _followed(pairs: list[tuple[str, str]], limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -434,21 +476,23 @@ def _followed(pairs: list[tuple[str, str]], limit: np.ndarray) -> tuple[np.ndarr
     """
     edits = min(EDITS, int(limit.max()))
     out, left = np.zeros(len(pairs), bool), limit > edits
-    codes = _small_codes([x for pair in pairs for x in pair])
+    codes = _small_codes([x for side in zip(*pairs, strict=True) for x in side])
     if codes is None:
         return out, ~out
-    (wa, sa), (wb, sb) = _windows(codes[::2], 255), _windows(codes[1::2], 254)
-    la, lb = (np.array(list(map(len, x))) for x in (codes[::2], codes[1::2]))
+    la, lb = np.array([(len(a), len(b)) for a, b in pairs]).T
+    total = int(la.sum())
+    (ca, wa, sa), (cb, wb, sb) = _windows(codes[:total], la, 255), _windows(codes[total:], lb, 254)
     # A place is on both texts as long as none of them is shorter than the diagonals reach.
     short = np.minimum(la, lb) <= edits
     left |= short
     who = np.flatnonzero(~short & (np.abs(lb - la) <= np.minimum(limit, edits)))
     sa, sb, la, lb, most = (x[who] for x in (sa, sb, la, lb, limit))
     mid = edits + 1
-    far = np.full((len(who), 2 * mid + 1), -(1 << 30), np.int32)
-    far[:, mid] = 0
+    # Places count from the start of all texts; ``across`` leads from a place in the first text to that in the second.
+    far = np.full((len(who), 2 * mid + 1), -(1 << 40), np.int64)
+    far[:, mid] = sa
     every = np.arange(-mid, mid + 1)
-    most_far, shift = np.minimum(la[:, None], lb[:, None] - every).astype(np.int32), sb[:, None] + every
+    most_far, across = np.minimum(la[:, None], lb[:, None] - every) + sa[:, None], (sb - sa)[:, None] + every
     for e in range(edits + 1 if len(who) else 0):
         end = lb - la
         # Diagonals that are too far from the last one to get back to it are left as they are.
@@ -462,30 +506,33 @@ def _followed(pairs: list[tuple[str, str]], limit: np.ndarray) -> tuple[np.ndarr
                 np.minimum(at, most_far[:, part], out=at)
             else:
                 at = far[:, part].copy()
-            one, two = (at + sa[:, None]).ravel(), (at + shift[:, part]).ravel()
-            x = wa.take(one)
-            x ^= wb.take(two)
-            same = _equal(x).astype(np.int32)
-            more = np.flatnonzero(same == 8)
-            one, two = one[more], two[more]
-            ahead = 8
-            while len(more):
-                x = wa.take((one + ahead)[:, None] + STRIDES)
-                x ^= wb.take((two + ahead)[:, None] + STRIDES)
-                other = x != 0
-                first, on = other.argmax(1), ~other.any(1)
-                same[more] += np.where(on, 8 * len(STRIDES), 8 * first + _equal(x[np.arange(len(x)), first]))
-                more, one, two, ahead = more[on], one[on], two[on], ahead + 8 * len(STRIDES)
-            at += same.reshape(at.shape)
+            one, two = at.ravel(), (at + across[:, part]).ravel()
+            # Most diagonals stop at once, so few are looked at eight characters at a time.
+            on = np.flatnonzero(ca.take(one) == cb.take(two))
+            if len(on):
+                first, second = one[on], two[on]
+                same = _equal(wa.take(first) ^ wb.take(second)).astype(np.int64)
+                more = np.flatnonzero(same == 8)
+                ahead = 8
+                first, second = first[more], second[more]
+                while len(more):
+                    steps = STRIDES if len(more) <= FEW_PLACES else STRIDES[:8]
+                    x = wa.take((first + ahead)[:, None] + steps)
+                    x ^= wb.take((second + ahead)[:, None] + steps)
+                    other = x != 0
+                    where, still = other.argmax(1), ~other.any(1)
+                    same[more] += np.where(still, 8 * len(steps), 8 * where + _equal(x[np.arange(len(x)), where]))
+                    more, first, second, ahead = more[still], first[still], second[still], ahead + 8 * len(steps)
+                one[on] += same
             far[:, part] = at
-        done = (far[np.arange(len(who)), mid + end] >= la) & (most >= e)
+        done = (far[np.arange(len(who)), mid + end] >= la + sa) & (most >= e)
         out[who[done]] = True
         stay = ~done & (most > e)
         if e >= 6 and low <= high and most[-1] > edits:
             # Of pairs that may stay open anyway, those leave that use up their limit too early.
-            stay &= (most <= edits) | (far[:, part].max(1) * most >= PACE * e * la)
+            stay &= (most <= edits) | ((far[:, part].max(1) - sa) * most >= PACE * e * la)
         if np.count_nonzero(stay) < 0.9 * len(stay):
-            who, sa, la, lb, most, far, most_far, shift = (x[stay] for x in (who, sa, la, lb, most, far, most_far, shift))
+            who, sa, la, lb, most, far, most_far, across = (x[stay] for x in (who, sa, la, lb, most, far, most_far, across))
             if not len(who):
                 break
     return out, left & ~out
@@ -926,17 +973,23 @@ def _shuffles_deleted(spark: SparkSession):
 
 def line_groups(docs: DataFrame, long: int = LONG) -> tuple[DataFrame, DataFrame]:
     """(occurrences, groups): doc_id, t, line, a, b of each line with words; a, b and the keeper of each repeated line."""
+    lines, found = _line_groups(docs, long)
+    return lines.where("line is not null").select("doc_id", "t", "line", "a", "b"), found
+
+
+def _line_groups(docs: DataFrame, long: int = LONG) -> tuple[DataFrame, DataFrame]:
+    """(lines, groups): the rows of ``_line_rows``, also of texts without lines; ``groups`` as of ``line_groups``."""
     with _shuffles_deleted(docs.sparkSession):
-        return _line_groups(docs, long)
+        return _grouped(docs, long)
 
 
-def _line_groups(docs: DataFrame, long: int) -> tuple[DataFrame, DataFrame]:
+def _grouped(docs: DataFrame, long: int) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     lines = written(keyed.mapInArrow(freed(_line_rows), f"doc_id {kind}, t long, {LINE}"), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "line", "t")
-    distinct = written(lines.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")), "distinct-lines")
+    distinct = written(lines.where("line is not null").groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")), "distinct-lines")
     buckets = min(1 << 16, max(BUCKETS, 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     index = lines.where("sketch is not null").select("a", "sketch").mapInArrow(_indexed(buckets), "bucket int, entries binary")
     split = index.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_split(long), "block long, tile int, a long, slot int, tiles int")
@@ -970,7 +1023,7 @@ def _line_groups(docs: DataFrame, long: int) -> tuple[DataFrame, DataFrame]:
     keepers = halves.groupBy("ra", "rb").agg(F.min("first").alias("keeper"), F.sum("n").alias("n"), F.collect_list("part").alias("parts")).where("n > 1")
     keepers = keepers.select("ra", "rb", "keeper", F.explode("parts").alias("part"))
     found = dealt.select("a", "b", "ra", "rb", "part").join(keepers, ["ra", "rb", "part"]).select("a", "b", "keeper")
-    return lines.select("doc_id", "t", "line", "a", "b"), found
+    return lines, found
 
 
 def _fetched(rows):
@@ -1001,17 +1054,20 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 
     times is n, or n - 1 where the first of the rows keeps it.
     """
-    occurrences, found = line_groups(docs)
+    return _removed(*_line_groups(docs))
+
+
+def _removed(lines: DataFrame, found: DataFrame) -> DataFrame:
     me = F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "line", "t")
-    counted = occurrences.join(found.hint("shuffle_hash"), ["a", "b"]).groupBy("doc_id", "t", "line", "keeper").agg(F.count("*").alias("n"))
-    times = F.col("n") - me.eqNullSafe(F.col("keeper")).cast("int")
+    each = lines.select("doc_id", "t", "line", "a", "b").join(found.hint("shuffle_hash"), ["a", "b"])
+    counted = each.groupBy("doc_id", "t", "line", me.eqNullSafe(F.col("keeper")).alias("keeps")).agg(F.count("*").alias("n"))
+    times = F.col("n") - F.col("keeps").cast("int")
     return counted.select("doc_id", "t", "line", "n", times.alias("times")).where("times > 0")
 
 
-def _with_lost(docs: DataFrame, *columns) -> DataFrame:
-    """``columns`` of ``docs`` with lost, the sorted numbers of the lines that each row loses."""
-    found = removed_lines(docs).groupBy(_id_text().alias("d"), "t").agg(F.max("n").alias("n"), F.collect_list(F.struct("line", "times")).alias("gone"))
-    keyed = docs.select(*columns, _id_text().alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"))
+def _with_lost(keyed: DataFrame, removed: DataFrame) -> DataFrame:
+    """The rows of ``keyed``, by d and t, with lost, the sorted numbers of the lines that each row loses."""
+    found = removed.groupBy(_id_text().alias("d"), "t").agg(F.max("n").alias("n"), F.collect_list(F.struct("line", "times")).alias("gone"))
     # Only rows that repeat id and text are told apart; the first of them keeps what the group keeps.
     turn = F.row_number().over(Window.partitionBy("d", "t").orderBy("d"))
     rows = keyed.join(found.hint("merge"), ["d", "t"], "left").withColumn("turn", turn)
@@ -1022,14 +1078,17 @@ def _with_lost(docs: DataFrame, *columns) -> DataFrame:
 
 def line_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed and removed_lines (numbers of the lines that go), a row per row of ``docs``."""
-    size = F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines")
-    lost = _with_lost(docs, "doc_id", size)
+    lines, found = _line_groups(docs)
+    # The texts are not read again for their numbers of lines.
+    keyed = lines.where("n_lines is not null").select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), _id_text().alias("d"), "t")
+    lost = _with_lost(keyed, _removed(lines, found))
     return lost.select("doc_id", "n_lines", F.size("lost").cast("long").alias("n_removed"), F.col("lost").alias("removed_lines"))
 
 
 def without_duplicate_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with the text rebuilt from the lines that stay; all columns kept, also those of any other name."""
-    rows = _with_lost(docs, F.struct(*docs.columns).alias("row"))
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), _id_text().alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"))
+    rows = _with_lost(keyed, removed_lines(docs))
     kept = F.array_join(F.filter(F.split("row.text", "\n"), lambda x, i: ~F.array_contains("lost", i)), "\n")
     text = F.when(F.size("lost") == 0, F.col("row.text")).otherwise(kept).alias("text")
     return rows.select(*(text if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))

@@ -247,3 +247,33 @@ def test_wanted_lines_are_fetched_once_per_row_key():
     got = [r for batch in lines._fetched(iter([rows.slice(0, 1), rows])) for r in batch.to_pylist()]
     assert [(r["a"], r["b"], r["tiled"], r["line"].decode()) for r in got] == [(5, 6, False, "three four"), (7, 8, True, "one two"), (9, 1, False, "\u00e4 long line")]
     assert all(len(r["sketch"]) == lines.SKETCH.itemsize for r in got)
+
+
+def test_equal_stretches_take_few_calls(monkeypatch):
+    """Calls on few places cost more than characters, so a long equal stretch is looked at in large pieces."""
+    calls, plain = [], lines._equal
+    monkeypatch.setattr(lines, "_equal", lambda x: calls.append(len(x)) or plain(x))
+    text = "".join(random.Random(23).choices("abcdefghijkl mnopq", k=6_000))
+    pairs = [(text, text[:n] + "#" + text[n + 1 :]) for n in range(100, 1_300, 100)] + [("ab" * 3_000, "ba" * 3_000)]
+    assert lines.within(pairs, [1] * len(pairs)).tolist() == [True] * 12 + [False] and len(calls) < 40
+    assert lines.within([("ab" * 3_000, "ba" * 3_000)] * 12, [2] * 12).all()
+
+
+def test_records_of_slices_and_of_large_binaries():
+    values = np.arange(12, dtype="<u2")
+    whole = lines._binaries(values, np.array([1, 5, 5, 12]))
+    for kind in (pa.binary(), pa.large_binary()):
+        column = pa.chunked_array([whole.cast(kind)[:1], whole.cast(kind)[1:3], whole.cast(kind)[3:]])
+        assert lines._records(column, values.dtype).tolist() == list(range(12))
+        assert lines._records(whole.cast(kind)[1:], values.dtype).tolist() == list(range(1, 12)) and not len(lines._records(column[:0], values.dtype))
+
+
+def test_texts_are_not_read_again_for_the_report(spark, tmp_path):
+    """Numbers of lines come with the lines, for rows without lines too."""
+    texts = [None, "", "\n\n", "one line\n\nanother line", "One  Line", "a\r\n\u00c4 b\n", None, "one line\n\nanother line"]
+    ids = [1, 2, 3, 4, 5, 6, None, 4]
+    spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/read-once")
+    report = lines.line_report(spark.read.parquet(f"{tmp_path}/read-once"))
+    got = sorted((r["doc_id"] or 9, r["n_lines"], tuple(r["removed_lines"])) for r in report.collect())
+    assert got == [(1, 0, ()), (2, 1, ()), (3, 3, ()), (4, 3, ()), (4, 3, (0, 2)), (5, 1, (0,)), (6, 3, ()), (9, 0, ())]
+    assert not any("read-once" in x for x in report.inputFiles())
